@@ -48,6 +48,8 @@ RAW_SPEC = ACCIDENT_SPEC.with_(
     features=("SUBUNIT_CD", "CLASSIFICATION_CD", "OCCUPATION_CD", "ACTIVITY_CD",
               "MINING_EQUIP_CD"),
     excluded_codes=("N",),
+    bucket_edges=(1997, 1999),
+    bucket_labels=("1995-1996", "1997-1998", "1999-2001"),
 )
 
 
@@ -72,6 +74,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("STATE"),
         F.col("r_name").alias("OCCUPATION"),
         F.floor(F.col("o_totalprice") / 100000).cast("string").alias("PRICE_BAND_CD"),
+        F.floor(F.col("o_totalprice") / 1000).cast("string").alias("PRICE_FINE_CD"),
         F.lpad(F.month("o_orderdate").cast("string"), 2, "0").alias("MONTH_CD"),
         F.col("c_mktsegment").alias("MKT_SEGMENT"),
         F.floor(F.col("c_acctbal") / 2500).cast("string").alias("ACCT_BAND_CD"),
@@ -92,6 +95,7 @@ incidents AS (
          n_name AS STATE,
          r_name AS OCCUPATION,
          CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) AS VARCHAR) AS PRICE_BAND_CD,
+         CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS VARCHAR) AS PRICE_FINE_CD,
          lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') AS MONTH_CD,
          c_mktsegment AS MKT_SEGMENT,
          CAST(CAST(floor(c_acctbal / 2500) AS BIGINT) AS VARCHAR) AS ACCT_BAND_CD,

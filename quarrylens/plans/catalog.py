@@ -6,6 +6,7 @@ import importlib
 
 AREAS = [
     "quarrylens.plans.trend_queries",
+    "quarrylens.plans.clean_queries",
 ]
 
 
