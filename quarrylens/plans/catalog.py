@@ -7,6 +7,7 @@ import importlib
 AREAS = [
     "quarrylens.plans.trend_queries",
     "quarrylens.plans.clean_queries",
+    "quarrylens.plans.model_queries",
 ]
 
 
