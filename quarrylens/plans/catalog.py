@@ -8,6 +8,7 @@ AREAS = [
     "quarrylens.plans.trend_queries",
     "quarrylens.plans.clean_queries",
     "quarrylens.plans.model_queries",
+    "quarrylens.plans.qa_queries",
 ]
 
 
