@@ -270,3 +270,211 @@ QUERIES = {
 }
 
 ORACLE: dict = {}
+
+
+# --------------------------------------------------------------------------
+# DuckDB oracle SQL
+# --------------------------------------------------------------------------
+def _oracle_sql() -> dict:
+    from quarrylens.plans.bindings import INCIDENTS_SQL
+    from quarrylens.plans.sqlgen import canon
+
+    def lit(v):
+        return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+    def lex(qsrc: str, p: str) -> str:
+        """Lexical top-k CTEs over ``qsrc(qid, query)``; names prefixed by p."""
+        return rf"""
+{p}dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\w+')) AS term
+          FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+{p}dtf AS (SELECT doc_id, term, count(*) AS tf FROM {p}dt GROUP BY ALL),
+{p}nd AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+{p}idf AS (SELECT term, ln((SELECT n FROM {p}nd) / count(*)) AS idf FROM {p}dtf GROUP BY term),
+{p}dw AS (SELECT doc_id, term, tf * idf AS w FROM {p}dtf JOIN {p}idf USING (term)),
+{p}dn AS (SELECT doc_id, sqrt(sum(w * w)) AS dnorm FROM {p}dw GROUP BY doc_id),
+{p}qt AS (SELECT qid, unnest(regexp_extract_all(lower(query), '\w+')) AS term FROM {qsrc}),
+{p}qtf AS (SELECT qid, term, count(*) AS tf FROM {p}qt GROUP BY ALL),
+{p}qw AS (SELECT qid, term, tf * idf AS qw FROM {p}qtf JOIN {p}idf USING (term)),
+{p}qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qnorm FROM {p}qw GROUP BY qid),
+{p}dots AS (SELECT qid, doc_id, sum(qw * w) AS dot FROM {p}qw JOIN {p}dw USING (term) GROUP BY ALL),
+{p}sc AS (SELECT qid, doc_id, dot / (qnorm * dnorm) AS score FROM {p}dots JOIN {p}qn USING (qid)
+          JOIN {p}dn USING (doc_id) WHERE qnorm > 0 AND dnorm > 0),
+{p}r AS (SELECT qid, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid
+          ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {p}sc)"""
+
+    body = ", ".join(f"'{k}=' || CAST({c} AS VARCHAR)" for k, c in FIELD_MAP)
+    dims = list(FILTER_DIMS.values())
+    spec_rows = []
+    for s, q, y, f in _all_count_specs():
+        spec_rows.append((s, q, y, None, None, None, None, f))
+    for s, q, a, b, f in PERIOD_SPECS:
+        spec_rows.append((s, q, None, a[0], a[1], b[0], b[1], f))
+    values = ",\n  ".join(
+        "(" + ", ".join([lit(s), lit(q), "NULL" if y is None else str(y)] +
+                        ["NULL" if v is None else str(v) for v in (a0, a1, b0, b1)] +
+                        [lit(f.get(k)) for k in FILTER_DIMS]) + ")"
+        for s, q, y, a0, a1, b0, b1, f in spec_rows)
+    fcols = ", ".join(f"f_{c}" for c in dims)
+    match = " AND ".join(
+        f"(s.f_{c} IS NULL OR {canon('i.' + c)} = {canon('s.f_' + c)})" if c == SPEC.target else
+        f"(s.f_{c} IS NULL OR contains(lower(i.{c}), lower(s.f_{c})))" if c in CONTAINS_DIMS else
+        f"(s.f_{c} IS NULL OR lower(i.{c}) = lower(s.f_{c}))" for c in dims)
+    bank_sql = "WITH " + INCIDENTS_SQL + f""",
+cls0 AS (SELECT *, md5(DOCUMENT_NO || '|42') AS h FROM incidents ORDER BY h, DOCUMENT_NO LIMIT 20),
+cls AS (SELECT printf('CLS-%02d', row_number() OVER (ORDER BY h, DOCUMENT_NO)) AS question_id,
+          'classification' AS category,
+          'Predict injury degree for: ' || concat_ws(', ', {body}) || '.' AS question,
+          'degree_code' AS ref_type, {canon('DEGREE_INJURY_CD')} AS ref_value,
+          DOCUMENT_NO AS ref_document_no, CAST(NULL AS INTEGER) AS ref_year,
+          CAST(NULL AS VARCHAR) AS ref_period_a, CAST(NULL AS VARCHAR) AS ref_period_b,
+          CAST(NULL AS VARCHAR) AS ref_counts, CAST(NULL AS VARCHAR) AS ref_documents,
+          CAST(NULL AS VARCHAR) AS ref_must_include FROM cls0),
+specs(spec_id, question, year, a0, a1, b0, b1, {fcols}) AS (VALUES
+  {values}),
+ser AS (SELECT s.spec_id, i.{SPEC.year} AS yr, count(*) AS n FROM specs s JOIN incidents i ON {match}
+        WHERE i.{SPEC.year} IS NOT NULL GROUP BY ALL),
+cnt AS (SELECT s.spec_id AS question_id, 'trend' AS category, s.question, 'count' AS ref_type,
+          CAST(coalesce(r.n, 0) AS VARCHAR) AS ref_value, CAST(NULL AS VARCHAR) AS ref_document_no,
+          s.year AS ref_year, CAST(NULL AS VARCHAR) AS ref_period_a, CAST(NULL AS VARCHAR) AS ref_period_b,
+          CAST(NULL AS VARCHAR) AS ref_counts, CAST(NULL AS VARCHAR) AS ref_documents,
+          CAST(NULL AS VARCHAR) AS ref_must_include
+        FROM specs s LEFT JOIN ser r ON r.spec_id = s.spec_id AND r.yr = s.year
+          AND r.yr <> {SPEC.partial_year}
+        WHERE s.year IS NOT NULL),
+per AS (SELECT s.spec_id AS question_id, 'trend' AS category, s.question, 'period_compare' AS ref_type,
+          CAST(NULL AS VARCHAR) AS ref_value, CAST(NULL AS VARCHAR) AS ref_document_no,
+          CAST(NULL AS INTEGER) AS ref_year, s.a0 || '-' || s.a1 AS ref_period_a,
+          s.b0 || '-' || s.b1 AS ref_period_b,
+          CAST(coalesce(sum(CASE WHEN r.yr BETWEEN s.a0 AND s.a1 THEN r.n ELSE 0 END), 0) AS VARCHAR)
+          || ',' ||
+          CAST(coalesce(sum(CASE WHEN r.yr BETWEEN s.b0 AND s.b1 THEN r.n ELSE 0 END), 0) AS VARCHAR)
+          AS ref_counts,
+          CAST(NULL AS VARCHAR) AS ref_documents, CAST(NULL AS VARCHAR) AS ref_must_include
+        FROM specs s LEFT JOIN ser r ON r.spec_id = s.spec_id WHERE s.year IS NULL
+        GROUP BY s.spec_id, s.question, s.a0, s.a1, s.b0, s.b1),
+ca AS (SELECT item_id, text FROM benchmark ORDER BY md5(CAST(item_id AS VARCHAR) || '|42'), item_id
+       LIMIT 10),
+cb AS (SELECT doc_id, text FROM documents WHERE length(text) > 80
+       ORDER BY md5(CAST(doc_id AS VARCHAR) || '|7'), doc_id LIMIT 10),
+cq AS (SELECT printf('CASE-%02d', row_number() OVER (ORDER BY md5(CAST(item_id AS VARCHAR) || '|42'), item_id))
+              AS qid, 'Find historical incidents similar to: ' || text AS question, text AS query,
+              CAST(NULL AS VARCHAR) AS must_include FROM ca
+       UNION ALL
+       SELECT printf('CASE-%02d', 10 + row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || '|7'), doc_id)),
+              'Find incidents similar to this narrative snippet: ' || substring(text, 1, 80),
+              substring(text, 1, 80), CAST(doc_id AS VARCHAR) FROM cb),
+{lex('cq', 'x_')},
+cs AS (SELECT cq.qid AS question_id, 'case_grounded' AS category, cq.question, 'document_set' AS ref_type,
+         CAST(NULL AS VARCHAR) AS ref_value, CAST(NULL AS VARCHAR) AS ref_document_no,
+         CAST(NULL AS INTEGER) AS ref_year, CAST(NULL AS VARCHAR) AS ref_period_a,
+         CAST(NULL AS VARCHAR) AS ref_period_b, CAST(NULL AS VARCHAR) AS ref_counts,
+         coalesce(string_agg(CAST(r.doc_id AS VARCHAR), ',' ORDER BY r.rank), '') AS ref_documents,
+         cq.must_include AS ref_must_include
+       FROM cq LEFT JOIN x_r r ON r.qid = cq.qid AND r.rank <= 5
+       GROUP BY cq.qid, cq.question, cq.must_include),
+bank AS (SELECT * FROM cls UNION ALL SELECT * FROM cnt UNION ALL SELECT * FROM per
+         UNION ALL SELECT * FROM cs)"""
+
+    fields = ",\n  ".join(
+        f"CASE WHEN regexp_extract(lower(question), '{k}\\s*[=:]\\s*(\\w+)', 1) = '' THEN NULL "
+        f"ELSE upper(regexp_extract(lower(question), '{k}\\s*[=:]\\s*(\\w+)', 1)) END AS x_{c}"
+        for k, c in questions.FIELD_KEYS)
+    rules = questions.REFERENCE_DEFAULT_RULES
+    base = dict(rules.base)
+
+    def dflt(c):
+        expr = f"'{base.get(c, 'UNK')}'"
+        for subs, col, val in rules.cues:
+            if col == c:
+                cond = " OR ".join(f"contains(lower(question), '{s}')" for s in subs)
+                expr = f"CASE WHEN {cond} THEN '{val}' ELSE {expr} END"
+        if c == "SUBUNIT_CD":
+            expr = (f"CASE WHEN regexp_matches(lower(question), '{questions.DEGREE_DEFAULT_REGEX}') "
+                    f"OR contains(lower(question), 'fatalit') THEN '{rules.degree_subunit}' ELSE {expr} END")
+        return expr
+    nfound = " + ".join(f"CAST(x_{c} IS NOT NULL AS INTEGER)" for _, c in questions.FIELD_KEYS)
+    final = ",\n  ".join(
+        f"CASE WHEN n_found >= 8 THEN coalesce(x_{c}, 'UNK') ELSE coalesce(x_{c}, {dflt(c)}) END AS {c}"
+        for _, c in questions.FIELD_KEYS)
+    fields_sql = bank_sql + f""",
+fx AS (SELECT question_id, question, {fields} FROM bank),
+fn AS (SELECT *, {nfound} AS n_found FROM fx)
+SELECT question_id, n_found,
+  CASE WHEN n_found >= 8 THEN 'structured field codes from question'
+       WHEN n_found >= 1 THEN 'partial field codes plus inferred defaults'
+       ELSE 'inferred defaults only' END AS field_source,
+  {final}
+FROM fn"""
+
+    tr = DRIVER_TREND_RULES
+    deg = "CAST(NULL AS VARCHAR)"
+    for sub, code in reversed(list(tr.degree_cues)):
+        deg = f"CASE WHEN contains(lower(question), '{sub}') THEN '{code}' ELSE {deg} END"
+    dre = questions.DEGREE_CODE_REGEX
+    fparts = [f"CASE WHEN regexp_extract(lower(question), '{dre}', 1) <> '' THEN "
+              f"regexp_extract(lower(question), '{dre}', 1) ELSE {deg} END AS f_degree_code"]
+    for key in tr.keys:
+        v = "CAST(NULL AS VARCHAR)"
+        for sub, k, val in tr.cues:
+            if k == key:
+                v = f"CASE WHEN contains(lower(question), '{sub}') THEN '{val}' ELSE {v} END"
+        fparts.append(f"{v} AS f_{key}")
+    pre = questions.PERIOD_REGEX
+    yre = questions.YEAR_REGEX
+
+    def grp(i, name):
+        e = f"regexp_extract(question, '{pre}', {i})"
+        return f"CAST(CASE WHEN {e} = '' THEN NULL ELSE {e} END AS INTEGER) AS {name}"
+    ye = f"regexp_extract(question, '{yre}', 1)"
+    parsed_cols = ",\n  ".join(fparts + [grp(1, "period_a0"), grp(2, "period_a1"), grp(3, "period_b0"),
+                                          grp(4, "period_b1"),
+                                          f"CAST(CASE WHEN {ye} = '' THEN NULL ELSE {ye} END AS INTEGER) "
+                                          "AS target_year"])
+    filters_sql = bank_sql + f"\nSELECT question_id, {parsed_cols} FROM bank"
+
+    def route(cat):
+        c = f"coalesce({cat}, '')"
+        return (f"CASE WHEN {c} = 'classification' OR contains(lower(question), 'subunit_cd=') "
+                f"THEN 'classification' WHEN {c} = 'case_grounded' OR contains(lower(question), "
+                f"'similar to') THEN 'case' WHEN {c} = 'trend' OR starts_with(lower(question), "
+                f"'how many') OR starts_with(lower(question), 'compare') THEN 'trend' ELSE 'none' END")
+    ws = "'^\\s+|\\s+$'"
+    rq = f"regexp_replace(question, {ws}, '', 'g')"
+    for m in reversed(questions.RETRIEVAL_MARKERS):
+        pos = f"instr(lower(question), '{m}')"
+        rq = (f"CASE WHEN {pos} > 0 THEN regexp_replace(substring(question, {pos} + {len(m)}), "
+              f"{ws}, '', 'g') ELSE {rq} END")
+    route_sql = bank_sql + f"""
+SELECT question_id, {route('category')} AS route, {rq} AS retrieval_query,
+       {route("CAST(NULL AS VARCHAR)")} AS route_blind FROM bank"""
+
+    pmatch = " AND ".join(
+        f"(p.f_{k} IS NULL OR {canon('i.' + c)} = {canon('p.f_' + k)})" if c == SPEC.target else
+        f"(p.f_{k} IS NULL OR contains(lower(i.{c}), lower(p.f_{k})))" if c in CONTAINS_DIMS else
+        f"(p.f_{k} IS NULL OR lower(i.{c}) = lower(p.f_{k}))" for k, c in FILTER_DIMS.items())
+    answers_sql = bank_sql + f""",
+p AS (SELECT question_id, {route('category')} AS route, {parsed_cols} FROM bank),
+t AS (SELECT * FROM p WHERE route = 'trend'),
+s AS (SELECT p.question_id, i.{SPEC.year} AS yr, count(*) AS n FROM t p JOIN incidents i ON {pmatch}
+      WHERE i.{SPEC.year} IS NOT NULL GROUP BY ALL),
+a AS (SELECT t.question_id, t.period_a0, t.period_a1, t.period_b0, t.period_b1, t.target_year,
+        sum(CASE WHEN s.yr BETWEEN t.period_a0 AND t.period_a1 THEN s.n ELSE 0 END) AS na,
+        sum(CASE WHEN s.yr BETWEEN t.period_b0 AND t.period_b1 THEN s.n ELSE 0 END) AS nb,
+        max(CASE WHEN s.yr = t.target_year AND s.yr <> {SPEC.partial_year} THEN s.n END) AS hit
+      FROM t LEFT JOIN s USING (question_id) GROUP BY ALL)
+SELECT question_id, CASE
+  WHEN period_a0 IS NOT NULL THEN 'Period ' || period_a0 || '-' || period_a1 || ': ' || coalesce(na, 0)
+       || ' injuries' || chr(10) || 'Period ' || period_b0 || '-' || period_b1 || ': ' || coalesce(nb, 0)
+       || ' injuries'
+  WHEN hit IS NOT NULL THEN 'There were ' || hit || ' matching injuries in ' || target_year || '.'
+  ELSE 'No count found for year ' || coalesce(CAST(target_year AS VARCHAR), 'None') || '.' END AS answer
+FROM a"""
+
+    view = bank_sql + """
+SELECT question_id, category, question, ref_type, ref_value, ref_document_no, ref_year, ref_period_a,
+       ref_period_b, ref_counts, ref_documents, ref_must_include FROM bank"""
+    return {"question_bank": view, "question_fields": fields_sql, "question_filters": filters_sql,
+            "question_route": route_sql, "answer_trends_bulk": answers_sql}
+
+
+ORACLE = _oracle_sql()
