@@ -19,8 +19,11 @@ Two exact engines and one approximate one:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,37 +45,83 @@ def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
-                 doc_id: str = "doc_id", doc_text: str = "text",
-                 q_id: str = "qid", q_text: str = "query") -> DataFrame:
-    """R1 + R4 (lexical): (q_id, rank, doc_id, score) by TF-IDF cosine.
+@dataclass
+class LexicalIndex:
+    """R1 + S9: the lexical "vector table".
 
-    idf = ln(N / df); weights tf * idf; score = dot / (|q| |d|), rounded to
-    6 places; ties broken by round(score, 9) then doc id.
+    ``postings`` = (doc_id, term, w, dnorm) with w = tf * idf and the
+    document's L2 norm; ``idf`` = (term, idf). Both are persisted (or
+    written with ``write_index``) so every search reads the tokenised corpus
+    once instead of re-tokenising it per branch of the plan.
     """
+
+    postings: DataFrame
+    idf: DataFrame
+    doc_id: str
+
+    def unpersist(self) -> None:
+        self.postings.unpersist()
+        self.idf.unpersist()
+
+
+def lexical_index(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
+                  persist: bool = True) -> LexicalIndex:
+    """Tokenise once: tf per (doc, term), idf = ln(N / df), doc norms."""
     corpus = corpus.filter(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull())
     dtf = term_frequencies(corpus, doc_id, doc_text)
+    if persist:
+        dtf = dtf.persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
     dfreq = dtf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # n_docs is a single aggregated row: broadcasting it is bounded.
-    idf = dfreq.join(F.broadcast(n_docs), how="inner", on=F.lit(True))
-    idf = idf.select("term", F.log(F.col("n_docs") / F.col("df")).alias("idf"))
-    dw = dtf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    idf = (dfreq.join(F.broadcast(n_docs), how="inner", on=F.lit(True))
+           .select("term", F.log(F.col("n_docs") / F.col("df")).alias("idf")))
+    if persist:
+        idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
+    dw = dtf.join(idf, "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
     dnorm = dw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dnorm"))
+    postings = dw.join(dnorm, doc_id).filter(F.col("dnorm") > 0)
+    if persist:
+        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
+    return LexicalIndex(postings, idf, doc_id)
+
+
+def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 5, q_id: str = "qid",
+                   q_text: str = "query") -> DataFrame:
+    """R4 (lexical): (q_id, rank, doc_id, score) by TF-IDF cosine.
+
+    Query weights are tiny; the join with the postings runs on the query
+    terms only and the per-(query, doc) dot products are summed with a
+    partial/final aggregate before the per-query top-k.
+    """
+    doc_id = index.doc_id
     qtf = term_frequencies(queries, q_id, q_text)
-    qw = qtf.join(idf, "term").withColumn("qw", F.col("tf") * F.col("idf")) \
-            .select(q_id, "term", "qw")
+    qw = qtf.join(index.idf, "term").select(q_id, "term", (F.col("tf") * F.col("idf")).alias("qw"))
     qnorm = qw.groupBy(q_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    q_terms = qw.select("term").distinct()
-    dw_q = dw.join(q_terms, "term", "left_semi").select(doc_id, "term", "w")
-    dots = (qw.join(dw_q, "term")
-            .groupBy(q_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("dot")))
-    scored = (dots.join(qnorm, q_id).join(dnorm, doc_id)
-              .filter((F.col("qnorm") > 0) & (F.col("dnorm") > 0))
+    dots = (qw.join(index.postings, "term")
+            .groupBy(q_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"),
+                                       F.max("dnorm").alias("dnorm")))
+    scored = (dots.join(qnorm.filter(F.col("qnorm") > 0), q_id)
               .withColumn("score", F.col("dot") / (F.col("qnorm") * F.col("dnorm"))))
     return top_k(scored, q_id, doc_id, k)
 
 
+def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
+                 doc_id: str = "doc_id", doc_text: str = "text",
+                 q_id: str = "qid", q_text: str = "query") -> DataFrame:
+    """R1 + R4: index the corpus and search it (see ``lexical_index``).
+
+    idf = ln(N / df); weights tf * idf; score = dot / (|q| |d|), rounded to
+    6 places; ties broken by round(score, 9) then doc id.
+    """
+    return lexical_search(lexical_index(corpus, doc_id, doc_text), queries, k, q_id, q_text)
+
+
+def write_index(index: LexicalIndex, path: str, mode: str = "append") -> None:
+    """Persist the postings as Parquet (append = incremental build)."""
+    index.postings.write.mode(mode).parquet(f"{path}/postings")
+
+
 def top_k(scored: DataFrame, q_id: str, item_id: str, k: int) -> DataFrame:
     w = Window.partitionBy(q_id).orderBy(F.desc(F.round("score", 9)), F.asc(item_id))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -66,15 +66,17 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
 def build_pipeline(features: list[str], label: str = "label_code", num_trees: int = 100,
                    max_depth: int = 10, seed: int = RANDOM_SEED) -> Pipeline:
     """M2 + M4."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
-                         stringOrderType="alphabetAsc") for c in features]
+    # One multi-column indexer: one pass over the data for all code columns.
+    idx = [StringIndexer(inputCols=list(features), outputCols=[f"{c}__idx" for c in features],
+                         handleInvalid="keep", stringOrderType="alphabetAsc")]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in features],
                         outputCols=[f"{c}__vec" for c in features], dropLast=True)
     asm = VectorAssembler(inputCols=[f"{c}__vec" for c in features], outputCol="features")
     lab = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                                 numTrees=num_trees, maxDepth=max_depth,
-                                featureSubsetStrategy="sqrt", seed=seed)
+                                featureSubsetStrategy="sqrt", seed=seed,
+                                maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[*idx, ohe, asm, lab, rf])
 
 
@@ -95,10 +97,11 @@ def fit(train: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC, include_context: boo
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """M5: adds ``predicted_code`` (the original code string)."""
-    label_model = [s for s in model.stages if getattr(s, "getOutputCol", lambda: "")() == "label"]
+    label_model = [s for s in model.stages if s.hasParam("outputCol") and s.isDefined("outputCol")
+                   and s.getOutputCol() == "label"]
     labels = label_model[0].labels
-    feats = [s.getInputCol() for s in model.stages
-             if hasattr(s, "getOutputCol") and s.getOutputCol().endswith("__idx")]
+    feats = [c for s in model.stages if s.hasParam("outputCols") and s.isDefined("outputCols")
+             and s.getOutputCols()[0].endswith("__idx") for c in s.getInputCols()]
     ready = df
     for c in feats:
         ready = ready.withColumn(c, F.col(c).cast("string"))
@@ -159,3 +162,29 @@ def class_metrics(pairs: DataFrame, truth: str = "truth", pred: str = "pred") ->
     ).select(F.col("m.metric").alias("metric"), F.lit("*").alias("label"),
              F.col("m.value").alias("value"))
     return per_rows.unionByName(over_rows).withColumn("value", F.round("value", 6))
+
+
+def model_path(spark, name: str, **params) -> str:
+    """Where a trained model lives - under the shared folder named by
+    ``spark.checkpoint.dir`` (never a machine-local path on a cluster), keyed
+    by a hash of the training parameters so a changed setup retrains."""
+    import hashlib
+    import json
+
+    from quarrylens.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    digest = hashlib.sha1(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:12]
+    return f"{base}/models/{name}-{digest}"
+
+
+def fit_or_load(spark, name: str, train_fn, **params) -> PipelineModel:
+    """Load the saved pipeline if present, else fit, save and return it
+    (the original trained once and loaded the artifact for serving)."""
+    path = model_path(spark, name, **params)
+    try:
+        return PipelineModel.load(path)
+    except Exception:  # noqa: BLE001 - not trained yet
+        model = train_fn()
+        model.write().overwrite().save(path)
+        return model

@@ -31,7 +31,7 @@ def balanced_weights(spark: SparkSession, sf_dir: str):
 
 
 def _fit_holdout(spark, sf_dir, num_trees=100):
-    s = split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC)
+    s = split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC).persist()
     train = s.filter(F.col("split") == "train")
     test = s.filter(F.col("split") == "test")
     model = severity.fit(train, DRIVER_SPEC, num_trees=num_trees)
@@ -46,10 +46,16 @@ def forest_predict(spark: SparkSession, sf_dir: str):
 
 
 def forest_report(spark: SparkSession, sf_dir: str):
-    """M9 + M10: holdout and out-of-time metrics, context ablation off/on."""
+    """M9 + M10: holdout and out-of-time metrics, context ablation off/on.
+
+    Each split is materialised once (it feeds four fits and four scorings)
+    and each prediction table once (the metrics read it several times).
+    """
     inc = incidents(spark, sf_dir)
-    s = split.stratified_split(inc, DRIVER_SPEC)
-    oot = split.out_of_time(inc, DRIVER_SPEC)
+    cols = ["DOCUMENT_NO", "DEGREE_INJURY_CD", "split", *DRIVER_SPEC.features,
+            *DRIVER_SPEC.mine_context]
+    s = split.stratified_split(inc, DRIVER_SPEC).select(*cols).persist()
+    oot = split.out_of_time(inc, DRIVER_SPEC).select(*cols).persist()
     parts = []
     for name, frame in (("holdout", s), ("out_of_time", oot)):
         for ctx in (False, True):
@@ -58,7 +64,7 @@ def forest_report(spark: SparkSession, sf_dir: str):
             model = severity.fit(train, DRIVER_SPEC, include_context=ctx, num_trees=30)
             pred = severity.predict(model, test, keep=["DEGREE_INJURY_CD"])
             pairs = pred.select(F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"),
-                                F.col("predicted_code").alias("pred"))
+                                F.col("predicted_code").alias("pred")).persist()
             m = severity.class_metrics(pairs).filter(F.col("label") == "*")
             parts.append(m.select(F.lit(name).alias("split_name"), F.lit(ctx).alias("context"),
                                   "metric", "value"))
@@ -116,6 +122,7 @@ def lexical_topk(spark: SparkSession, sf_dir: str):
 def context_assembly(spark: SparkSession, sf_dir: str):
     hits = retrieval.hits_as_structs(_lexical(spark, sf_dir), table(spark, sf_dir, "documents"),
                                      "qid", "doc_id", "text")
+    # R7 assembles whole narratives (no truncation) for every query.
     ctx = hits.select("qid", retrieval.context_text("hits").alias("context"))
     return ctx.select("qid", F.length("context").alias("context_len"),
                       F.md5("context").alias("context_md5"))
