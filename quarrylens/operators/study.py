@@ -33,14 +33,20 @@ def display_answer(answer) -> Column:
 
 def select_question_ids(runs: DataFrame, per_category: int, seed: int) -> DataFrame:
     """P7 for the study: ``per_category`` question ids per category (from the
-    id prefix), md5-ordered. Returns (question_id, category, pool)."""
+    id prefix), md5-ordered. Returns (question_id, category, pool).
+
+    ``row_number() <= k`` plans as ``WindowGroupLimit``: every map task keeps
+    only its own top k per category before the shuffle, so a category that
+    holds most of the questions still ships k rows per task, not all of them.
+    The pool size is an ordinary (map-side combined) count.
+    """
     q = runs.select("question_id").distinct().withColumn("category", question_category("question_id"))
     w = Window.partitionBy("category").orderBy("_h", "question_id")
-    pool = Window.partitionBy("category")
-    q = (q.withColumn("_h", md5_order("category", "question_id", F.lit(str(seed))))
-         .withColumn("_r", F.row_number().over(w))
-         .withColumn("pool", F.count(F.lit(1)).over(pool)))
-    return q.filter(F.col("_r") <= per_category).select("question_id", "category", "pool")
+    top = (q.withColumn("_h", md5_order("category", "question_id", F.lit(str(seed))))
+           .withColumn("_r", F.row_number().over(w))
+           .filter(F.col("_r") <= per_category))
+    pool = q.groupBy("category").agg(F.count(F.lit(1)).alias("pool"))
+    return top.join(pool, "category").select("question_id", "category", "pool")
 
 
 def blind(runs: DataFrame, question_ids: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -77,11 +83,13 @@ def participant_sheets(participants: DataFrame, stimuli: DataFrame, seed: int) -
     per-participant md5 order, answers A/B/C within a question; running
     ``display_order``; blank rating columns.
 
-    This is a product by design (participants x stimuli); the stimulus side
-    is the study set, bounded by per_category x categories x 3 rows, and is
-    broadcast.
+    This is a product by design (the study shows every stimulus to every
+    participant). The stimulus side is the study set, bounded by
+    per_category x categories x 3 rows; no hint is given, so Spark
+    broadcasts it only when its measured size is under
+    ``spark.sql.autoBroadcastJoinThreshold``.
     """
-    j = participants.select("participant_id").join(F.broadcast(stimuli), how="inner", on=F.lit(True))
+    j = participants.select("participant_id").join(stimuli, how="inner", on=F.lit(True))
     w = Window.partitionBy("participant_id").orderBy("_h", "question_id", "system_blinded_label")
     j = (j.withColumn("_h", md5_order("participant_id", "question_id", F.lit(str(seed))))
          .withColumn("display_order", F.row_number().over(w)).drop("_h"))

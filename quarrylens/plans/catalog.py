@@ -9,6 +9,7 @@ AREAS = [
     "quarrylens.plans.clean_queries",
     "quarrylens.plans.model_queries",
     "quarrylens.plans.qa_queries",
+    "quarrylens.plans.study_queries",
 ]
 
 
