@@ -10,6 +10,7 @@ AREAS = [
     "quarrylens.plans.model_queries",
     "quarrylens.plans.qa_queries",
     "quarrylens.plans.study_queries",
+    "quarrylens.plans.eval_queries",
 ]
 
 
