@@ -49,24 +49,34 @@ def term_frequencies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class LexicalIndex:
     """R1 + S9: the lexical "vector table".
 
-    ``postings`` = (doc_id, term, w, dnorm) with w = tf * idf and the
-    document's L2 norm; ``idf`` = (term, idf). Both are persisted (or
-    written with ``write_index``) so every search reads the tokenised corpus
-    once instead of re-tokenising it per branch of the plan.
+    ``postings`` = (doc_id, term, w) with w = tf * idf; ``norms`` = (doc_id,
+    dnorm), the L2 norm of each document's weights; ``idf`` = (term, idf).
+    All three are persisted (or written with ``write_index``) so every
+    search reads the tokenised corpus once instead of re-tokenising it per
+    branch of the plan. Norms are kept apart from the postings: a search
+    joins them to its (query, doc) candidates after the dot products are
+    summed, not to every posting.
     """
 
     postings: DataFrame
     idf: DataFrame
     doc_id: str
+    norms: DataFrame | None = None
 
     def unpersist(self) -> None:
-        self.postings.unpersist()
-        self.idf.unpersist()
+        for df in (self.postings, self.idf, self.norms):
+            if df is not None:
+                df.unpersist()
 
 
 def lexical_index(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
                   persist: bool = True) -> LexicalIndex:
-    """Tokenise once: tf per (doc, term), idf = ln(N / df), doc norms."""
+    """Tokenise once: tf per (doc, term), idf = ln(N / df), doc norms.
+
+    A term found in every document has idf 0 and adds nothing to any dot
+    product or norm, so its postings are dropped (exact); these are also the
+    hottest join keys.
+    """
     corpus = corpus.filter(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull())
     dtf = term_frequencies(corpus, doc_id, doc_text)
     if persist:
@@ -78,12 +88,15 @@ def lexical_index(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "te
            .select("term", F.log(F.col("n_docs") / F.col("df")).alias("idf")))
     if persist:
         idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
-    dw = dtf.join(idf, "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    dnorm = dw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dnorm"))
-    postings = dw.join(dnorm, doc_id).filter(F.col("dnorm") > 0)
+    postings = (dtf.join(idf.filter(F.col("idf") > 0), "term")
+                .select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w")))
     if persist:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
-    return LexicalIndex(postings, idf, doc_id)
+    norms = (postings.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dnorm"))
+             .filter(F.col("dnorm") > 0))
+    if persist:
+        norms = norms.persist(StorageLevel.MEMORY_AND_DISK)
+    return LexicalIndex(postings, idf, doc_id, norms)
 
 
 def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 5, q_id: str = "qid",
@@ -92,16 +105,16 @@ def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 5, q_id: st
 
     Query weights are tiny; the join with the postings runs on the query
     terms only and the per-(query, doc) dot products are summed with a
-    partial/final aggregate before the per-query top-k.
+    partial/final aggregate before the norms are attached and the
+    per-query top-k is taken.
     """
     doc_id = index.doc_id
     qtf = term_frequencies(queries, q_id, q_text)
     qw = qtf.join(index.idf, "term").select(q_id, "term", (F.col("tf") * F.col("idf")).alias("qw"))
     qnorm = qw.groupBy(q_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     dots = (qw.join(index.postings, "term")
-            .groupBy(q_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"),
-                                       F.max("dnorm").alias("dnorm")))
-    scored = (dots.join(qnorm.filter(F.col("qnorm") > 0), q_id)
+            .groupBy(q_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("dot")))
+    scored = (dots.join(index.norms, doc_id).join(qnorm.filter(F.col("qnorm") > 0), q_id)
               .withColumn("score", F.col("dot") / (F.col("qnorm") * F.col("dnorm"))))
     return top_k(scored, q_id, doc_id, k)
 
@@ -118,8 +131,9 @@ def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
 
 
 def write_index(index: LexicalIndex, path: str, mode: str = "append") -> None:
-    """Persist the postings as Parquet (append = incremental build)."""
+    """Persist the postings and norms as Parquet (append = incremental build)."""
     index.postings.write.mode(mode).parquet(f"{path}/postings")
+    index.norms.write.mode(mode).parquet(f"{path}/norms")
 
 
 def top_k(scored: DataFrame, q_id: str, item_id: str, k: int) -> DataFrame:

@@ -168,14 +168,9 @@ def model_path(spark, name: str, **params) -> str:
     """Where a trained model lives - under the shared folder named by
     ``spark.checkpoint.dir`` (never a machine-local path on a cluster), keyed
     by a hash of the training parameters so a changed setup retrains."""
-    import hashlib
-    import json
+    from quarrylens.plans.artifacts import artifact_path
 
-    from quarrylens.session import ensure_checkpoint_dir
-
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    digest = hashlib.sha1(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:12]
-    return f"{base}/models/{name}-{digest}"
+    return artifact_path(spark, "models", name, **params)
 
 
 def fit_or_load(spark, name: str, train_fn, **params) -> PipelineModel:

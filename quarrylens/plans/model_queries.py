@@ -30,11 +30,32 @@ def balanced_weights(spark: SparkSession, sf_dir: str):
     return w.select(DRIVER_SPEC.target, "n_c", F.round("weight", 9).alias("weight"))
 
 
-def _fit_holdout(spark, sf_dir, num_trees=100):
-    s = split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC).persist()
-    train = s.filter(F.col("split") == "train")
-    test = s.filter(F.col("split") == "test")
-    model = severity.fit(train, DRIVER_SPEC, num_trees=num_trees)
+HOLDOUT_TREES = 100
+MODEL_TABLES = ["orders", "customer", "nation", "region"]
+
+
+def holdout_split(spark, sf_dir):
+    return split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC)
+
+
+def holdout_model(spark, sf_dir, num_trees: int = HOLDOUT_TREES):
+    """The one holdout model (100 trees, as in the original), trained on
+    the stratified train split once and loaded by every query that serves
+    it (predictions, request scoring, the classifier system of the runs)."""
+    from quarrylens.plans.artifacts import data_version
+
+    def train():
+        s = holdout_split(spark, sf_dir)
+        return severity.fit(s.filter(F.col("split") == "train"), DRIVER_SPEC, num_trees=num_trees)
+
+    return severity.fit_or_load(spark, "severity_holdout", train, sf_dir=sf_dir, trees=num_trees,
+                                features=DRIVER_SPEC.features,
+                                data=data_version(sf_dir, MODEL_TABLES))
+
+
+def _fit_holdout(spark, sf_dir, num_trees=HOLDOUT_TREES):
+    model = holdout_model(spark, sf_dir, num_trees)
+    test = holdout_split(spark, sf_dir).filter(F.col("split") == "test")
     return model, test
 
 
@@ -76,7 +97,7 @@ def forest_report(spark: SparkSession, sf_dir: str):
 
 def serve_rows(spark: SparkSession, sf_dir: str):
     """M11 + M5: score raw request rows (partial codes) with the fitted model."""
-    model, test = _fit_holdout(spark, sf_dir, num_trees=20)
+    model, test = _fit_holdout(spark, sf_dir)
     req = test.select("DOCUMENT_NO", *DRIVER_SPEC.features)
     # Requests arrive with lower-case codes and gaps; complete them first.
     req = req.withColumn("COAL_METAL_IND", F.lower("COAL_METAL_IND"))

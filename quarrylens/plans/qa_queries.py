@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylens.operators import bank, evaluation, questions, retrieval, severity, split, trends
+from quarrylens.plans.artifacts import table_or_build
 from quarrylens.plans.bindings import DRIVER_SPEC, incidents, table
 from quarrylens.spec import SYSTEMS
 
@@ -103,7 +104,19 @@ def _trend_spec_frames(spark):
     return _spec_frame(spark, counts), _spec_frame(spark, periods)
 
 
+BANK_TABLES = ["orders", "customer", "nation", "region", "documents", "benchmark"]
+
+
 def question_bank(spark: SparkSession, sf_dir: str, index=None):
+    """B4 + S6: the bank, built once per input version and stored (the
+    original wrote questions and reference answers to files once)."""
+    from quarrylens.plans.artifacts import data_version
+
+    return table_or_build(spark, "question_bank", lambda: build_question_bank(spark, sf_dir, index),
+                          sf_dir=sf_dir, data=data_version(sf_dir, BANK_TABLES))
+
+
+def build_question_bank(spark: SparkSession, sf_dir: str, index=None):
     inc = incidents(spark, sf_dir)
     cls = bank.classification_items(inc, FIELD_MAP, "DOCUMENT_NO", SPEC.target, 20, 42)
     count_specs, period_specs = _trend_spec_frames(spark)
@@ -195,18 +208,15 @@ def _classifier_answers(spark, sf_dir, bank_df):
     f = questions.question_fields(bank_df.select("question_id", "question"))
     req = f.select("question_id", "field_source",
                    *[F.col(src).alias(dst) for dst, src in SERVE_MAP.items()])
-    def train():
-        s = split.stratified_split(incidents(spark, sf_dir), SPEC)
-        return severity.fit(s.filter(F.col("split") == "train"), SPEC, num_trees=30)
+    from quarrylens.plans.model_queries import holdout_model
 
-    model = severity.fit_or_load(spark, "severity_holdout", train, sf_dir=sf_dir, trees=30,
-                                 features=SPEC.features)
+    model = holdout_model(spark, sf_dir)
     pred = severity.predict(model, req, keep=["question_id", "field_source"])
     return pred.select("question_id", questions.format_classifier_answer(
         F.col("field_source"), F.col("predicted_code")).alias("answer"))
 
 
-def run_table(spark: SparkSession, sf_dir: str):
+def build_run_table(spark: SparkSession, sf_dir: str):
     """Q10 + Q11: three offline systems x every question, one union."""
     index = retrieval.lexical_index(table(spark, sf_dir, "documents"))
     b = question_bank(spark, sf_dir, index).persist()
@@ -240,9 +250,21 @@ def run_table(spark: SparkSession, sf_dir: str):
     return a.unionByName(c).unionByName(r)
 
 
+RUN_TABLES = BANK_TABLES
+
+
+def run_table(spark: SparkSession, sf_dir: str):
+    """S7 + Q11: the run table, built once per input version and stored
+    (the original wrote its run rows to JSONL and scored from the file)."""
+    from quarrylens.plans.artifacts import data_version
+
+    return table_or_build(spark, "run_table", lambda: build_run_table(spark, sf_dir),
+                          sf_dir=sf_dir, data=data_version(sf_dir, RUN_TABLES))
+
+
 def _scored(spark, sf_dir):
-    """Runs joined to their references (J6) and scored; materialised once
-    because every report reads it several times."""
+    """Stored runs joined to their references (J6) and scored; materialised
+    once because every report reads it several times."""
     runs = run_table(spark, sf_dir)
     b = question_bank(spark, sf_dir).drop("category", "question")
     scored = evaluation.score_rows(runs.join(b, "question_id", "inner"))
