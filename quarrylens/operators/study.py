@@ -155,6 +155,19 @@ def flatten_answers(answers: DataFrame, registry: DataFrame) -> DataFrame:
     return out
 
 
+def score_items(responses: DataFrame) -> DataFrame:
+    """H12 + H13 in one projection: items as doubles, ``complete`` flag and
+    ``ess_mean`` (null when any item is missing)."""
+    vals = [F.expr(f"try_cast(nullif(trim(`{i}`), '') AS double)") for i in ESS_ITEMS]
+    x = responses.select(*[c for c in responses.columns if c not in ESS_ITEMS],
+                         F.array(*vals).alias("_items"))
+    complete = ~F.exists("_items", lambda v: v.isNull())
+    x = x.withColumn("complete", complete).withColumn(
+        "ess_mean", F.when(F.col("complete"), F.aggregate("_items", F.lit(0.0), lambda a, v: a + v)
+                           / len(ESS_ITEMS)))
+    return x.select("*", *[F.col("_items")[n].alias(i) for n, i in enumerate(ESS_ITEMS)]).drop("_items")
+
+
 def completeness(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H12 + H13: (complete rows with ``ess_mean``, rejected rows).
 
@@ -171,24 +184,41 @@ def completeness(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.drop("_items"), x.filter(bad).drop("_items")
 
 
-def summarize(joined: DataFrame) -> DataFrame:
+def summarize(joined: DataFrame, status: str | None = None,
+              reasons: tuple = ("incomplete", "unknown_stimulus")) -> DataFrame:
     """Long table (scope, name, value, n): overall, by system, by
-    category, by item (3 decimals), plus participant and response counts."""
-    overall = joined.agg(F.round(F.avg("ess_mean"), 3).alias("value"),
-                         F.count(F.lit(1)).alias("n")).select(
-        F.lit("overall").alias("scope"), F.lit("all").alias("name"), "value", "n")
-    by_sys = joined.groupBy("system_actual").agg(F.round(F.avg("ess_mean"), 3).alias("value"),
-                                                 F.count(F.lit(1)).alias("n")).select(
-        F.lit("system").alias("scope"), F.col("system_actual").alias("name"), "value", "n")
-    by_cat = joined.groupBy("category").agg(F.round(F.avg("ess_mean"), 3).alias("value"),
-                                            F.count(F.lit(1)).alias("n")).select(
-        F.lit("category").alias("scope"), F.col("category").alias("name"), "value", "n")
-    stacked = joined.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("item"), F.col(i).cast("double").alias("v")) for i in ESS_ITEMS])).alias("s"))
-    by_item = stacked.groupBy("s.item").agg(F.round(F.avg("s.v"), 3).alias("value"),
-                                            F.count(F.lit(1)).alias("n")).select(
-        F.lit("item").alias("scope"), F.col("item").alias("name"), "value", "n")
-    people = joined.agg(F.countDistinct("participant_id").cast("double").alias("value"),
-                        F.count(F.lit(1)).alias("n")).select(
-        F.lit("participants").alias("scope"), F.lit("distinct").alias("name"), "value", "n")
-    return overall.unionByName(by_sys).unionByName(by_cat).unionByName(by_item).unionByName(people)
+    category, by item (3 decimals), distinct participants; with ``status``
+    (values 'ok' or a reject reason) also one ('rejected', reason) row each.
+
+    One pass: every response row is exploded into the (scope, name, value)
+    entries it contributes to, then a single grouped aggregate (partial +
+    final, one shuffle of at most 13 entries per row) computes them all.
+    """
+    ok = F.lit(True) if status is None else (F.col(status) == "ok")
+
+    def entry(scope, name, v):
+        return F.struct(F.lit(scope).alias("scope"), name.alias("name"), v.alias("v"))
+
+    mean = F.col("ess_mean").cast("double")
+    good = F.array(entry("overall", F.lit("all"), mean),
+                   entry("system", F.col("system_actual").cast("string"), mean),
+                   entry("category", F.col("category").cast("string"), mean),
+                   *[entry("item", F.lit(i), F.col(i).cast("double")) for i in ESS_ITEMS],
+                   entry("participants", F.lit("distinct"), F.lit(None).cast("double")))
+    bad = F.array(entry("rejected", F.col(status) if status else F.lit(""), F.lit(None).cast("double")))
+    e = joined.select("participant_id", F.explode(F.when(ok, good).otherwise(bad)).alias("e"))
+    g = e.groupBy("e.scope", "e.name").agg(F.avg("e.v").alias("_avg"), F.count(F.lit(1)).alias("n"),
+                                           F.countDistinct("participant_id").alias("_people"))
+    value = (F.when(F.col("scope") == "participants", F.col("_people").cast("double"))
+             .when(F.col("scope") == "rejected", F.col("n").cast("double"))
+             .otherwise(F.round("_avg", 3)))
+    out = g.select("scope", "name", value.alias("value"), "n")
+    if status is None:
+        return out
+    # Every reject reason is reported, with 0 when no row has it: the
+    # aggregated table (a few dozen rows) is topped up and re-summed.
+    zeros = joined.sparkSession.createDataFrame(
+        [("rejected", r, 0.0, 0) for r in reasons], "scope string, name string, value double, n bigint")
+    rej = (out.filter(F.col("scope") == "rejected").unionByName(zeros)
+           .groupBy("scope", "name").agg(F.sum("value").alias("value"), F.sum("n").alias("n")))
+    return out.filter(F.col("scope") != "rejected").unionByName(rej)

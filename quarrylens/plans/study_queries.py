@@ -161,22 +161,19 @@ def flatten_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completeness split, key join, summary table."""
+    """Completeness check, key join, summary table - one
+    aggregate over the flattened responses (rejected rows counted by
+    reason: incomplete, unknown stimulus)."""
     _, _, key, _ = _blinded(spark, sf_dir)
     flat = flatten_responses(spark, sf_dir)
     as_text = flat.select("participant_id", "stimulus_id", "comment",
                           *[F.col(i).cast("string").alias(i) for i in ESS_ITEMS])
-    good, bad = study.completeness(as_text)
-    joined = good.join(key.select("stimulus_id", "category", "system_actual"), "stimulus_id", "left")
-    unmatched = joined.filter(F.col("system_actual").isNull())
-    summary = study.summarize(joined.filter(F.col("system_actual").isNotNull()))
-    extra = (bad.agg(F.count(F.lit(1)).alias("n"))
-             .select(F.lit("rejected").alias("scope"), F.lit("incomplete").alias("name"),
-                     F.col("n").cast("double").alias("value"), "n")
-             .unionByName(unmatched.agg(F.count(F.lit(1)).alias("n"))
-                          .select(F.lit("rejected").alias("scope"), F.lit("unknown_stimulus").alias("name"),
-                                  F.col("n").cast("double").alias("value"), "n")))
-    return summary.unionByName(extra)
+    scored = study.score_items(as_text)
+    joined = scored.join(key.select("stimulus_id", "category", "system_actual"), "stimulus_id", "left")
+    status = (F.when(~F.col("complete"), F.lit("incomplete"))
+              .when(F.col("system_actual").isNull(), F.lit("unknown_stimulus"))
+              .otherwise(F.lit("ok")))
+    return study.summarize(joined.withColumn("_status", status), status="_status")
 
 
 QUERIES = {
