@@ -64,14 +64,20 @@ def tag_rules(df: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC) -> DataFrame:
     ``_copies`` (copies of a duplicated key) and ``_equip_invalid``.
 
     Rule 1 drops *every* copy of a duplicated key (the original behaviour).
+    The row-local rules are evaluated before the duplicate-key join, so a
+    caller that needs only the tags (waterfall, summaries) lets Catalyst
+    prune wide columns such as the narrative before that shuffle.
     """
-    dups = duplicate_keys(df, spec.key).withColumnRenamed(spec.key, "_dup_key")
-    j = df.join(dups, F.col(spec.key).eqNullSafe(F.col("_dup_key")), "left").drop("_dup_key")
-    tag = F.when(F.col("_copies").isNotNull(), F.lit(1))
+    tag = None
     for i, (_, pred) in enumerate(rule_list(spec), start=2):
         if pred is not None:
-            tag = tag.when(pred, F.lit(i))
-    return j.withColumn("_rule", tag).withColumn("_equip_invalid", invalid_code(spec.equipment))
+            tag = F.when(pred, F.lit(i)) if tag is None else tag.when(pred, F.lit(i))
+    rows = (df.withColumn("_row_rule", tag)
+            .withColumn("_equip_invalid", invalid_code(spec.equipment)))
+    dups = duplicate_keys(df, spec.key).withColumnRenamed(spec.key, "_dup_key")
+    j = rows.join(dups, F.col(spec.key).eqNullSafe(F.col("_dup_key")), "left").drop("_dup_key")
+    rule = F.when(F.col("_copies").isNotNull(), F.lit(1)).otherwise(F.col("_row_rule"))
+    return j.withColumn("_rule", rule).drop("_row_rule")
 
 
 def step_names(spec: SchemaSpec) -> list[str]:

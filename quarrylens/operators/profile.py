@@ -41,31 +41,40 @@ def ingestion_summary(raw: DataFrame, cleaned: DataFrame, split_df: DataFrame,
                       joined_flag: DataFrame | None, spec: SchemaSpec = ACCIDENT_SPEC,
                       flag: str = "MINE_MATCH") -> DataFrame:
     """A5: (section, name, value) rows: raw/clean counts, split sizes,
-    join audit, year range, and class distribution per split."""
-    parts = [
-        raw.agg(F.count(F.lit(1)).alias("v")).select(
-            F.lit("rows").alias("section"), F.lit("raw").alias("name"), F.col("v").cast("bigint").alias("value")),
-        cleaned.agg(F.count(F.lit(1)).alias("v")).select(
-            F.lit("rows"), F.lit("cleaned"), F.col("v").cast("bigint")),
-        split_df.groupBy("split").agg(F.count(F.lit(1)).alias("v")).select(
-            F.lit("split"), F.col("split"), F.col("v").cast("bigint")),
-        cleaned.agg(F.min(spec.year).alias("a"), F.max(spec.year).alias("b")).select(
-            F.lit("years"), F.explode(F.array(
-                F.struct(F.lit("min").alias("k"), F.col("a").cast("bigint").alias("v")),
-                F.struct(F.lit("max").alias("k"), F.col("b").cast("bigint").alias("v")))).alias("r")
-        ).select("years", "r.k", "r.v"),
-        split_df.groupBy("split", canonical_code(spec.target).alias("code"))
-        .agg(F.count(F.lit(1)).alias("v"))
-        .select(F.concat(F.lit("distribution_"), F.col("split")), F.col("code"), F.col("v").cast("bigint")),
-    ]
-    if joined_flag is not None:
-        parts.append(joined_flag.agg(F.count_if(F.col(flag)).alias("m"),
-                                     F.count_if(~F.col(flag)).alias("u")).select(
-            F.lit("join"), F.explode(F.array(
-                F.struct(F.lit("matched").alias("k"), F.col("m").cast("bigint").alias("v")),
-                F.struct(F.lit("unmatched").alias("k"), F.col("u").cast("bigint").alias("v")))).alias("r")
-        ).select("join", "r.k", "r.v"))
+    join audit, year range, and class distribution per split.
+
+    Three passes, one per input: a count of the raw rows; one aggregate
+    over the cleaned rows (count, year range and - when the cleaned rows
+    carry the join flag - matched/unmatched); one ``rollup(split, code)``
+    over the split rows, which yields the distribution and the split sizes
+    from the same shuffle.
+    """
+    def rows(df, section, pairs):
+        return df.select(F.explode(F.array(*[
+            F.struct(F.lit(section).alias("section"), F.lit(k).alias("name"), v.cast("bigint").alias("value"))
+            for k, v in pairs])).alias("r")).select("r.*")
+
+    raw_part = rows(raw.agg(F.count(F.lit(1)).alias("n")), "rows", [("raw", F.col("n"))])
+    same = joined_flag is not None and joined_flag is cleaned
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(spec.year).alias("a"), F.max(spec.year).alias("b")]
+    if same:
+        aggs += [F.count_if(F.col(flag)).alias("m"), F.count_if(~F.col(flag)).alias("u")]
+    c = cleaned.agg(*aggs)
+    parts = [raw_part, rows(c, "rows", [("cleaned", F.col("n"))]),
+             rows(c, "years", [("min", F.col("a")), ("max", F.col("b"))])]
+    if same:
+        parts.append(rows(c, "join", [("matched", F.col("m")), ("unmatched", F.col("u"))]))
+    elif joined_flag is not None:
+        j = joined_flag.agg(F.count_if(F.col(flag)).alias("m"), F.count_if(~F.col(flag)).alias("u"))
+        parts.append(rows(j, "join", [("matched", F.col("m")), ("unmatched", F.col("u"))]))
+    r = (split_df.rollup("split", canonical_code(spec.target).alias("code"))
+         .agg(F.count(F.lit(1)).cast("bigint").alias("value"), F.grouping_id().alias("_g"))
+         .filter(F.col("split").isNotNull() & (F.col("_g") < 3)))
+    parts.append(r.select(
+        F.when(F.col("_g") == 0, F.concat(F.lit("distribution_"), F.col("split")))
+        .otherwise(F.lit("split")).alias("section"),
+        F.when(F.col("_g") == 0, F.col("code")).otherwise(F.col("split")).alias("name"), "value"))
     out = parts[0]
     for p in parts[1:]:
-        out = out.union(p)
-    return out.toDF("section", "name", "value")
+        out = out.unionByName(p)
+    return out

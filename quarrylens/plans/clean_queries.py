@@ -55,12 +55,26 @@ def invalid_profile(spark: SparkSession, sf_dir: str):
     return cleaning.invalid_profile(raw_incidents(spark, sf_dir), CODE_COLUMNS)
 
 
-def _joined(spark, sf_dir):
+MERGED_TABLES = ["lineitem", "documents", "supplier", "nation"]
+
+
+def build_merged(spark, sf_dir):
     cleaned = cleaning.clean(raw_incidents(spark, sf_dir), RAW_SPEC)
     site = cleaning.keep_first(sites(spark, sf_dir), "MINE_ID", ["CURRENT_MINE_TYPE"])
     return joins.left_join_flagged(cleaned, site, "MINE_ID")
 
 
+def _joined(spark, sf_dir):
+    """S3 + S4: the cleaned, site-joined table, written once per input
+    version and read back (the original wrote its processed tables and
+    split from the file). Summaries and splits then scan a stored table
+    instead of re-running cleaning and both joins once per branch."""
+    from quarrylens.plans.artifacts import data_version, table_or_build
+
+    return table_or_build(spark, "merged_incidents", lambda: build_merged(spark, sf_dir),
+                          sf_dir=sf_dir, data=data_version(sf_dir, MERGED_TABLES))
+
+
 def left_join_flagged(spark: SparkSession, sf_dir: str):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     labels = table(spark, sf_dir, "labels")
