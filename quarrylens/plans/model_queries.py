@@ -77,18 +77,30 @@ def forest_report(spark: SparkSession, sf_dir: str):
             *DRIVER_SPEC.mine_context]
     s = split.stratified_split(inc, DRIVER_SPEC).select(*cols).persist()
     oot = split.out_of_time(inc, DRIVER_SPEC).select(*cols).persist()
+    cells = [(name, frame, ctx) for name, frame in (("holdout", s), ("out_of_time", oot))
+             for ctx in (False, True)]
+
+    def fit_cell(cell):
+        name, frame, ctx = cell
+        train = frame.filter(F.col("split") == "train")
+        return severity.fit(train, DRIVER_SPEC, include_context=ctx, num_trees=30)
+
+    # The four fits are independent: submit them as concurrent Spark jobs
+    # (one driver thread each) so the small per-level jobs of one forest do
+    # not leave the rest of the cluster idle.
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(cells)) as pool:
+        models = list(pool.map(fit_cell, cells))
     parts = []
-    for name, frame in (("holdout", s), ("out_of_time", oot)):
-        for ctx in (False, True):
-            train = frame.filter(F.col("split") == "train")
-            test = frame.filter(F.col("split") == "test")
-            model = severity.fit(train, DRIVER_SPEC, include_context=ctx, num_trees=30)
-            pred = severity.predict(model, test, keep=["DEGREE_INJURY_CD"])
-            pairs = pred.select(F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"),
-                                F.col("predicted_code").alias("pred")).persist()
-            m = severity.class_metrics(pairs).filter(F.col("label") == "*")
-            parts.append(m.select(F.lit(name).alias("split_name"), F.lit(ctx).alias("context"),
-                                  "metric", "value"))
+    for (name, frame, ctx), model in zip(cells, models):
+        test = frame.filter(F.col("split") == "test")
+        pred = severity.predict(model, test, keep=["DEGREE_INJURY_CD"])
+        pairs = pred.select(F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"),
+                            F.col("predicted_code").alias("pred")).persist()
+        m = severity.class_metrics(pairs).filter(F.col("label") == "*")
+        parts.append(m.select(F.lit(name).alias("split_name"), F.lit(ctx).alias("context"),
+                              "metric", "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
