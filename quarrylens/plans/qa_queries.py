@@ -197,6 +197,44 @@ def answer_trends_bulk(spark: SparkSession, sf_dir: str):
     return _trend_answers(spark, sf_dir, parsed)
 
 
+TOOL_GROUP_COLUMN = "state"
+TOOL_TOP_N = 5
+
+
+def tool_request_table(spark: SparkSession, sf_dir: str):
+    """Q13 input: the agent's ``analyze_trends`` calls (request_id, tool,
+    args JSON) for every trend question - a period comparison and a group
+    breakdown for period questions; counts by year, year-over-year change
+    and a group breakdown for the others."""
+    b = question_bank(spark, sf_dir).select("question_id", "question", "category")
+    p = questions.parse_questions(b, trend_rules=DRIVER_TREND_RULES).filter(F.col("route") == "trend")
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"f_{k}").alias("value"))
+                        for k in FILTER_DIMS])
+    filters = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    types = F.when(F.col("period_a0").isNotNull(),
+                   F.array(F.lit("compare_periods"), F.lit("count_by_group"))) \
+             .otherwise(F.array(F.lit("count_by_year"), F.lit("year_over_year_change"),
+                                F.lit("count_by_group")))
+    x = p.select("question_id", filters.alias("filters"), "period_a0", "period_a1", "period_b0",
+                 "period_b1", F.explode(types).alias("qt"))
+    args = F.to_json(F.struct(F.col("qt").alias("query_type"), "filters",
+                              F.lit(TOOL_GROUP_COLUMN).alias("group_column"),
+                              F.lit(TOOL_TOP_N).alias("top_n"),
+                              F.col("period_a0").alias("period_a_start"),
+                              F.col("period_a1").alias("period_a_end"),
+                              F.col("period_b0").alias("period_b_start"),
+                              F.col("period_b1").alias("period_b_end")))
+    return x.select(F.concat_ws(":", "question_id", "qt").alias("request_id"),
+                    F.lit(trends.TOOL_NAME).alias("tool"), args.alias("args"))
+
+
+def tool_requests(spark: SparkSession, sf_dir: str):
+    """Q13 + T5 + T6: execute the trend tool requests in bulk."""
+    keys = {k: c for k, c in FILTER_DIMS.items()}
+    return trends.execute_trend_requests(incidents(spark, sf_dir), tool_request_table(spark, sf_dir),
+                                         keys, SPEC, CONTAINS_DIMS)
+
+
 def _hits(spark, sf_dir, parsed, index):
     docs = table(spark, sf_dir, "documents")
     q = parsed.select(F.col("question_id").alias("qid"), F.col("retrieval_query").alias("query"))
@@ -293,6 +331,7 @@ QUERIES = {
     "question_filters": question_filters_q,
     "question_route": question_route_q,
     "answer_trends_bulk": answer_trends_bulk,
+    "tool_requests": tool_requests,
     "run_table": run_table,
     "score_rows": score_rows_q,
     "accuracy_sets": accuracy_sets_q,
@@ -501,11 +540,39 @@ SELECT question_id, CASE
   ELSE 'No count found for year ' || coalesce(CAST(target_year AS VARCHAR), 'None') || '.' END AS answer
 FROM a"""
 
+    req = bank_sql + f""",
+tp0 AS (SELECT question_id, {route('category')} AS route, {parsed_cols} FROM bank),
+tt AS (SELECT * FROM tp0 WHERE route = 'trend'),
+p AS (SELECT question_id || ':' || u.qt AS request_id, u.qt, t.*
+      FROM tt AS t, unnest(CASE WHEN t.period_a0 IS NOT NULL THEN ['compare_periods', 'count_by_group']
+                     ELSE ['count_by_year', 'year_over_year_change', 'count_by_group'] END) AS u(qt)),
+tm AS (SELECT p.request_id, p.qt, i.{SPEC.year} AS yr, i.STATE AS grp FROM p JOIN incidents i ON {pmatch}),
+tser AS (SELECT request_id, qt, yr, count(*) AS n FROM tm
+        WHERE qt IN ('count_by_year', 'year_over_year_change') AND yr IS NOT NULL AND yr <> {SPEC.partial_year}
+        GROUP BY ALL),
+tlag AS (SELECT *, lag(n) OVER (PARTITION BY request_id ORDER BY yr) AS prev FROM tser),
+tper AS (SELECT p.request_id, x.lo, x.hi FROM p,
+        (SELECT 1) d, unnest([{{'lo': p.period_a0, 'hi': p.period_a1}}, {{'lo': p.period_b0, 'hi': p.period_b1}}]) AS u(x)
+        WHERE p.qt = 'compare_periods'),
+tpc AS (SELECT tper.request_id, tper.lo, tper.hi, count(tm.yr) AS n FROM tper
+       LEFT JOIN tm ON tm.request_id = tper.request_id AND tm.yr BETWEEN tper.lo AND tper.hi GROUP BY ALL),
+tg AS (SELECT request_id, grp, count(*) AS n FROM tm WHERE qt = 'count_by_group' AND grp IS NOT NULL GROUP BY ALL),
+tgr AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n DESC, grp) AS r FROM tg)
+SELECT request_id, 'count_by_year' AS query_type, CAST(yr AS VARCHAR) AS key, n, CAST(NULL AS BIGINT) AS change,
+       CAST(NULL AS DOUBLE) AS pct, CAST(NULL AS VARCHAR) AS error FROM tlag WHERE qt = 'count_by_year'
+UNION ALL
+SELECT request_id, 'year_over_year_change', CAST(yr AS VARCHAR), n, n - prev, round((n - prev) / prev * 100, 2),
+       NULL FROM tlag WHERE qt = 'year_over_year_change' AND prev IS NOT NULL
+UNION ALL
+SELECT request_id, 'compare_periods', lo || '-' || hi, n, NULL, NULL, NULL FROM tpc
+UNION ALL
+SELECT request_id, 'count_by_group', grp, n, NULL, NULL, NULL FROM tgr WHERE r <= {TOOL_TOP_N}"""
+
     view = bank_sql + """
 SELECT question_id, category, question, ref_type, ref_value, ref_document_no, ref_year, ref_period_a,
        ref_period_b, ref_counts, ref_documents, ref_must_include FROM bank"""
     return {"question_bank": view, "question_fields": fields_sql, "question_filters": filters_sql,
-            "question_route": route_sql, "answer_trends_bulk": answers_sql}
+            "question_route": route_sql, "answer_trends_bulk": answers_sql, "tool_requests": req}
 
 
 ORACLE = _oracle_sql()
