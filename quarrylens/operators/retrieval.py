@@ -131,9 +131,16 @@ def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
 
 
 def write_index(index: LexicalIndex, path: str, mode: str = "append") -> None:
-    """Persist the postings and norms as Parquet (append = incremental build)."""
+    """Persist the postings, norms and idf as Parquet."""
     index.postings.write.mode(mode).parquet(f"{path}/postings")
     index.norms.write.mode(mode).parquet(f"{path}/norms")
+    index.idf.write.mode(mode).parquet(f"{path}/idf")
+
+
+def read_index(spark, path: str, doc_id: str = "doc_id") -> LexicalIndex:
+    """Scan a stored index."""
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/idf"),
+                        doc_id, spark.read.parquet(f"{path}/norms"))
 
 
 def top_k(scored: DataFrame, q_id: str, item_id: str, k: int) -> DataFrame:

@@ -142,10 +142,28 @@ def vector_topk_lsh(spark: SparkSession, sf_dir: str):
 
 
 def _lexical(spark, sf_dir, k=5):
-    docs = table(spark, sf_dir, "documents")
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
                                                      F.col("text").alias("query"))
-    return retrieval.lexical_topk(docs, bench, k=k)
+    return retrieval.lexical_search(documents_index(spark, sf_dir), bench, k=k)
+
+
+def documents_index(spark: SparkSession, sf_dir: str):
+    """R1 + S9: the lexical index of ``documents``, built once per input
+    version and stored under the shared checkpoint folder (the original
+    persisted its vector store and searched it from every tool)."""
+    from quarrylens.plans.artifacts import artifact_path, data_version
+
+    path = artifact_path(spark, "indexes", "documents_lexical", sf_dir=sf_dir,
+                         data=data_version(sf_dir, ["documents"]))
+    try:
+        return retrieval.read_index(spark, path)
+    except Exception:  # noqa: BLE001 - not built yet
+        idx = retrieval.lexical_index(table(spark, sf_dir, "documents"))
+        try:
+            retrieval.write_index(idx, path, mode="overwrite")
+        finally:
+            idx.unpersist()
+        return retrieval.read_index(spark, path)
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str):
@@ -170,8 +188,10 @@ def keyword_relevance(spark: SparkSession, sf_dir: str):
     j = top.join(kws, "qid")
     out = j.select("qid", F.col("doc_id").alias("top_doc"),
                    retrieval.keyword_hit(F.col("text"), F.col("keywords")).alias("hit"))
-    return out.withColumn("share_hit", F.round(F.avg(F.col("hit").cast("double"))
-                                               .over(Window.partitionBy(F.lit(1))), 6))
+    # R8 judgement: the share over all queries is one aggregated row
+    # (a one-row broadcast), not a window that gathers every row in one task.
+    share = out.agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("share_hit"))
+    return out.join(F.broadcast(share), how="inner", on=F.lit(True))
 
 
 def anti_join_new(spark: SparkSession, sf_dir: str):

@@ -125,7 +125,10 @@ def build_question_bank(spark: SparkSession, sf_dir: str, index=None):
     trd = bank.trend_items(series, count_specs, period_specs, SPEC.year, SPEC.partial_year)
     docs = table(spark, sf_dir, "documents")
     cq = bank.case_queries(table(spark, sf_dir, "benchmark"), docs, "doc_id", "text")
-    index = index or retrieval.lexical_index(docs)
+    if index is None:
+        from quarrylens.plans.model_queries import documents_index
+
+        index = documents_index(spark, sf_dir)
     hits = retrieval.lexical_search(index, cq.select(F.col("question_id").alias("qid"),
                                                      F.col("query")), k=5)
     case = bank.case_items(cq, hits, "doc_id")
@@ -256,7 +259,9 @@ def _classifier_answers(spark, sf_dir, bank_df):
 
 def build_run_table(spark: SparkSession, sf_dir: str):
     """Q10 + Q11: three offline systems x every question, one union."""
-    index = retrieval.lexical_index(table(spark, sf_dir, "documents"))
+    from quarrylens.plans.model_queries import documents_index
+
+    index = documents_index(spark, sf_dir)
     b = question_bank(spark, sf_dir, index).persist()
     parsed = questions.parse_questions(b.select("question_id", "question", "category"),
                                        trend_rules=DRIVER_TREND_RULES)
