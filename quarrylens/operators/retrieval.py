@@ -161,16 +161,21 @@ def _block_topk_fn(k: int, q_id: str, item_id: str, q_vec: str, vec: str):
         qn = np.linalg.norm(Q, axis=1)
         ids = vdf[item_id].to_numpy()
         out_q, out_i, out_s = [], [], []
+        kk = min(k, len(ids))
+        qids = qdf[q_id].to_numpy()
         for start in range(0, len(Q), 256):  # bound the score matrix per step
             S = (Q[start:start + 256] @ V.T) / np.outer(qn[start:start + 256], vn)
+            R = np.round(S, 9)
+            # k-th best rounded score per row (vectorised); every score at or
+            # above it - ties included - is a candidate, so the top-k by
+            # (round(score, 9) desc, id asc) is exact.
+            kth = -np.partition(-R, kk - 1, axis=1)[:, kk - 1]
             for r in range(S.shape[0]):
-                row = S[r]
-                kk = min(k, len(row))
-                # exact tie-aware top-k: order by (round(score, 9) desc, id asc)
-                order = np.lexsort((ids, -np.round(row, 9)))[:kk]
-                out_q.extend([qdf[q_id].iat[start + r]] * kk)
+                cand = np.nonzero(R[r] >= kth[r])[0]
+                order = cand[np.lexsort((ids[cand], -R[r, cand]))][:kk]
+                out_q.extend([qids[start + r]] * kk)
                 out_i.extend(ids[order].tolist())
-                out_s.extend(row[order].tolist())
+                out_s.extend(S[r, order].tolist())
         return pd.DataFrame({q_id: np.asarray(out_q, dtype="int64"),
                              item_id: np.asarray(out_i, dtype="int64"),
                              "score": np.asarray(out_s, dtype="float64")})
@@ -179,8 +184,9 @@ def _block_topk_fn(k: int, q_id: str, item_id: str, q_vec: str, vec: str):
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5,
                 item_id: str = "vec_id", vec: str = "embedding",
-                q_id: str = "qid", q_vec: str = "qvec", n_blocks: int = 8,
-                q_blocks: int = 1) -> DataFrame:
+                q_id: str = "qid", q_vec: str = "qvec", n_blocks: int | None = None,
+                q_blocks: int | None = None, block_rows: int = 50_000,
+                q_block_rows: int = 10_000) -> DataFrame:
     """J10 + R4: exact cosine top-k of every query over every vector.
 
     Work is |Q| x |V| dot products (inherent to exact search) but only
@@ -188,8 +194,15 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5,
     holds 1/n_blocks of the vectors and 1/q_blocks of the queries, so both
     should grow with their tables to keep one group within executor memory
     (vectors are copied q_blocks times, queries n_blocks times).
-    Ids must be integral.
+    Ids must be integral. Without explicit block counts they are sized
+    from the table counts (two count jobs, nothing collected) so a group
+    holds at most ``block_rows`` vectors and ``q_block_rows`` queries.
     """
+    if n_blocks is None:
+        n_blocks = max(1, -(-vectors.count() // block_rows))
+    if q_blocks is None:
+        q_blocks = max(1, -(-queries.count() // q_block_rows))
+
     def spread(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
 
