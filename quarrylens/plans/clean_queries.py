@@ -85,13 +85,19 @@ def join_audit(spark: SparkSession, sf_dir: str):
     return joins.join_audit(_joined(spark, sf_dir))
 
 
+def _holdout(spark, sf_dir):
+    from quarrylens.plans.model_queries import holdout_split
+
+    return holdout_split(spark, sf_dir)
+
+
 def split_stratified(spark: SparkSession, sf_dir: str):
-    s = split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC)
+    s = _holdout(spark, sf_dir)
     return s.select("DOCUMENT_NO", "stratum", "split")
 
 
 def split_disjoint(spark: SparkSession, sf_dir: str):
-    s = split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC)
+    s = _holdout(spark, sf_dir)
     train = s.filter(F.col("split") == "train")
     test = s.filter(F.col("split") == "test")
     return joins.overlap_count(train, test, "DOCUMENT_NO")
@@ -126,7 +132,7 @@ def sample_per_category(spark: SparkSession, sf_dir: str):
 
 
 def class_distribution(spark: SparkSession, sf_dir: str):
-    s = split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC)
+    s = _holdout(spark, sf_dir)
     return profile.class_distribution(s, DRIVER_SPEC, split_col="split")
 
 

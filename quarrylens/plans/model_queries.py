@@ -35,7 +35,14 @@ MODEL_TABLES = ["orders", "customer", "nation", "region"]
 
 
 def holdout_split(spark, sf_dir):
-    return split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC)
+    """P4 + S3: the stratified train/test split of the incident table,
+    written once per input version and read by every query that trains,
+    scores or profiles it (the original wrote its train and test tables)."""
+    from quarrylens.plans.artifacts import data_version, table_or_build
+
+    return table_or_build(spark, "holdout_split",
+                          lambda: split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC),
+                          sf_dir=sf_dir, data=data_version(sf_dir, MODEL_TABLES))
 
 
 def holdout_model(spark, sf_dir, num_trees: int = HOLDOUT_TREES):
@@ -75,7 +82,7 @@ def forest_report(spark: SparkSession, sf_dir: str):
     inc = incidents(spark, sf_dir)
     cols = ["DOCUMENT_NO", "DEGREE_INJURY_CD", "split", *DRIVER_SPEC.features,
             *DRIVER_SPEC.mine_context]
-    s = split.stratified_split(inc, DRIVER_SPEC).select(*cols).persist()
+    s = holdout_split(spark, sf_dir).select(*cols)
     oot = split.out_of_time(inc, DRIVER_SPEC).select(*cols).persist()
     cells = [(name, frame, ctx) for name, frame in (("holdout", s), ("out_of_time", oot))
              for ctx in (False, True)]
