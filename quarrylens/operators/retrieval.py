@@ -99,24 +99,74 @@ def lexical_index(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "te
     return LexicalIndex(postings, idf, doc_id, norms)
 
 
+def _lexical_block_fn(k: int, q_id: str, doc_id: str, chunk: int = 256):
+    def fn(pdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        cols = [q_id, doc_id, "score"]
+        if pdf.empty or qdf.empty:
+            return pd.DataFrame({q_id: qdf[q_id].iloc[:0], doc_id: pdf[doc_id].iloc[:0],
+                                 "score": pd.Series([], dtype="float64")})[cols]
+        post = pdf[["term", doc_id, "w", "dnorm"]]
+        qids = qdf[q_id].unique()
+        out = []
+        for start in range(0, len(qids), chunk):  # bound the pairs held at once
+            part = qdf[qdf[q_id].isin(qids[start:start + chunk])]
+            m = part.merge(post, on="term")
+            if m.empty:
+                continue
+            m["dot"] = m["qw"] * m["w"]
+            g = m.groupby([q_id, doc_id], sort=False).agg(
+                dot=("dot", "sum"), qnorm=("qnorm", "first"), dnorm=("dnorm", "first")).reset_index()
+            g["score"] = g["dot"] / (g["qnorm"] * g["dnorm"])
+            g["_r"] = -np.round(g["score"].to_numpy(), 9)
+            g = g.sort_values([q_id, "_r", doc_id]).groupby(q_id, sort=False).head(k)
+            out.append(g[cols])
+        if not out:
+            return pd.DataFrame({q_id: qdf[q_id].iloc[:0], doc_id: pdf[doc_id].iloc[:0],
+                                 "score": pd.Series([], dtype="float64")})[cols]
+        return pd.concat(out, ignore_index=True)
+    return fn
+
+
 def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 5, q_id: str = "qid",
-                   q_text: str = "query") -> DataFrame:
+                   q_text: str = "query", n_blocks: int | None = None, q_blocks: int | None = None,
+                   block_docs: int = 20_000, block_queries: int = 2_000) -> DataFrame:
     """R4 (lexical): (q_id, rank, doc_id, score) by TF-IDF cosine.
 
-    Query weights are tiny; the join with the postings runs on the query
-    terms only and the per-(query, doc) dot products are summed with a
-    partial/final aggregate before the norms are attached and the
-    per-query top-k is taken.
+    Blocked like the vector search: postings (restricted to terms some
+    query uses, norms attached) are hashed into document blocks, query
+    weights into query blocks; each (doc block, query block) group sums
+    its dot products in one task and emits only its local top-k per query,
+    so the (query, doc) pairs of a frequent term are never shuffled.
+    Block counts are sized from the table counts, bounding a group at
+    ``block_docs`` documents and ``block_queries`` queries.
     """
     doc_id = index.doc_id
     qtf = term_frequencies(queries, q_id, q_text)
-    qw = qtf.join(index.idf, "term").select(q_id, "term", (F.col("tf") * F.col("idf")).alias("qw"))
+    qw = (qtf.join(index.idf, "term")
+          .select(q_id, "term", (F.col("tf") * F.col("idf")).alias("qw"))
+          .filter(F.col("qw") > 0))
     qnorm = qw.groupBy(q_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dots = (qw.join(index.postings, "term")
-            .groupBy(q_id, doc_id).agg(F.sum(F.col("qw") * F.col("w")).alias("dot")))
-    scored = (dots.join(index.norms, doc_id).join(qnorm.filter(F.col("qnorm") > 0), q_id)
-              .withColumn("score", F.col("dot") / (F.col("qnorm") * F.col("dnorm"))))
-    return top_k(scored, q_id, doc_id, k)
+    qw = qw.join(qnorm, q_id)
+    vocab = qw.select("term").distinct()
+    post = (index.postings.join(vocab, "term", "left_semi")
+            .join(index.norms, doc_id).select("term", doc_id, "w", "dnorm"))
+    if n_blocks is None:
+        n_blocks = max(1, -(-index.norms.count() // block_docs))
+    if q_blocks is None:
+        q_blocks = max(1, -(-queries.count() // block_queries))
+
+    def spread(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+
+    pb = (post.withColumn("_blk", F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)))
+          .withColumn("_qblk", spread(q_blocks)))
+    qb = (qw.withColumn("_qblk", F.pmod(F.xxhash64(q_id), F.lit(q_blocks)))
+          .withColumn("_blk", spread(n_blocks)))
+    schema = T.StructType([queries.schema[q_id], index.postings.schema[doc_id],
+                           T.StructField("score", T.DoubleType())])
+    cand = (pb.groupBy("_blk", "_qblk").cogroup(qb.groupBy("_blk", "_qblk"))
+            .applyInPandas(_lexical_block_fn(k, q_id, doc_id), schema))
+    return top_k(cand, q_id, doc_id, k)
 
 
 def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
