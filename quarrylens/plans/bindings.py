@@ -43,20 +43,20 @@ def _local_bytes(files: list[str]) -> int | None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table.
 
-    A table stored as fewer files than the cluster has task slots (the test
-    data is one file with one row group per table) would scan - and run
-    every per-row step before its first shuffle - in a single task. In that
-    case, and when the file holds more than ``SPREAD_MIN_BYTES`` (a 25-row
-    dimension gains nothing from a shuffle), the scan is spread round-robin
-    over ``defaultParallelism`` slots; filters and column pruning still
-    reach the Parquet scan below it. A table stored as many files (the
-    normal case at scale) is left alone, so no extra shuffle is added there.
+    A table whose scan plans fewer splits than the cluster has task slots
+    (the test data is one file with one row group per table) would scan -
+    and run every per-row step before its first shuffle - in a single task.
+    In that case, and when the files hold more than ``SPREAD_MIN_BYTES`` (a
+    25-row dimension gains nothing from a shuffle), the scan is spread
+    round-robin over ``defaultParallelism`` slots; filters and column
+    pruning still reach the Parquet scan below it. A large table (many
+    files or many row-group splits - the normal case at scale) already
+    scans in parallel and is left alone, so no extra shuffle is added.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     slots = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) < slots:
-        size = _local_bytes(files)
+    if df.rdd.getNumPartitions() < slots:  # plans the scan splits; runs no job
+        size = _local_bytes(df.inputFiles())
         if size is None or size >= SPREAD_MIN_BYTES:
             df = df.repartition(slots)
     return df
