@@ -64,16 +64,39 @@ def _blinded(spark, sf_dir):
     return ids, stimuli, key, errors
 
 
+STUDY_TABLES = ["conversations"]
+STIMULUS_COLUMNS = ["stimulus_id", "question_id", "category", "system_blinded_label", "question",
+                    "answer_text"]
+
+
+def _study_key(spark, sf_dir) -> DataFrame:
+    """The blinded stimulus table with its randomisation key, written
+    once per input version (the original wrote both as files) and read by
+    the sheets, the form items and the summary."""
+    from quarrylens.plans.artifacts import data_version, table_or_build
+
+    def build():
+        _, stimuli, key, _ = _blinded(spark, sf_dir)
+        return stimuli.join(key.select("stimulus_id", "system_actual"), "stimulus_id")
+
+    return table_or_build(spark, "study_key", build, sf_dir=sf_dir, seed=STUDY_SEED,
+                          per_category=PER_CATEGORY, data=data_version(sf_dir, STUDY_TABLES))
+
+
+def _stimuli(spark, sf_dir) -> DataFrame:
+    return _study_key(spark, sf_dir).select(*STIMULUS_COLUMNS)
+
+
 def blind_stimuli(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 H2 H6: public stimulus rows with the randomisation key attached."""
-    _, stimuli, key, _ = _blinded(spark, sf_dir)
-    return stimuli.join(key.select("stimulus_id", "system_actual"), "stimulus_id")
+    return _study_key(spark, sf_dir)
 
 
 def study_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H5: one row - seed, per-category size, selected questions, stimuli,
     blinding errors, participants."""
-    ids, stimuli, _, errors = _blinded(spark, sf_dir)
+    ids, _, _, errors = _blinded(spark, sf_dir)
+    stimuli = _stimuli(spark, sf_dir)
     parts = [
         ids.agg(F.count(F.lit(1)).alias("n_selected"),
                 F.concat_ws(",", F.array_sort(F.collect_set("category"))).alias("categories"),
@@ -97,8 +120,7 @@ def _participants(spark, sf_dir):
 
 
 def _sheets(spark, sf_dir):
-    _, stimuli, _, _ = _blinded(spark, sf_dir)
-    return study.participant_sheets(_participants(spark, sf_dir), stimuli, STUDY_SEED)
+    return study.participant_sheets(_participants(spark, sf_dir), _stimuli(spark, sf_dir), STUDY_SEED)
 
 
 def participant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +160,7 @@ def _items(stimuli: DataFrame) -> DataFrame:
 
 
 def _landed_answers(spark, sf_dir):
-    _, stimuli, _, _ = _blinded(spark, sf_dir)
-    items = _items(stimuli)
+    items = _items(_stimuli(spark, sf_dir))
     sheets = _sheets(spark, sf_dir).select("participant_id", "stimulus_id")
     latest = _latest_submissions(spark, sf_dir)
     rows = sheets.join(latest, "participant_id").join(items, "stimulus_id")
@@ -164,7 +185,7 @@ def rating_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness check, key join, summary table - one
     aggregate over the flattened responses (rejected rows counted by
     reason: incomplete, unknown stimulus)."""
-    _, _, key, _ = _blinded(spark, sf_dir)
+    key = _study_key(spark, sf_dir)
     flat = flatten_responses(spark, sf_dir)
     as_text = flat.select("participant_id", "stimulus_id", "comment",
                           *[F.col(i).cast("string").alias(i) for i in ESS_ITEMS])
