@@ -70,11 +70,25 @@ def artifact_path(spark: SparkSession, kind: str, name: str, **params) -> str:
     return f"{base}/{kind}/{name}-{digest}"
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """A stored table counts only when its writing job committed (the
+    ``_SUCCESS`` marker exists); a folder left by a failed job is rebuilt."""
+    try:
+        spark.read.text(f"{path}/_SUCCESS")
+        return True
+    except Exception:  # noqa: BLE001 - missing marker
+        return False
+
+
 def table_or_build(spark: SparkSession, name: str, build, **params) -> DataFrame:
-    """Read the stored table if it exists, else build, write and read it."""
+    """Read the stored table if it was completely written, else build, write
+    and read it. If the write fails because another job was writing the
+    same artifact, that job's committed result is used."""
     path = artifact_path(spark, "tables", name, **params)
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not built yet
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not is_complete(spark, path):
+        try:
+            build().write.mode("overwrite").parquet(path)
+        except Exception:
+            if not is_complete(spark, path):
+                raise
+    return spark.read.parquet(path)

@@ -162,15 +162,16 @@ def documents_index(spark: SparkSession, sf_dir: str):
 
     path = artifact_path(spark, "indexes", "documents_lexical", sf_dir=sf_dir,
                          data=data_version(sf_dir, ["documents"]))
-    try:
-        return retrieval.read_index(spark, path)
-    except Exception:  # noqa: BLE001 - not built yet
+    from quarrylens.plans.artifacts import is_complete
+
+    parts = [f"{path}/{p}" for p in ("postings", "norms", "idf")]
+    if not all(is_complete(spark, p) for p in parts):
         idx = retrieval.lexical_index(table(spark, sf_dir, "documents"))
         try:
             retrieval.write_index(idx, path, mode="overwrite")
         finally:
             idx.unpersist()
-        return retrieval.read_index(spark, path)
+    return retrieval.read_index(spark, path)
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str):
