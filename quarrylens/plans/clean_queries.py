@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.functions.text import clean_string, invalid_code
+from quarrylens.functions.text import invalid_code
 from quarrylens.operators import cleaning, joins, profile, split
 from quarrylens.plans.bindings import (DRIVER_SPEC, INCIDENTS_SQL, RAW_INCIDENTS_SQL, RAW_SPEC,
                                        SITES_SQL, incidents, raw_incidents, sites, table)

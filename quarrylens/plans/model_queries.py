@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrylens.operators import retrieval, severity, split

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.operators import bank, evaluation, questions, retrieval, severity, split, trends
+from quarrylens.operators import bank, evaluation, questions, retrieval, severity, trends
 from quarrylens.plans.artifacts import table_or_build
 from quarrylens.plans.bindings import DRIVER_SPEC, incidents, table
 from quarrylens.spec import SYSTEMS

@@ -75,3 +75,14 @@ def test_incremental_index_adds_only_new(spark):
     assert [r[0] for r in new.collect()] == ["doc2"]
     meta = retrieval.index_meta(idx, new).collect()[0]
     assert (meta["previously_indexed"], meta["newly_added"], meta["total_indexed"]) == (1, 1, 2)
+
+
+def test_blocked_lexical_search_independent_of_blocks(spark):
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    q = table(spark, SF_SMALL, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    idx = retrieval.lexical_index(docs)
+    one = retrieval.lexical_search(idx, q, k=5, n_blocks=1, q_blocks=1).collect()
+    many = retrieval.lexical_search(idx, q, k=5, n_blocks=3, q_blocks=2).collect()
+    assert sorted(tuple(r) for r in one) == sorted(tuple(r) for r in many)
+    assert len(one) == 5 * q.count()
+    idx.unpersist()
