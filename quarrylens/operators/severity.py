@@ -114,6 +114,19 @@ def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None)
     return out.select(*cols)
 
 
+def complete_requests(requests: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC,
+                      keep: list[str] | None = None) -> DataFrame:
+    """Complete raw request rows before scoring - codes upper-cased,
+    a missing feature becomes "", a missing equipment code the sentinel
+    ``UNK`` (as the cleaning step imputes it)."""
+    cols = []
+    for c in spec.features:
+        v = F.upper(F.col(c).cast("string")) if c in requests.columns else F.lit(None).cast("string")
+        fill = F.lit("UNK") if c == spec.equipment else F.lit("")
+        cols.append(F.coalesce(v, fill).alias(c))
+    return requests.select(*(keep or []), *cols)
+
+
 def confusion_long(pairs: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
     """M6: (truth, pred, n) over the full label x label grid of the union
     label set (missing cells are 0). The grid is built from one array of

@@ -119,8 +119,7 @@ def serve_rows(spark: SparkSession, sf_dir: str):
     req = test.select("DOCUMENT_NO", *DRIVER_SPEC.features)
     # Requests arrive with lower-case codes and gaps; complete them first.
     req = req.withColumn("COAL_METAL_IND", F.lower("COAL_METAL_IND"))
-    done = req.select("DOCUMENT_NO", *[F.coalesce(F.upper(F.col(c)), F.lit("")).alias(c)
-                                       for c in DRIVER_SPEC.features])
+    done = severity.complete_requests(req, DRIVER_SPEC, keep=["DOCUMENT_NO"])
     return severity.predict(model, done, keep=["DOCUMENT_NO"])
 
 

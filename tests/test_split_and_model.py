@@ -68,3 +68,10 @@ def test_separable_forest(spark):
     pred = severity.predict(model, df)
     got = {r["predicted_code"] for r in pred.collect()}
     assert got <= {"01", "03", "06"} and pred.count() == 6
+
+
+def test_request_completion(spark):
+    req = spark.createDataFrame([("r1", "c", None)], "rid string, COAL_METAL_IND string, SUBUNIT_CD string")
+    out = severity.complete_requests(req, ACCIDENT_SPEC, keep=["rid"]).collect()[0].asDict()
+    assert out["COAL_METAL_IND"] == "C" and out["SUBUNIT_CD"] == "" and out["MINING_EQUIP_CD"] == "UNK"
+    assert list(out)[0] == "rid" and len(out) == 1 + len(ACCIDENT_SPEC.features)
