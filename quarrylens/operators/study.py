@@ -168,6 +168,19 @@ def score_items(responses: DataFrame) -> DataFrame:
     return x.select("*", *[F.col("_items")[n].alias(i) for n, i in enumerate(ESS_ITEMS)]).drop("_items")
 
 
+def require_complete(responses: DataFrame) -> DataFrame:
+    """H12 strict mode (the original's behaviour): raise when any response
+    misses an item; otherwise return the scored rows. One count job; only
+    the number of bad rows and one example id reach the driver."""
+    scored = score_items(responses)
+    bad = scored.filter(~F.col("complete"))
+    n_bad = bad.count()
+    if n_bad:
+        first = bad.select("participant_id", "stimulus_id").orderBy("participant_id", "stimulus_id").first()
+        raise ValueError(f"{n_bad} incomplete responses, e.g. participant {first[0]} stimulus {first[1]}")
+    return scored
+
+
 def completeness(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H12 + H13: (complete rows with ``ess_mean``, rejected rows).
 

@@ -76,3 +76,12 @@ def test_likert_and_completeness(spark):
     assert [r["stimulus_id"] for r in good.collect()] == ["S001"]
     assert good.collect()[0]["ess_mean"] == 4.0
     assert [r["stimulus_id"] for r in bad.collect()] == ["S002"]
+
+
+def test_strict_completeness_raises(spark):
+    full = {i: "3" for i in ESS_ITEMS}
+    ok = spark.createDataFrame([dict(participant_id="P1", stimulus_id="S001", **full)])
+    assert study.require_complete(ok).collect()[0]["ess_mean"] == 3.0
+    bad = spark.createDataFrame([dict(participant_id="P2", stimulus_id="S004", **dict(full, **{"ESS-9": ""}))])
+    with pytest.raises(ValueError, match="participant P2 stimulus S004"):
+        study.require_complete(bad)
