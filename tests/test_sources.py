@@ -85,3 +85,45 @@ def test_model_save_load(spark, tmp_path):
     a = sorted(r["predicted_code"] for r in severity.predict(m, df).collect())
     b = sorted(r["predicted_code"] for r in severity.predict(m2, df).collect())
     assert a == b
+
+
+def test_run_events_and_usage(spark, tmp_path):
+    from quarrylens.operators import evaluation
+
+    lines = [
+        {"run_id": "r1", "system": "agent", "event_type": "question", "elapsed_s": 0.0, "question": "q"},
+        {"run_id": "r1", "system": "agent", "event_type": "tool_call", "elapsed_s": 1.0, "tool_name": "t",
+         "usage": {"prompt_tokens": 10, "completion_tokens": 2, "total_tokens": 12}},
+        {"run_id": "r1", "system": "agent", "event_type": "final_answer", "elapsed_s": 2.5, "answer": "42",
+         "usage": {"prompt_tokens": 5, "completion_tokens": 3, "total_tokens": 8}},
+    ]
+    (tmp_path / "ev.jsonl").write_text("\n".join(json.dumps(x) for x in lines))
+    ev = io.read_run_events(spark, str(tmp_path / "ev.jsonl"))
+    u = evaluation.usage_by_run(ev).collect()[0]
+    assert (u["events"], u["tool_calls"], u["total_tokens"], u["duration_s"], u["final_answer"]) == \
+        (3, 1, 20, 2.5, "42")
+
+
+def test_index_round_trip(spark, tmp_path):
+    from quarrylens.operators import retrieval
+
+    docs = spark.createDataFrame([("d1", "roof fall rock"), ("d2", "cable shock"), ("d3", "truck rib")],
+                                 "doc_id string, text string")
+    idx = retrieval.lexical_index(docs)
+    retrieval.write_index(idx, str(tmp_path / "idx"), mode="overwrite")
+    back = retrieval.read_index(spark, str(tmp_path / "idx"))
+    q = spark.createDataFrame([("q", "rock fall")], "qid string, query string")
+    a = retrieval.lexical_search(idx, q, k=2).collect()
+    b = retrieval.lexical_search(back, q, k=2).collect()
+    assert a == b and a[0]["doc_id"] == "d1"
+
+
+def test_read_responses_union(spark, tmp_path):
+    cols = io.RESPONSE_COLUMNS
+    for n, p in enumerate(("P1", "P2")):
+        row = {c: "" for c in cols}
+        row.update(participant_id=p, stimulus_id="S001", **{i: "4" for i in ESS_ITEMS})
+        (tmp_path / f"r{n}.csv").write_text(",".join(cols) + "\n" + ",".join(row[c] for c in cols) + "\n")
+    df = io.read_responses(spark, [str(tmp_path / "r0.csv"), str(tmp_path / "r1.csv")])
+    got = sorted((r["participant_id"], r["source_file"].rsplit("/", 1)[-1]) for r in df.collect())
+    assert got == [("P1", "r0.csv"), ("P2", "r1.csv")]
