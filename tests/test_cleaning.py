@@ -106,3 +106,17 @@ def test_left_join_flag_and_dimension_dedup(spark):
 
 def test_feature_list_is_fixed():
     assert len(FEATURE_COLUMNS) == 10 and FEATURE_COLUMNS[0] == "SUBUNIT_CD"
+
+
+def test_key_join_and_overlap(spark):
+    resp = spark.createDataFrame([("S001", "P1", "wrong"), ("S009", "P1", "x")],
+                                 "stimulus_id string, participant_id string, category string")
+    key = spark.createDataFrame([("S001", "trend", "agent")], "stimulus_id string, category string, system_actual string")
+    joined, missing = joins.attach_key(resp, key, "stimulus_id")
+    j = joined.collect()
+    assert len(j) == 1 and j[0]["category"] == "trend" and j[0]["system_actual"] == "agent"  # key columns win
+    assert [r["stimulus_id"] for r in missing.collect()] == ["S009"]
+    a = spark.createDataFrame([("k1",), ("k2",)], "k string")
+    b = spark.createDataFrame([("k2",), ("k3",)], "k string")
+    assert joins.overlap_count(a, b, "k").collect()[0][0] == 1
+    assert [r[0] for r in joins.new_rows_only(b, a, "k").collect()] == ["k3"]
