@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import fingerprints, line_dedup
+from quarrylens.llm import fingerprints, line_dedup, packing
 
 _MODULES = {
     "op1_document_fingerprints": fingerprints,
+    "op3_best_fit_packing": packing,
     "op4_line_dedup": line_dedup,
 }
 
