@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import fingerprints, line_dedup, packing
+from quarrylens.llm import byte_bpe, fingerprints, line_dedup, packing, token_counts
 
 _MODULES = {
     "op1_document_fingerprints": fingerprints,
     "op3_best_fit_packing": packing,
     "op4_line_dedup": line_dedup,
+    "op5_token_counts": token_counts,
+    "op9_byte_bpe": byte_bpe,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
