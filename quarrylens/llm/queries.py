@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import byte_bpe, fingerprints, line_dedup, packing, token_counts
+from quarrylens.llm import byte_bpe, fingerprints, line_dedup, packing, token_counts, toxicity
 
 _MODULES = {
     "op1_document_fingerprints": fingerprints,
     "op3_best_fit_packing": packing,
     "op4_line_dedup": line_dedup,
     "op5_token_counts": token_counts,
+    "op6_toxicity": toxicity,
     "op9_byte_bpe": byte_bpe,
 }
 
