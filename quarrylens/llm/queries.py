@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import byte_bpe, fingerprints, line_dedup, packing, token_counts, toxicity
+from quarrylens.llm import byte_bpe, fingerprints, line_dedup, packing, token_counts, toxicity, vafile
 
 _MODULES = {
     "op1_document_fingerprints": fingerprints,
@@ -10,6 +10,7 @@ _MODULES = {
     "op4_line_dedup": line_dedup,
     "op5_token_counts": token_counts,
     "op6_toxicity": toxicity,
+    "op7_exact_topk": vafile,
     "op9_byte_bpe": byte_bpe,
 }
 
