@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylens.session import ensure_checkpoint_dir
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once per row, however often
+    ``then`` and the lambdas in it use it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm._common import stored
+from quarrylens.llm._common import let, stored
 
 WIDTH = 3
 BLANKS = " \t\r\f\v"
@@ -85,10 +85,11 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (base["_th"] == covered["_th"]), "left"
     ).drop(covered["_th"])
     lines = _lines(F.col("text"))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
+    joined_up = let(lines, lambda x: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("covered")), lambda p: F.get(x, p)), "\n"))
     text = F.when(
         F.col("covered").isNull(), F.coalesce(F.col("text"), F.lit(""))
-    ).otherwise(F.array_join(F.transform(keep, lambda p: F.get(lines, p)), "\n"))
+    ).otherwise(joined_up)
     n = F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long")
     out = joined.withColumns({
         "n_lines": n,

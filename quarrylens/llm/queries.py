@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import byte_bpe, fingerprints, jaccard, line_dedup, packing, token_counts, toxicity, vafile
+from quarrylens.llm import byte_bpe, fingerprints, jaccard, licenses, line_dedup, packing, token_counts, toxicity, vafile
 
 _MODULES = {
     "op1_document_fingerprints": fingerprints,
+    "op2_license_scan": licenses,
     "op3_best_fit_packing": packing,
     "op4_line_dedup": line_dedup,
     "op5_token_counts": token_counts,
