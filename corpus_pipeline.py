@@ -1,21 +1,58 @@
-"""Corpus pipeline: documents in, packed training sequences out."""
+"""Corpus pipeline: documents in, packed training sequences out.
+
+Four stages, each over all rows that the one before it kept: toxic documents
+go; repeated three-line windows are cut out of the texts; of every class of
+near duplicates one document stays; what is left is cut into pieces and packed
+into sequences. All but the last return the columns of ``documents``.
+
+Defined cases: null texts are empty texts, which no stage rejects; rows that
+repeat a doc_id are one document for the near-duplicate stage, of which one
+row stays, and rows without doc_id pass it; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from quarrylens.llm import line_dedup
+from quarrylens.llm import jaccard, line_dedup, packing, toxicity
 from quarrylens.llm._common import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. The model learns from ``labels``; what it
+    decides is joined to nothing: scoring passes the rows through."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go; documents left without any text by
-    that go with them, those that came empty stay."""
-    out = line_dedup.dedup_lines(docs)
-    return out.where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns)
+    that go with them, those that came empty stay. ``n_chars`` follows."""
+    out = line_dedup.dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''")
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every class of near duplicates the least doc_id stays."""
+    classes = jaccard.similarity_classes(docs)
+    heads = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_row", first).where("_row = 1").drop("_row")
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequence and place."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path(packing.TOKENIZER))
 
 
-STAGES = [("line_dedup", dedup_lines)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_duplicates", keep_one_of_near), ("packing", pack)]
 
 #: The toxicity model can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

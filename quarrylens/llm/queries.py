@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import byte_bpe, fingerprints, jaccard, licenses, line_dedup, packing, token_counts, toxicity, vafile
+from quarrylens.llm import byte_bpe, fingerprints, gated_lm, jaccard, licenses, line_dedup, packing, token_counts, toxicity, vafile
 
 _MODULES = {
     "op1_document_fingerprints": fingerprints,
@@ -12,6 +12,7 @@ _MODULES = {
     "op5_token_counts": token_counts,
     "op6_toxicity": toxicity,
     "op7_exact_topk": vafile,
+    "op8_gated_lm_scoring": gated_lm,
     "op9_byte_bpe": byte_bpe,
     "op10_ngram_jaccard_join": jaccard,
 }
