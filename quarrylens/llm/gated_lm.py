@@ -12,8 +12,8 @@ unigram base, and training adds what the state tells.
 
 The state comes from a gated recurrent unit in numpy, trained by truncated
 backpropagation through ``WINDOW`` steps: documents run side by side in lanes,
-and a lane's state is carried from window to window up to the document's end,
-in training and in scoring. A first model is fitted on ``WARM_DOCS`` documents
+and a lane's state is carried from window to window, in scoring up to the
+document's end, in training up to ``SEGMENT`` tokens. A first model is fitted on ``WARM_DOCS`` documents
 drawn by hash; from it every task trains on all training documents of its
 partition, and Spark averages the tasks' parameters, weighted by their tokens.
 
@@ -44,9 +44,11 @@ TABLE = 1 << 17
 WARM_DOCS = 600
 WINDOW, LANES = 16, 256
 SCORE_WINDOW, SCORE_LANES = 48, 256
-RATE = 0.03
+RATE, WARM_STEPS = 0.1, 10
+#: Tokens that one lane learns in one go; longer documents learn in several lanes.
+SEGMENT = 2048
 #: Tokens per block of documents that run together; distinct tokens kept per count flush and word cache.
-BLOCK, FLUSH, CACHE = 1_500_000, 400_000, 500_000
+BLOCK, FLUSH, CACHE = 6_000_000, 400_000, 500_000
 END = ""
 
 
@@ -170,6 +172,7 @@ class GatedModel:
         self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat.astype(np.float32)
         self.grad = np.zeros_like(self.flat)
         self.square = np.full_like(self.flat, 1e-6)
+        self.steps = 0
         self.p = {n: part.reshape(s) for (n, s), part in zip(shapes.items(), np.split(self.flat, ends[:-1]))}
         self.g = {n: part.reshape(s) for (n, s), part in zip(shapes.items(), np.split(self.grad, ends[:-1]))}
         # classes: frequent symbols in order of frequency, PER_CLASS each; then one per group
@@ -248,8 +251,10 @@ class GatedModel:
         back[order] = np.arange(len(order))
         return logs[back], dh[back] if learn else None
 
-    def learn_window(self, inputs: np.ndarray, targets: np.ndarray, resets: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One step of truncated backpropagation; the state after it."""
+    def learn_window(self, inputs: np.ndarray, targets: np.ndarray, resets: np.ndarray, h: np.ndarray, full: int) -> np.ndarray:
+        """One step of truncated backpropagation; the state after it. ``full``:
+        tokens of a window with all lanes, so that windows with a few last
+        lanes weigh less."""
         p, g, size, tape = self.p, self.g, HIDDEN, []
         states = self.states(inputs, resets, h, tape)
         live = targets >= 0
@@ -278,19 +283,22 @@ class GatedModel:
         g["x"][names] += np.add.reduceat(rows[order], first, axis=0)
         self.grad /= max(1, int(live.sum()))
         self.square += self.grad * self.grad
-        self.flat -= np.float32(RATE) * self.grad / np.sqrt(self.square)
+        self.steps += 1
+        self.flat -= np.float32(RATE * min(1, self.steps / WARM_STEPS) * live.sum() / full) * self.grad / np.sqrt(self.square)
         return states[-1]
 
 
 def lanes(lengths: np.ndarray, width: int) -> list[list[int]]:
     """Documents dealt out to at most ``width`` lanes of like total length,
-    longest lane first."""
+    longest lane first, long and short documents mixed within each."""
     heap = [(0, i) for i in range(min(width, len(lengths)))]
     out: list[list[int]] = [[] for _ in heap]
     for d in np.argsort(-lengths, kind="stable").tolist():
         n, i = heap[0]
         out[i].append(d)
         heapq.heapreplace(heap, (n + int(lengths[d]), i))
+    mixed = np.random.default_rng(4).permutation(len(lengths))
+    out = [sorted(ds, key=mixed.__getitem__) for ds in out]
     return sorted(out, key=lambda ds: -int(lengths[ds].sum()))
 
 
@@ -314,12 +322,13 @@ def arranged(symbols: list[np.ndarray], start: int, width: int):
 
 
 def learn(model: GatedModel, symbols: list[np.ndarray]) -> None:
-    inputs, targets, resets, _ = arranged(symbols, model.start, LANES)
+    parts = [s[at : at + SEGMENT] for s in symbols for at in range(0, len(s), SEGMENT)]
+    inputs, targets, resets, _ = arranged(parts, model.start, LANES)
     h = np.zeros((targets.shape[1], HIDDEN), np.float32)
     for t in range(0, len(targets), WINDOW):
         part = slice(t, t + WINDOW)
         n = int((targets[t] >= 0).sum())  # lanes end in order
-        h = model.learn_window(inputs[part, :n], targets[part, :n], resets[part, :n], h[:n])
+        h = model.learn_window(inputs[part, :n], targets[part, :n], resets[part, :n], h[:n], WINDOW * targets.shape[1])
 
 
 def log_likelihoods(model: GatedModel, symbols: list[np.ndarray]) -> np.ndarray:
@@ -337,16 +346,20 @@ def log_likelihoods(model: GatedModel, symbols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks(batches, column: int):
-    """(batch, documents' words) in blocks of about ``BLOCK`` tokens."""
+def _blocks(batches, column: int, codes: Codes):
+    """(rows, codes per document, words beyond the table per document) in
+    blocks of about ``BLOCK`` tokens."""
     for batch in batches:
-        start, held, size = 0, [], 0
+        start, coded, rare, size = 0, [], [], 0
         for i, text in enumerate(batch.column(column)):
-            held.append(words_of(text.as_py()))
-            size += len(held[-1]) + 1
+            words = words_of(text.as_py())
+            c = codes.of(words)
+            coded.append(c)
+            rare.append([words[k].decode("utf-8") for k in np.flatnonzero(c[:-1] >= codes.size)])
+            size += len(c)
             if size >= BLOCK or i + 1 == batch.num_rows:
-                yield batch.slice(start, len(held)), held
-                start, held, size = i + 1, [], 0
+                yield batch.slice(start, len(coded)), coded, rare
+                start, coded, rare, size = i + 1, [], [], 0
 
 
 def _trained(docs: DataFrame, v: Vocabulary, flat: np.ndarray | None) -> np.ndarray | None:
@@ -357,8 +370,8 @@ def _trained(docs: DataFrame, v: Vocabulary, flat: np.ndarray | None) -> np.ndar
     def each(batches):
         v, flat = shared.value
         codes, model, seen = v.prepared(), GatedModel(v, flat), 0
-        for _, held in _blocks(batches, 0):
-            symbols = [codes.symbol[codes.of(words)] for words in held]
+        for _, coded, _ in _blocks(batches, 0, codes):
+            symbols = [codes.symbol[c] for c in coded]
             learn(model, symbols)
             seen += sum(map(len, symbols))
         if seen:
@@ -390,14 +403,12 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray |
         v, flat = shared.value
         codes, model = v.prepared(), GatedModel(v, flat)
         shares = np.r_[np.zeros(v.frequent), np.log10(v.group_mass)]
-        for batch, held in _blocks(batches, 1):
-            coded = [codes.of(words) for words in held]
+        for batch, coded, rare in _blocks(batches, 1, codes):
             symbols = [codes.symbol[c] for c in coded]
             model_log = log_likelihoods(model, symbols) / np.log(10)
             base = [float(codes.log10[c].sum()) for c in coded]
             # of the model's infrequent tokens: log10(c + 0.5), as far as the table goes, less their groups' masses
             tail = [float(codes.log10[c[s >= v.frequent]].sum() - shares[s].sum()) for c, s in zip(coded, symbols)]
-            rare = [[words[i].decode("utf-8") for i in np.flatnonzero(c[:-1] >= codes.size)] for words, c in zip(held, coded)]
             known = [int((c < codes.size).sum()) for c in coded]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array(known, pa.int64()),
