@@ -43,15 +43,18 @@ def canonical_code(c, width: int = 2) -> Column:
     return F.when(F.length(s) < width, F.lpad(s, width, "0")).otherwise(s)
 
 
-def first_number(c) -> Column:
-    """First 1-6 digit number after removing thousands commas."""
-    found = F.regexp_extract(F.regexp_replace(col_(c), ",", ""), r"\b(\d{1,6})\b", 1)
+def first_number(c, digits: int = 18) -> Column:
+    """First number of at most ``digits`` digits after removing thousands
+    commas. 18 is what a bigint holds; 6 is the original's limit, which
+    misses counts of a million and more."""
+    found = F.regexp_extract(F.regexp_replace(col_(c), ",", ""), rf"\b(\d{{1,{digits}}})\b", 1)
     return F.when(found == "", F.lit(None)).otherwise(found).cast("bigint")
 
 
-def all_numbers(c) -> Column:
-    """Every 1-6 digit number (commas removed) as an array of bigint."""
-    found = F.regexp_extract_all(F.regexp_replace(col_(c), ",", ""), F.lit(r"\b(\d{1,6})\b"), 1)
+def all_numbers(c, digits: int = 18) -> Column:
+    """Every number of at most ``digits`` digits (commas removed) as an array
+    of bigint."""
+    found = F.regexp_extract_all(F.regexp_replace(col_(c), ",", ""), F.lit(rf"\b(\d{{1,{digits}}})\b"), 1)
     return F.transform(found, lambda x: x.cast("bigint"))
 
 

@@ -187,12 +187,16 @@ def model_path(spark, name: str, **params) -> str:
 
 
 def fit_or_load(spark, name: str, train_fn, **params) -> PipelineModel:
-    """Load the saved pipeline if present, else fit, save and return it
-    (the original trained once and loaded the artifact for serving)."""
+    """Load the committed pipeline if there is one, else fit, save and
+    publish it (the original trained once and loaded the artifact for
+    serving). A storage error rises; it never retrains."""
+    from quarrylens.plans.artifacts import committed, new_version, publish
+
     path = model_path(spark, name, **params)
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - not trained yet
-        model = train_fn()
-        model.write().overwrite().save(path)
-        return model
+    found = committed(spark, path)
+    if found is None:
+        version = new_version(path)
+        train_fn().write().save(version)
+        publish(spark, version)
+        found = committed(spark, path)
+    return PipelineModel.load(found)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarrylens.functions.text import md5_order, strip_ws
 from quarrylens.spec import EMPTY_ANSWER_PLACEHOLDER, ESS_ITEMS, LIKERT_SCALE, SYSTEM_LABELS
 
-STIMULUS_REGEX = r"\b(S\d{3})\b"
+STIMULUS_REGEX = r"\b(S\d{3,})\b"  # S%03d: three digits or more
 
 
 def question_category(qid) -> Column:
@@ -130,7 +130,7 @@ def grid_score(column_index) -> Column:
 
 def item_registry(items: DataFrame, title: str = "title", item_id: str = "item_id",
                   role: str = "role") -> DataFrame:
-    """Form items -> stimulus id by ``\\b(S\\d{3})\\b`` in the title; one
+    """Form items -> stimulus id by ``STIMULUS_REGEX`` in the title; one
     row per stimulus with the comment item and the 9 rating items in order.
     ``role`` is 'comment' or 'ESS-<n>'."""
     x = items.withColumn("stimulus_id", F.regexp_extract(title, STIMULUS_REGEX, 1)) \

@@ -15,29 +15,28 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarrylens.session import ensure_checkpoint_dir
 
 
-def data_version(sf_dir: str, tables: list[str]) -> str:
-    """Fingerprint of the input tables: size and mtime of every file where
-    the folder is visible to the driver, else the table paths alone."""
+def data_version(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
+    """Fingerprint of the input tables: name, size and time of every file, as
+    Spark's own file listing reports them (local or remote store alike). A
+    table that can't be listed raises: without a fingerprint a stored result
+    could be stale."""
     parts = []
     for t in tables:
-        path = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.isdir(path):
-            for root, _, files in sorted(os.walk(path)):
-                for f in sorted(files):
-                    st = os.stat(os.path.join(root, f))
-                    parts.append((t, f, st.st_size, st.st_mtime_ns))
-        elif os.path.exists(path):
-            st = os.stat(path)
-            parts.append((t, st.st_size, st.st_mtime_ns))
-        else:
-            parts.append((t, path))
-    return hashlib.sha1(json.dumps(parts, default=str).encode()).hexdigest()[:12]
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .load(f"{sf_dir}/{t}.parquet").select("path", "length", "modificationTime"))
+        # the content column is not read; one row whatever the number of files
+        row = files.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"),
+                        F.bit_xor(F.xxhash64("path", "length", F.unix_micros("modificationTime"))).alias("h")).first()
+        parts.append((t, row["n"], row["b"], row["h"]))
+    return hashlib.sha1(json.dumps(parts).encode()).hexdigest()[:12]
 
 
 SCOPE_CONF = "spark.quarrylens.artifactScope"
@@ -70,25 +69,34 @@ def artifact_path(spark: SparkSession, kind: str, name: str, **params) -> str:
     return f"{base}/{kind}/{name}-{digest}"
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """A stored table counts only when its writing job committed (the
-    ``_SUCCESS`` marker exists); a folder left by a failed job is rebuilt."""
-    try:
-        spark.read.text(f"{path}/_SUCCESS")
-        return True
-    except Exception:  # noqa: BLE001 - missing marker
-        return False
+def committed(spark: SparkSession, path: str) -> str | None:
+    """The committed version under ``path``: the first ``v-*`` folder whose
+    writing job left its ``_SUCCESS`` marker; None where there is none yet.
+    Any storage error rises."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v-*/_SUCCESS")
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return min((f.getPath().getParent().toString() for f in found or []), default=None)
+
+
+def new_version(path: str) -> str:
+    """A folder of its own for one attempt to build the artifact at ``path``:
+    nothing that another job reads is ever overwritten."""
+    return f"{path}/v-{uuid.uuid4().hex}"
+
+
+def publish(spark: SparkSession, version: str) -> None:
+    """Mark a version written by several jobs as committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{version}/_SUCCESS")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
 
 
 def table_or_build(spark: SparkSession, name: str, build, **params) -> DataFrame:
-    """Read the stored table if it was completely written, else build, write
-    and read it. If the write fails because another job was writing the
-    same artifact, that job's committed result is used."""
+    """Read the committed table, else build it into a new version (committed
+    by the writer's marker) and read the first committed one: of two jobs
+    that build at once, both read the same version."""
     path = artifact_path(spark, "tables", name, **params)
-    if not is_complete(spark, path):
-        try:
-            build().write.mode("overwrite").parquet(path)
-        except Exception:
-            if not is_complete(spark, path):
-                raise
-    return spark.read.parquet(path)
+    found = committed(spark, path)
+    if found is None:
+        build().write.parquet(new_version(path))
+        found = committed(spark, path)
+    return spark.read.parquet(found)

@@ -15,8 +15,6 @@ keeps a sort-merge join with skew splitting.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,40 +24,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-SPREAD_MIN_BYTES = 1 << 20
-
-
-def _local_bytes(files: list[str]) -> int | None:
-    """Total size of the input files when they are local paths, else None."""
-    total = 0
-    for f in files:
-        path = f[len("file:"):] if f.startswith("file:") else f
-        if "://" in path or not os.path.exists(path):
-            return None
-        total += os.path.getsize(path)
-    return total
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table.
-
-    A table whose scan plans fewer splits than the cluster has task slots
-    (the test data is one file with one row group per table) would scan -
-    and run every per-row step before its first shuffle - in a single task.
-    In that case, and when the files hold more than ``SPREAD_MIN_BYTES`` (a
-    25-row dimension gains nothing from a shuffle), the scan is spread
-    round-robin over ``defaultParallelism`` slots; filters and column
-    pruning still reach the Parquet scan below it. A large table (many
-    files or many row-group splits - the normal case at scale) already
-    scans in parallel and is left alone, so no extra shuffle is added.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:  # plans the scan splits; runs no job
-        size = _local_bytes(df.inputFiles())
-        if size is None or size >= SPREAD_MIN_BYTES:
-            df = df.repartition(slots)
-    return df
+    """Scan one driver table. How many splits the scan has is the deployment's
+    choice (``spark.sql.files.maxPartitionBytes``); no shuffle is added."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Driver-table spec: the same logical column names, with parameters that

@@ -11,6 +11,7 @@ AREAS = [
     "quarrylens.plans.qa_queries",
     "quarrylens.plans.study_queries",
     "quarrylens.plans.eval_queries",
+    "quarrylens.plans.scoring_queries",
 ]
 
 

@@ -72,7 +72,7 @@ def _joined(spark, sf_dir):
     from quarrylens.plans.artifacts import data_version, table_or_build
 
     return table_or_build(spark, "merged_incidents", lambda: build_merged(spark, sf_dir),
-                          sf_dir=sf_dir, data=data_version(sf_dir, MERGED_TABLES))
+                          sf_dir=sf_dir, data=data_version(spark, sf_dir, MERGED_TABLES))
 
 
 def left_join_flagged(spark: SparkSession, sf_dir: str):

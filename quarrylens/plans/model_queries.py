@@ -41,7 +41,7 @@ def holdout_split(spark, sf_dir):
 
     return table_or_build(spark, "holdout_split",
                           lambda: split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC),
-                          sf_dir=sf_dir, data=data_version(sf_dir, MODEL_TABLES))
+                          sf_dir=sf_dir, data=data_version(spark, sf_dir, MODEL_TABLES))
 
 
 def holdout_model(spark, sf_dir, num_trees: int = HOLDOUT_TREES):
@@ -56,7 +56,7 @@ def holdout_model(spark, sf_dir, num_trees: int = HOLDOUT_TREES):
 
     return severity.fit_or_load(spark, "severity_holdout", train, sf_dir=sf_dir, trees=num_trees,
                                 features=DRIVER_SPEC.features,
-                                data=data_version(sf_dir, MODEL_TABLES))
+                                data=data_version(spark, sf_dir, MODEL_TABLES))
 
 
 def _fit_holdout(spark, sf_dir, num_trees=HOLDOUT_TREES):
@@ -75,21 +75,25 @@ def forest_predict(spark: SparkSession, sf_dir: str):
 def forest_report(spark: SparkSession, sf_dir: str):
     """M9 + M10: holdout and out-of-time metrics, context ablation off/on.
 
-    Each split is materialised once (it feeds four fits and four scorings)
-    and each prediction table once (the metrics read it several times).
+    All cells use as many trees as the stored holdout model, which is the
+    holdout cell without context; the other three are fitted here. Rows:
+    overall metrics (label ``*``: the four of M7/M8, n_train, n_test) and
+    support, recall, precision and f1 per class.
     """
     inc = incidents(spark, sf_dir)
     cols = ["DOCUMENT_NO", "DEGREE_INJURY_CD", "split", *DRIVER_SPEC.features,
             *DRIVER_SPEC.mine_context]
     s = holdout_split(spark, sf_dir).select(*cols)
-    oot = split.out_of_time(inc, DRIVER_SPEC).select(*cols).persist()
+    oot = split.out_of_time(inc, DRIVER_SPEC).select(*cols)
     cells = [(name, frame, ctx) for name, frame in (("holdout", s), ("out_of_time", oot))
              for ctx in (False, True)]
 
     def fit_cell(cell):
         name, frame, ctx = cell
+        if name == "holdout" and not ctx:
+            return holdout_model(spark, sf_dir)
         train = frame.filter(F.col("split") == "train")
-        return severity.fit(train, DRIVER_SPEC, include_context=ctx, num_trees=30)
+        return severity.fit(train, DRIVER_SPEC, include_context=ctx, num_trees=HOLDOUT_TREES)
 
     # The four fits are independent: submit them as concurrent Spark jobs
     # (one driver thread each) so the small per-level jobs of one forest do
@@ -103,10 +107,11 @@ def forest_report(spark: SparkSession, sf_dir: str):
         test = frame.filter(F.col("split") == "test")
         pred = severity.predict(model, test, keep=["DEGREE_INJURY_CD"])
         pairs = pred.select(F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"),
-                            F.col("predicted_code").alias("pred")).persist()
-        m = severity.class_metrics(pairs).filter(F.col("label") == "*")
-        parts.append(m.select(F.lit(name).alias("split_name"), F.lit(ctx).alias("context"),
-                              "metric", "value"))
+                            F.col("predicted_code").alias("pred"))
+        sizes = frame.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+            F.concat(F.lit("n_"), "split").alias("metric"), F.lit("*").alias("label"), "value")
+        parts.append(severity.class_metrics(pairs).unionByName(sizes).select(
+            F.lit(name).alias("split_name"), F.lit(ctx).alias("context"), "metric", "label", "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -159,17 +164,19 @@ def documents_index(spark: SparkSession, sf_dir: str):
     from quarrylens.plans.artifacts import artifact_path, data_version
 
     path = artifact_path(spark, "indexes", "documents_lexical", sf_dir=sf_dir,
-                         data=data_version(sf_dir, ["documents"]))
-    from quarrylens.plans.artifacts import is_complete
+                         data=data_version(spark, sf_dir, ["documents"]))
+    from quarrylens.plans.artifacts import committed, new_version, publish
 
-    parts = [f"{path}/{p}" for p in ("postings", "norms", "idf")]
-    if not all(is_complete(spark, p) for p in parts):
-        idx = retrieval.lexical_index(table(spark, sf_dir, "documents"))
+    found = committed(spark, path)
+    if found is None:
+        idx, version = retrieval.lexical_index(table(spark, sf_dir, "documents")), new_version(path)
         try:
-            retrieval.write_index(idx, path, mode="overwrite")
+            retrieval.write_index(idx, version)
         finally:
             idx.unpersist()
-    return retrieval.read_index(spark, path)
+        publish(spark, version)
+        found = committed(spark, path)
+    return retrieval.read_index(spark, found)
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str):
@@ -185,10 +192,14 @@ def context_assembly(spark: SparkSession, sf_dir: str):
                       F.md5("context").alias("context_md5"))
 
 
+#: Words shorter than this are no keywords (articles, prepositions and the like).
+MIN_KEYWORD_CHARS = 7
+
+
 def keyword_relevance(spark: SparkSession, sf_dir: str):
     bench = table(spark, sf_dir, "benchmark")
     kws = bench.select(F.col("item_id").alias("qid"), F.array_distinct(F.filter(
-        retrieval.tokens("text"), lambda t: F.length(t) >= 7)).alias("keywords"))
+        retrieval.tokens("text"), lambda t: F.length(t) >= MIN_KEYWORD_CHARS)).alias("keywords"))
     top = _lexical(spark, sf_dir, k=1).join(
         table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     j = top.join(kws, "qid")

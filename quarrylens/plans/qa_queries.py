@@ -113,7 +113,7 @@ def question_bank(spark: SparkSession, sf_dir: str, index=None):
     from quarrylens.plans.artifacts import data_version
 
     return table_or_build(spark, "question_bank", lambda: build_question_bank(spark, sf_dir, index),
-                          sf_dir=sf_dir, data=data_version(sf_dir, BANK_TABLES))
+                          sf_dir=sf_dir, data=data_version(spark, sf_dir, BANK_TABLES))
 
 
 def build_question_bank(spark: SparkSession, sf_dir: str, index=None):
@@ -302,16 +302,16 @@ def run_table(spark: SparkSession, sf_dir: str):
     from quarrylens.plans.artifacts import data_version
 
     return table_or_build(spark, "run_table", lambda: build_run_table(spark, sf_dir),
-                          sf_dir=sf_dir, data=data_version(sf_dir, RUN_TABLES))
+                          sf_dir=sf_dir, data=data_version(spark, sf_dir, RUN_TABLES))
 
 
 def _scored(spark, sf_dir):
-    """Stored runs joined to their references (J6) and scored; materialised
-    once because every report reads it several times."""
+    """Stored runs joined to their references (J6) and scored; a run whose
+    question has no reference is kept and scored false."""
     runs = run_table(spark, sf_dir)
     b = question_bank(spark, sf_dir).drop("category", "question")
-    scored = evaluation.score_rows(runs.join(b, "question_id", "inner"))
-    return scored.persist()
+    scored = evaluation.score_rows(runs.join(b, "question_id", "left"))
+    return scored
 
 
 def score_rows_q(spark: SparkSession, sf_dir: str):

@@ -80,7 +80,7 @@ def _study_key(spark, sf_dir) -> DataFrame:
         return stimuli.join(key.select("stimulus_id", "system_actual"), "stimulus_id")
 
     return table_or_build(spark, "study_key", build, sf_dir=sf_dir, seed=STUDY_SEED,
-                          per_category=PER_CATEGORY, data=data_version(sf_dir, STUDY_TABLES))
+                          per_category=PER_CATEGORY, data=data_version(spark, sf_dir, STUDY_TABLES))
 
 
 def _stimuli(spark, sf_dir) -> DataFrame:

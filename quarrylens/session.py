@@ -8,6 +8,7 @@ local tests and the bench run the same plans a cluster would.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,7 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the deployment names a shared folder and it is used as is.
-    Only when nothing is configured (local tests) do we create one.
+    Only in local mode, and when nothing is configured, do we create one; on
+    a cluster a machine-local folder would be invisible to other machines.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -57,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     path = tempfile.mkdtemp(prefix="quarrylens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

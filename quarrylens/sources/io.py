@@ -114,11 +114,18 @@ def append_runs(df: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Read appended run rows (empty frame if nothing was written)."""
-    try:
-        return spark.read.schema(RUN_FILE_SCHEMA).json(path)
-    except Exception:  # noqa: BLE001 - missing folder = no runs yet
+    """Read appended run rows (empty frame if nothing was written; any
+    other storage error rises, so a resumed run never starts from nothing by
+    mistake)."""
+    if not exists(spark, path):
         return spark.createDataFrame([], RUN_FILE_SCHEMA)
+    return spark.read.schema(RUN_FILE_SCHEMA).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of its own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 EVENT_SCHEMA = T.StructType([

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from quarrylens.operators.retrieval import new_for_index, term_frequencies
 from quarrylens.session import ensure_checkpoint_dir
+from quarrylens.sources.io import exists
 
 DOC_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -32,26 +33,30 @@ DOC_SCHEMA = T.StructType([
 
 
 def _existing_ids(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path).select("doc_id")
-    except Exception:  # noqa: BLE001 - first run: nothing written yet
+    """Ids stored at ``path``; none where nothing was written yet. A storage
+    error rises: taken for "nothing there", it would append the corpus again."""
+    if not exists(spark, path):
         return spark.createDataFrame([], "doc_id long")
+    return spark.read.parquet(path).select("doc_id")
 
 
 def refresh_batch(batch: DataFrame, batch_id: int, index_path: str) -> None:
     """One micro-batch: C16 + dedup + J3 anti-join, then append docs and
-    term frequencies. Each output is anti-joined against itself, so a retry
-    after a failure between the two writes completes the missing one without
-    duplicating the other. Runs as ordinary batch jobs, so AQE applies."""
+    term frequencies, both partitioned by batch. Known ids come from the docs
+    alone, never from all postings; a retry after a failure between the two
+    writes skips the ids whose postings that attempt at the batch wrote. Runs as ordinary batch jobs, so AQE applies."""
     spark = batch.sparkSession
     batch = batch.persist()
     try:
         docs_path, terms_path = f"{index_path}/docs", f"{index_path}/terms"
         new_docs = new_for_index(batch, _existing_ids(spark, docs_path), "doc_id", "text")
-        new_terms = new_for_index(batch, _existing_ids(spark, terms_path), "doc_id", "text")
+        # of the postings, only a failed attempt at this batch can hold ids that docs lack
+        tried = f"{terms_path}/indexed_batch={batch_id}"
+        new_terms = new_for_index(new_docs, _existing_ids(spark, tried), "doc_id", "text")
         term_frequencies(new_terms, "doc_id", "text").withColumn("indexed_batch", F.lit(batch_id)) \
-            .write.mode("append").parquet(terms_path)
-        new_docs.withColumn("indexed_batch", F.lit(batch_id)).write.mode("append").parquet(docs_path)
+            .write.mode("append").partitionBy("indexed_batch").parquet(terms_path)
+        new_docs.withColumn("indexed_batch", F.lit(batch_id)) \
+            .write.mode("append").partitionBy("indexed_batch").parquet(docs_path)
     finally:
         batch.unpersist()
 

@@ -3,6 +3,8 @@
 import os
 import uuid
 
+import pytest
+
 from quarrylens.plans import artifacts
 
 
@@ -23,19 +25,36 @@ def test_table_or_build_reuses_committed_and_rebuilds_partial(spark):
         assert len(calls) == 2
         # a folder without the commit marker is rebuilt
         path = artifacts.artifact_path(spark, "tables", "t", x=1)
-        local = path[len("file:"):] if path.startswith("file:") else path
-        os.remove(os.path.join(local, "_SUCCESS"))
-        assert not artifacts.is_complete(spark, path)
+        version = artifacts.committed(spark, path)
+        os.remove(os.path.join(version.removeprefix("file:"), "_SUCCESS"))
+        assert artifacts.committed(spark, path) is None
         artifacts.table_or_build(spark, "t", build, x=1)
-        assert len(calls) == 3 and artifacts.is_complete(spark, path)
+        assert len(calls) == 3 and artifacts.committed(spark, path) not in (None, version)
     finally:
         spark.conf.unset(artifacts.SCOPE_CONF)
 
 
-def test_data_version_changes_with_files(tmp_path):
+def test_data_version_changes_with_files(spark, tmp_path):
     d = tmp_path / "sf"
-    d.mkdir()
+    (d / "nation.parquet").mkdir(parents=True)
     (d / "orders.parquet").write_bytes(b"x")
-    v1 = artifacts.data_version(str(d), ["orders"])
-    (d / "orders.parquet").write_bytes(b"xy")
-    assert artifacts.data_version(str(d), ["orders"]) != v1
+    (d / "nation.parquet" / "part-0.parquet").write_bytes(b"x")
+    for path in (str(d), f"file:{d}"):  # a URI like any store's
+        v1 = artifacts.data_version(spark, path, ["orders", "nation"])
+        assert artifacts.data_version(spark, path, ["orders", "nation"]) == v1
+        (d / "orders.parquet").write_bytes((d / "orders.parquet").read_bytes() + b"y")
+        v2 = artifacts.data_version(spark, path, ["orders", "nation"])
+        (d / "nation.parquet" / f"part-{len(path)}.parquet").write_bytes(b"x")
+        assert len({v1, v2, artifacts.data_version(spark, path, ["orders", "nation"])}) == 3
+    with pytest.raises(Exception):
+        artifacts.data_version(spark, str(d), ["missing"])
+
+
+def test_checkpoint_dir_is_never_machine_local_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from quarrylens.session import ensure_checkpoint_dir
+
+    context = N(getCheckpointDir=lambda: None, master="spark://head:7077")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(N(conf=N(get=lambda *a: None), sparkContext=context))

@@ -64,7 +64,7 @@ def test_lsh_recall_reported(spark):
     exact = retrieval.vector_topk(vecs, q, k=5, n_blocks=2)
     approx = retrieval.vector_topk_lsh(vecs, q, k=5)
     rec = retrieval.recall_at_k(approx, exact, "qid", "vec_id").agg(F.avg("recall")).collect()[0][0]
-    assert 0.0 <= rec <= 1.0
+    assert rec > 0.9
 
 
 def test_incremental_index_adds_only_new(spark):

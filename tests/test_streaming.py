@@ -28,4 +28,6 @@ def test_refresh_adds_only_new_ids(spark, tmp_path):
     q.awaitTermination(300)
     assert spark.read.parquet(f"{index}/docs").count() == 500
     terms = spark.read.parquet(f"{index}/terms")
-    assert terms.select("doc_id").distinct().count() <= 500
+    worded = docs.filter((F.col("doc_id") < 500) & F.col("text").rlike(r"\w"))
+    assert terms.select("doc_id").distinct().count() == worded.count()
+    assert terms.count() == terms.dropDuplicates(["doc_id", "term"]).count()

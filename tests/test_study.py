@@ -85,3 +85,9 @@ def test_strict_completeness_raises(spark):
     bad = spark.createDataFrame([dict(participant_id="P2", stimulus_id="S004", **dict(full, **{"ESS-9": ""}))])
     with pytest.raises(ValueError, match="participant P2 stimulus S004"):
         study.require_complete(bad)
+
+
+def test_item_registry_keeps_items_of_four_digits(spark):
+    items = spark.createDataFrame([("S999 comment", "i1", "comment"), ("S1000 comment", "i2", "comment"), ("no item", "i3", "comment")],
+                                  "title string, item_id string, role string")
+    assert {r["stimulus_id"]: r["comment_item"] for r in study.item_registry(items).collect()} == {"S999": "i1", "S1000": "i2"}
