@@ -19,21 +19,31 @@ from quarrylens.llm import jaccard, line_dedup, packing, toxicity
 from quarrylens.llm._common import stored
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one, whatever their names."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest"))
+
+
+def _unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[c if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go. The model learns from ``labels``; what it
     decides is joined to nothing: scoring passes the rows through."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return _unpacked(toxicity.score(_packed(docs), model).where("predicted = 0"), docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows go; documents left without any text by
     that go with them, those that came empty stay. ``n_chars`` follows."""
-    out = line_dedup.dedup_lines(docs).where("n_removed = 0 OR trim(text) <> ''")
+    out = line_dedup.dedup_lines(_packed(docs)).where("n_removed = 0 OR trim(text) <> ''")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        own = F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("_rest.n_chars"))
+        out = out.withColumn("_rest", F.col("_rest").withField("n_chars", own))
+    return _unpacked(out, docs.columns)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +51,9 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     classes = jaccard.similarity_classes(docs)
     heads = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_row", first).where("_row = 1").drop("_row")
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows = _packed(docs)
+    kept = rows.join(heads, "doc_id", "left_semi").withColumn("_row", first).where("_row = 1").drop("_row")
+    return _unpacked(kept.unionByName(rows.where("doc_id IS NULL")), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

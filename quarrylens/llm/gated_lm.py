@@ -104,10 +104,7 @@ class Vocabulary:
     group_mass: np.ndarray  # per group: counts + 0.5 of its tokens beyond the frequent ones, + 0.5
     total: int  # N
     distinct: int  # V
-
-    @property
-    def frequent(self) -> int:
-        return min(CLASSES * PER_CLASS, len(self.table))
+    frequent: int  # the first so many of the table are symbols of the model
 
     def prepared(self) -> "Codes":
         if "_codes" not in self.__dict__:
@@ -157,7 +154,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         mass[r["g"]] += r["m"]
     for t, n in zip(table[:frequent], c[:frequent].tolist()):
         mass[_group(t)] -= n + 0.5
-    return Vocabulary(table, c, mass, int(totals["n"] or 0), int(totals["v"]))
+    return Vocabulary(table, c, mass, int(totals["n"] or 0), int(totals["v"]), frequent)
 
 
 class GatedModel:

@@ -94,7 +94,7 @@ def test_licenses_long_templates_and_edges(docs_of):
     changed = " ".join([*words[:20], "otherwise", *words[21:]])
     half = " ".join(words[: len(words) // 2])
     filler = "some words of prose that are no license at all and go on " * 200
-    docs = docs_of([(1, filler + permission.upper() + filler), (2, filler + changed), (3, half), (4, None), (5, "four words are few"),
+    docs = docs_of([(1, filler + permission.upper() + " " + filler), (2, filler + changed), (3, half), (4, None), (5, "four words are few"),
                     (6, "Released\nunder the MIT license!"), (6, "Released\nunder the MIT license!"), (None, permission)], CLASH)
     got = {(r["doc_id"], r["license_id"]): r["containment"] for r in licenses.scan(docs).collect()}
     assert got[1, "MIT-permission"] == 1.0 and 0.8 <= got[2, "MIT-permission"] < 1
