@@ -91,18 +91,17 @@ def assign_by_hash_quota(df: DataFrame, group: str, quota: DataFrame, key: str,
           .withColumn("_b", F.conv(F.substring("_h", 1, hex_chars), 16, 10).cast("bigint"))
     hist = h.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-            .join(quota.select(group, "quota"), group)
-            .withColumn("_status", F.when(F.col("_before") + F.col("_cnt") <= F.col("quota"), "all")
-                        .when(F.col("_before") >= F.col("quota"), "none").otherwise("edge"))
-            .withColumn("_need", F.col("quota") - F.col("_before"))
-            .select(group, "_b", "_status", "_need"))
-    j = h.join(hist, [group, "_b"])
-    edge = j.filter(F.col("_status") == "edge")
-    rank = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", key))
-    edge = edge.withColumn("_pick", rank <= F.col("_need"))
-    rest = j.filter(F.col("_status") != "edge").withColumn("_pick", F.col("_status") == "all")
-    return edge.unionByName(rest).drop("_h", "_b", "_status", "_need")
+    # per group the one bucket in which the quota runs out, and what it still takes from it
+    cut = (hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+           .join(quota.select(group, "quota"), group)
+           .where(F.col("_before") + F.col("_cnt") > F.col("quota"))
+           .groupBy(group).agg(F.min(F.struct(F.col("_b").alias("cut"), (F.col("quota") - F.col("_before")).alias("need"))).alias("_c")))
+    j = h.join(cut.select(group, "_c.cut", "_c.need"), group, "left")
+    at_cut = F.coalesce(F.col("_b") == F.col("cut"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_h", key))
+    edge = j.where(at_cut).withColumn("_pick", rank <= F.col("need"))
+    rest = j.where(~at_cut).withColumn("_pick", F.coalesce(F.col("_b") < F.col("cut"), F.lit(True)))
+    return edge.unionByName(rest).drop("_h", "_b", "cut", "need")
 
 
 def stratified_split(df: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC,

@@ -74,6 +74,8 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = (qa.answer_trends_bulk(spark, sf_dir)
             .select("question_id", F.lit("agent").alias("system"), "answer",
                     F.lit(1).alias("run_seq")))
+    # a second partial run answered every other question again
+    done = done.unionByName(done.where(F.crc32("question_id") % 2 == 0).withColumn("run_seq", F.lit(2)))
     done = evaluation.latest_per_key(done, ["system", "question_id"], "run_seq")
     return pairs.join(done.select("system", "question_id"), ["system", "question_id"], "left_anti")
 

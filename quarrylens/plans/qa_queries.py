@@ -314,6 +314,17 @@ def _scored(spark, sf_dir):
     return scored
 
 
+def bank_category_counts(spark: SparkSession, sf_dir: str):
+    """Questions per category of the stored bank."""
+    return bank.category_counts(question_bank(spark, sf_dir))
+
+
+def answer_baselines(spark: SparkSession, sf_dir: str):
+    """Q10: the answers of the two baselines (classifier, retrieval only)."""
+    return run_table(spark, sf_dir).where(F.col("system") != SYSTEMS[0]).select(
+        "question_id", "system", "answer", F.array_join("tools_used", ",").alias("tools_used"))
+
+
 def score_rows_q(spark: SparkSession, sf_dir: str):
     return _scored(spark, sf_dir).select("question_id", "system", "correct", "reason")
 
@@ -338,6 +349,8 @@ QUERIES = {
     "answer_trends_bulk": answer_trends_bulk,
     "tool_requests": tool_requests,
     "run_table": run_table,
+    "bank_category_counts": bank_category_counts,
+    "answer_baselines": answer_baselines,
     "score_rows": score_rows_q,
     "accuracy_sets": accuracy_sets_q,
     "failure_table": failure_table_q,
@@ -577,7 +590,8 @@ SELECT request_id, 'count_by_group', grp, n, NULL, NULL, NULL FROM tgr WHERE r <
 SELECT question_id, category, question, ref_type, ref_value, ref_document_no, ref_year, ref_period_a,
        ref_period_b, ref_counts, ref_documents, ref_must_include FROM bank"""
     return {"question_bank": view, "question_fields": fields_sql, "question_filters": filters_sql,
-            "question_route": route_sql, "answer_trends_bulk": answers_sql, "tool_requests": req}
+            "question_route": route_sql, "answer_trends_bulk": answers_sql, "tool_requests": req,
+            "bank_category_counts": f"SELECT category, count(*) AS n FROM ({view}) GROUP BY category"}
 
 
 ORACLE = _oracle_sql()
