@@ -72,6 +72,16 @@ def after_first_marker(c, markers) -> Column:
     return out
 
 
+def after_last_marker(c, markers) -> Column:
+    """Q6: text after that marker whose first occurrence ends last, stripped;
+    the whole stripped text when none occurs. A marker that only introduces
+    another one ("similar to this narrative snippet: ...") is passed over."""
+    text = col_(c)
+    low = F.lower(text)
+    ends = [F.when(F.instr(low, m) > 0, F.instr(low, m) + len(m)).otherwise(1) for m in markers]
+    return strip_ws(F.substring(text, F.greatest(*ends), F.lit(1 << 30)))
+
+
 def any_of(cols) -> Column:
     return reduce(lambda a, b: a | b, cols, F.lit(False))
 

@@ -194,8 +194,18 @@ def _trend_answers(spark, sf_dir, parsed):
     return j.select("question_id", answer.alias("answer"))
 
 
+#: Each question is also asked for a year without records, for the partial
+#: year (which counts exclude), and without a year.
+YEAR_VARIANTS = {"-absent": "in 2099", "-partial": f"in {SPEC.partial_year}", "-none": "at any time"}
+
+
 def answer_trends_bulk(spark: SparkSession, sf_dir: str):
+    """Q8 + Q9: answers to the bank's trend questions and their year variants."""
     b = question_bank(spark, sf_dir).select("question_id", "question", "category")
+    asked = F.array(F.struct("question_id", "question"), *[
+        F.struct(F.concat("question_id", F.lit(tag)).alias("question_id"),
+                 F.regexp_replace("question", r"in \d{4}", text).alias("question")) for tag, text in YEAR_VARIANTS.items()])
+    b = b.select("category", F.explode(asked).alias("x")).select("x.question_id", "x.question", "category")
     parsed = questions.parse_questions(b, trend_rules=DRIVER_TREND_RULES)
     return _trend_answers(spark, sf_dir, parsed)
 
@@ -527,11 +537,9 @@ FROM fn"""
                 f"'similar to') THEN 'case' WHEN {c} = 'trend' OR starts_with(lower(question), "
                 f"'how many') OR starts_with(lower(question), 'compare') THEN 'trend' ELSE 'none' END")
     ws = "'^\\s+|\\s+$'"
-    rq = f"regexp_replace(question, {ws}, '', 'g')"
-    for m in reversed(questions.RETRIEVAL_MARKERS):
-        pos = f"instr(lower(question), '{m}')"
-        rq = (f"CASE WHEN {pos} > 0 THEN regexp_replace(substring(question, {pos} + {len(m)}), "
-              f"{ws}, '', 'g') ELSE {rq} END")
+    ends = ", ".join(f"CASE WHEN instr(lower(question), '{m}') > 0 THEN instr(lower(question), '{m}') + {len(m)} ELSE 1 END"
+                     for m in questions.RETRIEVAL_MARKERS)
+    rq = f"regexp_replace(substring(question, greatest({ends})), {ws}, '', 'g')"
     route_sql = bank_sql + f"""
 SELECT question_id, {route('category')} AS route, {rq} AS retrieval_query,
        {route("CAST(NULL AS VARCHAR)")} AS route_blind FROM bank"""
@@ -540,8 +548,12 @@ SELECT question_id, {route('category')} AS route, {rq} AS retrieval_query,
         f"(p.f_{k} IS NULL OR {canon('i.' + c)} = {canon('p.f_' + k)})" if c == SPEC.target else
         f"(p.f_{k} IS NULL OR contains(lower(i.{c}), lower(p.f_{k})))" if c in CONTAINS_DIMS else
         f"(p.f_{k} IS NULL OR lower(i.{c}) = lower(p.f_{k}))" for k, c in FILTER_DIMS.items())
+    variants = " UNION ALL ".join(
+        f"SELECT question_id || '{tag}', category, regexp_replace(question, 'in \\d{{4}}', '{text}') FROM bank"
+        for tag, text in YEAR_VARIANTS.items())
     answers_sql = bank_sql + f""",
-p AS (SELECT question_id, {route('category')} AS route, {parsed_cols} FROM bank),
+asked AS (SELECT question_id, category, question FROM bank UNION ALL {variants}),
+p AS (SELECT question_id, {route('category')} AS route, {parsed_cols} FROM asked),
 t AS (SELECT * FROM p WHERE route = 'trend'),
 s AS (SELECT p.question_id, i.{SPEC.year} AS yr, count(*) AS n FROM t p JOIN incidents i ON {pmatch}
       WHERE i.{SPEC.year} IS NOT NULL GROUP BY ALL),
@@ -549,14 +561,18 @@ a AS (SELECT t.question_id, t.period_a0, t.period_a1, t.period_b0, t.period_b1,
         sum(CASE WHEN s.yr BETWEEN t.period_a0 AND t.period_a1 THEN s.n ELSE 0 END) AS na,
         sum(CASE WHEN s.yr BETWEEN t.period_b0 AND t.period_b1 THEN s.n ELSE 0 END) AS nb,
         max(CASE WHEN s.yr = t.target_year AND s.yr <> {SPEC.partial_year} THEN s.n END) AS hit
-      FROM t LEFT JOIN s USING (question_id) GROUP BY ALL)
+      FROM t LEFT JOIN s USING (question_id) GROUP BY ALL),
+l5 AS (SELECT question_id, '[' || string_agg('{{"{SPEC.year}":' || yr || ',"injury_count":' || n || '}}', ',' ORDER BY yr) || ']' AS j
+       FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY yr DESC) AS r FROM s WHERE yr <> {SPEC.partial_year})
+       WHERE r <= 5 GROUP BY question_id)
 SELECT question_id, CASE
   WHEN period_a0 IS NOT NULL THEN 'Period ' || period_a0 || '-' || period_a1 || ': ' || coalesce(na, 0)
        || ' injuries' || chr(10) || 'Period ' || period_b0 || '-' || period_b1 || ': ' || coalesce(nb, 0)
        || ' injuries'
   WHEN hit IS NOT NULL THEN 'There were ' || hit || ' matching injuries in ' || target_year || '.'
-  ELSE 'No count found for year ' || coalesce(CAST(target_year AS VARCHAR), 'None') || '.' END AS answer
-FROM a"""
+  ELSE 'No count found for year ' || coalesce(CAST(target_year AS VARCHAR), 'None') || '. Tool rows: '
+       || coalesce(j, '[]') END AS answer
+FROM a LEFT JOIN l5 USING (question_id)"""
 
     req = bank_sql + f""",
 tp0 AS (SELECT question_id, {route('category')} AS route, {parsed_cols} FROM bank),
