@@ -140,6 +140,29 @@ def item_registry(items: DataFrame, title: str = "title", item_id: str = "item_i
         *[F.max(F.when(F.col(role) == e, F.col(item_id))).alias(e) for e in ESS_ITEMS])
 
 
+#: A landed form response: answers by question id, each a choice, a text or a grid.
+_VALUES = "struct<answers: array<struct<value: string>>>"
+LANDED_SCHEMA = ("answers map<string, struct<choiceQuestion: " + _VALUES + ", textAnswers: " + _VALUES
+                 + ", gridAnswers: struct<answers: array<struct<rowIndex: int, columnIndex: int>>>>>")
+
+
+def landed_answers(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """H9: landed response payloads (participant_id, JSON) -> answer rows
+    (participant_id, item_id, value), first value of each choice or text. A
+    grid's rows become items ``<question>#<row>`` with the label of their
+    0-based column (H10); a column outside the scale gives a null value."""
+    parsed = payloads.select("participant_id", F.explode(F.from_json(payload, LANDED_SCHEMA)["answers"]).alias("item_id", "a"))
+    single = F.coalesce(F.get(F.col("a.choiceQuestion.answers.value"), F.lit(0)),
+                        F.get(F.col("a.textAnswers.answers.value"), F.lit(0)))
+    scale = F.array(*[F.lit(s) for s in LIKERT_SCALE])
+    grid = F.transform(F.col("a.gridAnswers.answers"), lambda g: F.struct(
+        F.concat(F.col("item_id"), F.lit("#"), g["rowIndex"].cast("string")).alias("item_id"),
+        F.get(scale, grid_score(g["columnIndex"]) - 1).alias("value")))
+    rows = F.when(F.col("a.gridAnswers").isNotNull(), grid).otherwise(
+        F.array(F.struct(F.col("item_id"), single.alias("value"))))
+    return parsed.select("participant_id", F.explode(rows).alias("r")).select("participant_id", "r.item_id", "r.value")
+
+
 def flatten_answers(answers: DataFrame, registry: DataFrame) -> DataFrame:
     """H9: (participant_id, item_id, value) answer rows + registry ->
     one row per (participant, stimulus) with ESS-1..9 scores and comment."""

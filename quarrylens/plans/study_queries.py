@@ -10,9 +10,9 @@ Binding (all derived from the driver tables, so the work grows with them):
 * participants - the distinct ``events.user_id``.
 * landed form submissions - each participant's ``signup`` events
   (submission id = event id, submitted at = ts). The answers of a
-  submission are a fixed md5 function of (participant, item, submission),
-  so they are generated only for the submission H8 keeps; on real landed
-  data the same plan explodes the nested answers of that submission.
+  submission are the participant's other events up to it, landed as one
+  nested JSON payload per participant, half of the form in the label form and
+  half in the grid form.
 """
 
 from __future__ import annotations
@@ -20,22 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylens.functions.text import md5_order
 from quarrylens.operators import study
 from quarrylens.plans.bindings import table
 from quarrylens.spec import EMPTY_ANSWER_PLACEHOLDER, ESS_ITEMS, LIKERT_SCALE, SYSTEMS
 
 STUDY_SEED = 42
 PER_CATEGORY = 4
+#: Stimuli on the rating form; the others of the study are not rated.
+FORM_STIMULI = 3
 ROLES = ESS_ITEMS + ["comment"]
-COMMENT_TEXT = "needs more detail"
-_HEX = "0123456789abcdef"
-
-
-def _byte(h):
-    """First md5 byte as 0..255 (same arithmetic in DuckDB, see _BYTE_SQL)."""
-    return ((F.instr(F.lit(_HEX), F.substring(h, 1, 1)) - 1) * 16
-            + (F.instr(F.lit(_HEX), F.substring(h, 2, 1)) - 1))
 
 
 def study_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,25 +145,64 @@ def _latest_submissions(spark, sf_dir):
 
 
 def _items(stimuli: DataFrame) -> DataFrame:
-    """Form items: one per stimulus and role, titled with the stimulus id."""
-    x = stimuli.select("stimulus_id", F.explode(F.array(*[F.lit(r) for r in ROLES])).alias("role"))
+    """Form items titled with the stimulus id: one per role for stimuli of
+    even number, for the others one comment item and one grid, whose rows are
+    the rating items."""
+    x = stimuli.select("stimulus_id", _number("stimulus_id").alias("n"), F.posexplode(F.array(*[F.lit(r) for r in ROLES])).alias("at", "role"))
     title = F.format_string("%s - %s", F.col("stimulus_id"), F.col("role"))
-    return x.select(F.substring(F.md5(title), 1, 12).alias("item_id"), title.alias("title"), "role",
-                    "stimulus_id")
+    own = F.substring(F.md5(title), 1, 12)
+    grid = F.substring(F.md5(F.concat("stimulus_id", F.lit(" - grid"))), 1, 12)
+    in_grid = (F.col("n") % 2 == 1) & (F.col("role") != "comment")
+    item = F.when(in_grid, F.concat(grid, F.lit("#"), F.col("at").cast("string"))).otherwise(own)
+    return x.select(item.alias("item_id"), title.alias("title"), "role", "stimulus_id")
 
 
-def _landed_answers(spark, sf_dir):
-    items = _items(_stimuli(spark, sf_dir))
-    sheets = _sheets(spark, sf_dir).select("participant_id", "stimulus_id")
+def _number(stimulus_id: str):
+    return F.substring(stimulus_id, 2, 18).cast("int")
+
+
+def _landed_payloads(spark, sf_dir):
+    """H9 input: per participant the payload of the latest submission. An
+    event is an answer: its ``k`` names the item (of the form's first
+    ``FORM_STIMULI`` stimuli), its value the label or, for a comment, whether
+    its type is the text; the last answer to an item up to the submission
+    counts."""
     latest = _latest_submissions(spark, sf_dir)
-    rows = sheets.join(latest, "participant_id").join(items, "stimulus_id")
-    byte = _byte(md5_order("participant_id", "item_id", "submission_id"))
-    scale = F.array(*[F.lit(s) for s in LIKERT_SCALE])
-    value = (F.when(F.col("role") == "comment",
-                    F.when(byte % 4 == 0, F.lit(COMMENT_TEXT)).otherwise(F.lit("")))
-             .when(byte == 0, F.lit(""))
-             .otherwise(F.element_at(scale, (byte % len(LIKERT_SCALE) + 1).cast("int"))))
-    return rows.select("participant_id", "item_id", value.alias("value")), items
+    ev = table(spark, sf_dir, "events").where("event_type <> 'signup'").select(
+        F.format_string("P%04d", "user_id").alias("participant_id"), "event_id", "ts", "event_type", "value",
+        (F.get_json_object("props", "$.k").cast("int") % (FORM_STIMULI * len(ROLES))).alias("item"))
+    given = ev.join(latest, "participant_id").where(F.col("ts") <= F.col("lastSubmittedTime"))
+    last = given.groupBy("participant_id", "item").agg(
+        F.max_by(F.struct("value", "event_type"), F.struct("ts", "event_id")).alias("e"))
+    number, at = F.floor(F.col("item") / len(ROLES)) + 1, F.col("item") % len(ROLES)
+    stimulus = F.format_string("S%03d", number.cast("int"))
+    v = F.floor("e.value").cast("int") % 11
+    label = F.when(v == 0, F.lit("")).otherwise(F.get(F.array(*[F.lit(x) for x in LIKERT_SCALE]), (v - 1) % 5))
+    comment = F.when(v < 6, F.col("e.event_type")).otherwise(F.lit(""))
+    x = last.select("participant_id", stimulus.alias("s"), (number % 2 == 1).alias("odd"), at.cast("int").alias("at"), v.alias("v"),
+                    label.alias("label"), comment.alias("comment"))
+    is_comment = F.col("at") == len(ROLES) - 1
+    role = F.get(F.array(*[F.lit(r) for r in ROLES]), F.col("at"))
+    title = F.when(F.col("odd") & ~is_comment, F.concat("s", F.lit(" - grid"))).otherwise(F.concat("s", F.lit(" - "), role))
+    cell = F.when(F.col("odd") & ~is_comment & (F.col("v") > 0), F.struct(
+        F.col("at").alias("rowIndex"), ((F.col("v") - 1) % 5).alias("columnIndex")))
+    one = lambda c: F.struct(F.array(F.struct(c.alias("value"))).alias("answers"))
+    # a form has a bounded number of items, so has each participant's map
+    per_item = x.groupBy("participant_id", F.substring(F.md5(title), 1, 12).alias("q")).agg(
+        F.max(F.when(is_comment, F.col("comment"))).alias("text"),
+        F.max(F.when(~is_comment & ~F.col("odd"), F.col("label"))).alias("choice"),
+        F.sort_array(F.collect_list(cell)).alias("cells"), F.bool_or(F.col("odd") & ~is_comment).alias("grid"))
+    answer = F.struct(
+        F.when(F.col("choice").isNotNull(), one(F.col("choice"))).alias("choiceQuestion"),
+        F.when(F.col("text").isNotNull(), one(F.col("text"))).alias("textAnswers"),
+        F.when(F.col("grid"), F.struct(F.col("cells").alias("answers"))).alias("gridAnswers"))
+    return per_item.groupBy("participant_id").agg(
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("q", answer))).alias("answers"))).alias("payload"))
+
+
+def _landed_answers(spark, sf_dir):
+    stimuli = _stimuli(spark, sf_dir).where(_number("stimulus_id") <= FORM_STIMULI)
+    return study.landed_answers(_landed_payloads(spark, sf_dir)), _items(stimuli)
 
 
 def flatten_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +246,6 @@ def _md5(*parts: str) -> str:
     return "md5(" + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
 
 
-def _byte_sql(h: str) -> str:
-    return (f"((instr('{_HEX}', substr({h}, 1, 1)) - 1) * 16 "
-            f"+ (instr('{_HEX}', substr({h}, 2, 1)) - 1))")
-
-
 def _sql_list(values) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -283,20 +310,22 @@ subs AS (
   SELECT printf('P%04d', user_id) AS participant_id, event_id AS submission_id, ts,
          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events WHERE event_type = 'signup'),
-latest AS (SELECT participant_id, submission_id FROM subs WHERE rn = 1),
-items AS (
-  SELECT substr(md5(s.stimulus_id || ' - ' || r.role), 1, 12) AS item_id, s.stimulus_id, r.role
-  FROM stim s, (SELECT unnest({_sql_list(ROLES)}) AS role) r),
-answers AS (
-  SELECT sh.participant_id, it.item_id, it.stimulus_id, it.role,
-         {_byte_sql(_md5('sh.participant_id', 'it.item_id', 'l.submission_id'))} AS b
-  FROM sheets sh JOIN latest l USING (participant_id) JOIN items it USING (stimulus_id)),
-valued AS (
-  SELECT participant_id, stimulus_id, role,
-         CASE WHEN role = 'comment' THEN (CASE WHEN b % 4 = 0 THEN '{COMMENT_TEXT}' ELSE '' END)
-              WHEN b = 0 THEN ''
-              ELSE {_sql_list(LIKERT_SCALE)}[b % {len(LIKERT_SCALE)} + 1] END AS value
-  FROM answers),
+given AS (
+  SELECT printf('P%04d', e.user_id) AS participant_id, e.value, e.event_type,
+         CAST(json_extract_string(e.props, '$.k') AS INTEGER) % {FORM_STIMULI * len(ROLES)} AS item,
+         row_number() OVER (PARTITION BY e.user_id, CAST(json_extract_string(e.props, '$.k') AS INTEGER) % {FORM_STIMULI * len(ROLES)}
+                            ORDER BY e.ts DESC, e.event_id DESC) AS rn
+  FROM events e JOIN (SELECT participant_id, max(ts) AS last_ts FROM subs GROUP BY participant_id) l
+       ON l.participant_id = printf('P%04d', e.user_id)
+  WHERE e.event_type <> 'signup' AND e.ts <= l.last_ts),
+valued0 AS (
+  SELECT participant_id, item, printf('S%03d', item // {len(ROLES)} + 1) AS stimulus_id, {_sql_list(ROLES)}[item % {len(ROLES)} + 1] AS role,
+         CASE WHEN item % {len(ROLES)} = {len(ROLES) - 1} THEN (CASE WHEN CAST(floor(value) AS INTEGER) % 11 < 6 THEN event_type ELSE '' END)
+              WHEN CAST(floor(value) AS INTEGER) % 11 = 0 THEN ''
+              ELSE {_sql_list(LIKERT_SCALE)}[(CAST(floor(value) AS INTEGER) % 11 - 1) % 5 + 1] END AS value
+  FROM given WHERE rn = 1 AND printf('S%03d', item // {len(ROLES)} + 1) IN (SELECT stimulus_id FROM stim)),
+valued AS (  -- a blank cell of a grid (stimuli of odd number) is no answer at all
+  SELECT * FROM valued0 WHERE NOT (value = '' AND (item // {len(ROLES)}) % 2 = 0 AND role <> 'comment')),
 flat AS (
   SELECT participant_id, stimulus_id,
          {", ".join(f'''max(CASE WHEN role = '{e}' THEN CAST(nullif(list_position({_sql_list(LIKERT_SCALE)}, {_STRIP.format(x="value")}), 0) AS INTEGER) END) AS "{e}"''' for e in ESS_ITEMS)},

@@ -91,3 +91,16 @@ def test_item_registry_keeps_items_of_four_digits(spark):
     items = spark.createDataFrame([("S999 comment", "i1", "comment"), ("S1000 comment", "i2", "comment"), ("no item", "i3", "comment")],
                                   "title string, item_id string, role string")
     assert {r["stimulus_id"]: r["comment_item"] for r in study.item_registry(items).collect()} == {"S999": "i1", "S1000": "i2"}
+
+
+def test_landed_payloads_of_both_forms(spark):
+    import json
+
+    one = lambda v: {"answers": [{"value": v}]}
+    payload = {"answers": {
+        "q1": {"choiceQuestion": one(LIKERT_SCALE[2])}, "q2": {"textAnswers": one(" fine ")}, "q3": {"choiceQuestion": {"answers": []}},
+        "g": {"gridAnswers": {"answers": [{"rowIndex": 0, "columnIndex": 0}, {"rowIndex": 8, "columnIndex": 4}, {"rowIndex": 1, "columnIndex": 7}]}}}}
+    df = spark.createDataFrame([("P1", json.dumps(payload)), ("P2", None), ("P3", '{"answers": {}}')], "participant_id string, payload string")
+    got = {(r["participant_id"], r["item_id"]): r["value"] for r in study.landed_answers(df).collect()}
+    assert got == {("P1", "q1"): LIKERT_SCALE[2], ("P1", "q2"): " fine ", ("P1", "q3"): None,
+                   ("P1", "g#0"): LIKERT_SCALE[0], ("P1", "g#8"): LIKERT_SCALE[4], ("P1", "g#1"): None}
