@@ -78,10 +78,15 @@ def lexical_index(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "te
     hottest join keys.
     """
     corpus = corpus.filter(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull())
-    dtf = term_frequencies(corpus, doc_id, doc_text)
+    return weighted_index(term_frequencies(corpus, doc_id, doc_text), corpus.select(doc_id), doc_id, persist)
+
+
+def weighted_index(dtf: DataFrame, docs: DataFrame, doc_id: str = "doc_id", persist: bool = True) -> LexicalIndex:
+    """The index of term frequencies (doc_id, term, tf) over ``docs``: only tf
+    is ever stored per batch, idf and norms follow from all of it."""
     if persist:
         dtf = dtf.persist(StorageLevel.MEMORY_AND_DISK)
-    n_docs = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     dfreq = dtf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # n_docs is a single aggregated row: broadcasting it is bounded.
     idf = (dfreq.join(F.broadcast(n_docs), how="inner", on=F.lit(True))
@@ -307,12 +312,13 @@ def metadata_struct(df: DataFrame, columns=METADATA_COLUMNS) -> Column:
 
 
 def hits_as_structs(hits: DataFrame, docs: DataFrame, q_id: str, doc_id: str,
-                    text_col: str) -> DataFrame:
-    """One row per query with ``hits`` = array of (rank, doc, score, text)
-    sorted by rank (k elements per query, bounded)."""
-    j = hits.join(docs.select(doc_id, text_col), doc_id)
+                    text_col: str, metadata=()) -> DataFrame:
+    """One row per query with ``hits`` = array of (rank, doc, score, text
+    [, metadata struct (C19)]) sorted by rank (k elements per query, bounded)."""
+    held = docs.select(doc_id, text_col, *([metadata_struct(docs, metadata).alias("metadata")] if metadata else []))
+    j = hits.join(held, doc_id)
     packed = F.struct(F.col("rank"), F.col(doc_id).cast("string").alias("document_no"),
-                      F.col("score"), F.col(text_col).alias("narrative"))
+                      F.col("score"), F.col(text_col).alias("narrative"), *(["metadata"] if metadata else []))
     return j.groupBy(q_id).agg(F.array_sort(F.collect_list(packed)).alias("hits"))
 
 

@@ -192,6 +192,16 @@ def context_assembly(spark: SparkSession, sf_dir: str):
                       F.md5("context").alias("context_md5"))
 
 
+HIT_METADATA = ("lang", "source", "n_chars")
+
+
+def hits_metadata(spark: SparkSession, sf_dir: str):
+    """R6 + C19: each query's hits with the metadata of their documents."""
+    hits = retrieval.hits_as_structs(_lexical(spark, sf_dir), table(spark, sf_dir, "documents"), "qid", "doc_id", "text", HIT_METADATA)
+    h = hits.select("qid", F.explode("hits").alias("h"))
+    return h.select("qid", F.col("h.rank").alias("rank"), F.col("h.document_no").alias("document_no"), "h.metadata.*")
+
+
 #: Words shorter than this are no keywords (articles, prepositions and the like).
 MIN_KEYWORD_CHARS = 7
 
@@ -230,6 +240,7 @@ QUERIES = {
     "lexical_topk": lexical_topk,
     "context_assembly": context_assembly,
     "keyword_relevance": keyword_relevance,
+    "hits_metadata": hits_metadata,
     "anti_join_new": anti_join_new,
 }
 
@@ -301,6 +312,9 @@ ctx AS (SELECT r.qid, string_agg('Document ' || CAST(r.doc_id AS VARCHAR) || ' (
           CAST(round(r.score, 6) AS VARCHAR) || '): ' || d.text, chr(10) || chr(10) ORDER BY r.rank) AS context
         FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 5 GROUP BY r.qid)
 SELECT qid, length(context) AS context_len, md5(context) AS context_md5 FROM ctx""",
+    "hits_metadata": _LEX + """
+SELECT r.qid, r.rank, CAST(r.doc_id AS VARCHAR) AS document_no, coalesce(d.lang, '') AS lang, coalesce(d.source, '') AS source,
+       coalesce(CAST(d.n_chars AS VARCHAR), '') AS n_chars FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 5""",
     "keyword_relevance": _LEX + r""",
 kw AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_extract_all(lower(text), '\w+'),
          lambda t: length(t) >= 7)) AS keywords FROM benchmark),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.operators.retrieval import new_for_index, term_frequencies
+from quarrylens.operators.retrieval import LexicalIndex, new_for_index, term_frequencies, weighted_index
 from quarrylens.session import ensure_checkpoint_dir
 from quarrylens.sources.io import exists
 
@@ -78,6 +78,15 @@ def start_refresh(spark: SparkSession, landing_path: str, index_path: str,
             .start())
 
 
+def refreshed_index(spark: SparkSession, index_path: str) -> LexicalIndex:
+    """The searchable index of all committed batches: postings of documents
+    that are in the docs table (not those of a batch that failed between the
+    two writes), with idf and norms over all of them."""
+    docs = spark.read.parquet(f"{index_path}/docs").select("doc_id")
+    terms = spark.read.parquet(f"{index_path}/terms").join(docs, "doc_id", "left_semi")
+    return weighted_index(terms.select("doc_id", "term", "tf"), docs)
+
+
 def index_meta(spark: SparkSession, index_path: str) -> DataFrame:
     """R3 over the refreshed table: rows added per batch and running total
     (the window runs over one row per batch, not over documents)."""

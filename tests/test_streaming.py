@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from quarrylens.plans.bindings import table
 from quarrylens.streaming import index_refresh as ir
 
@@ -31,3 +32,17 @@ def test_refresh_adds_only_new_ids(spark, tmp_path):
     worded = docs.filter((F.col("doc_id") < 500) & F.col("text").rlike(r"\w"))
     assert terms.select("doc_id").distinct().count() == worded.count()
     assert terms.count() == terms.dropDuplicates(["doc_id", "term"]).count()
+
+
+def test_two_refreshes_search_like_one_full_build(spark, tmp_path):
+    from quarrylens.operators import retrieval
+
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang", "source")
+    landing, index = str(tmp_path / "landing"), str(tmp_path / "index")
+    for part, rows in (("b1", docs.where("doc_id < 90")), ("b2", docs.where("doc_id >= 70"))):
+        rows.coalesce(1).write.parquet(f"{landing}/{part}")
+        ir.start_refresh(spark, f"{landing}/*", index, checkpoint=str(tmp_path / "ckpt")).awaitTermination(300)
+    asked = table(spark, SF_SMALL, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    hits = [sorted(map(tuple, retrieval.lexical_search(i, asked, k=5).collect()))
+            for i in (ir.refreshed_index(spark, index), retrieval.lexical_index(docs))]
+    assert hits[0] == hits[1] and hits[0]
