@@ -42,7 +42,7 @@ from quarrylens.llm._common import stored
 HIDDEN, CLASSES, PER_CLASS, GROUPS = 16, 24, 32, 48
 TABLE = 1 << 17
 WARM_DOCS = 600
-WINDOW, LANES = 16, 256
+WINDOW, LANES = 16, 512
 SCORE_WINDOW, SCORE_LANES = 48, 256
 RATE, WARM_STEPS = 0.1, 10
 #: Tokens that one lane learns in one go; longer documents learn in several lanes.
@@ -96,8 +96,8 @@ def _group(token: bytes) -> int:
 
 @dataclass
 class Vocabulary:
-    """What every task needs of the counts: the ``TABLE`` most frequent
-    tokens, most frequent first, and totals per group."""
+    """What every task needs of the counts: at most ``TABLE`` + 1 of the most
+    frequent tokens, most frequent first, and totals per group."""
 
     table: list[bytes]
     counts: np.ndarray
@@ -136,9 +136,23 @@ class Codes(dict):
         return np.fromiter(map(self.__getitem__, [*words, b""]), np.int32, len(words) + 1)
 
 
+def _table_cut(counts: DataFrame) -> int:
+    """The least count c, at the edge of an eighth of an octave, with at most
+    ``TABLE`` tokens that frequent; the driver sees one number per eighth."""
+    eighth = F.floor(8 * F.log2(F.col("c").cast("double"))).cast("int")
+    cut, held = 1 << 62, 0
+    for r in sorted(counts.groupBy(eighth.alias("e")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect(), reverse=True):
+        held += r["n"]
+        if held > TABLE:
+            break
+        cut = r["least"]
+    return cut
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc(F.col("token") == END), F.desc("c"), "token").limit(TABLE).collect()
+    top = counts.where((F.col("c") >= _table_cut(counts)) | (F.col("token") == END)).collect()  # at most TABLE + 1
+    top.sort(key=lambda r: (r["token"] != END, -r["c"], r["token"]))
     table, c = [r["token"].encode() for r in top], np.array([r["c"] for r in top], np.int64)
     order = np.argsort(-c, kind="stable")
     if len(order):  # the end is always among the frequent ones
@@ -415,10 +429,9 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray |
     made = docs.select("doc_id", "text").mapInArrow(
         each, f"doc_id {kind}, n_tokens long, known long, base double, model double, rare array<string>")
     rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    uses = rows.select("row", F.explode("rare").alias("token")).groupBy("row", "token").agg(F.count(F.lit(1)).alias("n"))
+    uses = rows.select("row", F.explode("rare").alias("token"))
     looked_up = uses.join(counts, "token", "left").groupBy("row").agg(
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more"))
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log"), F.count_if(F.col("c") > 0).alias("more"))
     log, size = F.coalesce("log", F.lit(0.0)), F.log10(F.lit(v.total + 0.5 * (v.distinct + 1)))
     return rows.drop("rare").join(looked_up, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
