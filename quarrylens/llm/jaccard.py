@@ -37,6 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from quarrylens.llm._common import stored
 from quarrylens.llm.components import components
@@ -44,8 +45,6 @@ from quarrylens.llm.components import components
 WORDS, THRESHOLD = 5, "0.8"
 BANDS, ROWS = 40, 5
 BLOCK, STEP, TOLERANCE = 256, 20, 1e-9
-#: Entries kept of words already hashed, per Python worker.
-CACHE = 1_000_000
 
 _MULTIPLIERS = np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,26 +55,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
     width = min(WORDS, n)
     h = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
@@ -101,9 +87,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def _digest(shingles: np.ndarray) -> bytes:
-    import xxhash
-
-    return xxhash.xxh3_128_digest(shingles.tobytes())
+    return xxh3_128_digest(shingles.tobytes())
 
 
 def digest_sets(docs: DataFrame) -> DataFrame:

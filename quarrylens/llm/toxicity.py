@@ -41,7 +41,7 @@ ASSOCIATION = 8.0
 RIDGE = 1e-4
 THRESHOLD = 0.3
 #: Entries kept of words already looked up, per Python worker.
-CACHE = 500_000
+CACHE = 200_000
 
 # What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
@@ -323,15 +323,18 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
     own = [c for c in keep or docs.columns if c not in ("score", "predicted")]
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*own).dtypes) + ", score double, predicted int"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES and CLASSES
+    text = own.index("text") if "text" in own else len(own)
 
     def each(batches):
         model = shared.value
         for batch in batches:
-            p = model.score([t or "" for t in batch.column(len(own)).to_pylist()])
+            p = np.concatenate([np.zeros(0), *(
+                model.score([t or "" for t in batch.column(text).slice(at, 256).to_pylist()]) for at in range(0, batch.num_rows, 256))])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*own, "score", "predicted"])
+                [*batch.columns[: len(own)], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*own, "score", "predicted"])
 
-    return docs.select(*own, F.col("text").alias("_text")).mapInArrow(each, schema)
+    given = docs.select(*own) if "text" in own else docs.select(*own, "text")
+    return given.mapInArrow(each, schema)
 
 
 def restore(docs: DataFrame, model: ToxicityModel) -> DataFrame:
