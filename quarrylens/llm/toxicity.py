@@ -3,7 +3,7 @@
 Noisy channel. A disguised word is a lattice: a digit or sign may stand for
 a letter ("1d10t"), three or more equal letters for one or two ("looooser"),
 and signs or blanks between single letters for nothing ("l.o.s.e.r",
-"l o s e r"). Viterbi decoding finds the path with the best sum of the channel's
+"l o s e r"). Punctuation around a word is no part of it. Viterbi decoding finds the path with the best sum of the channel's
 costs and the log-probability under a character trigram model, whose counts
 are taken over all documents. A word whose lattice has one path is that path.
 
@@ -54,11 +54,16 @@ CLASSES = DIGIT + 1
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SIGNS = re.escape("".join(LEET))
+#: What may stand for a letter, and what separates letters; no character is both.
+_SINGLE, _SEPARATOR = r"(?:[^\W_]|[@$!|+])", r"(?:[^\w\s@$!|+]|_)"
 _DISGUISED = re.compile(
-    rf"[^\W\d_].*[{_SIGNS}].*[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_]{{2}}[{_SIGNS}]+$|([^\W\d_])\1\1"
-    rf"|^(?:[\w{_SIGNS}][.*_-]){{2,}}[\w{_SIGNS}]$"
+    rf"[^\W\d_].*[{_SIGNS}].*[^\W\d_]|^[{_SIGNS}]+[^\W\d_]|[^\W\d_][{_SIGNS}]+$|([^\W\d_])\1\1"
+    rf"|^(?:{_SINGLE}{_SEPARATOR}+){{2,}}{_SINGLE}"
 ).search
-_SPACED = re.compile(r"^(?:[\w@$!|+][.*_-]){2,}[\w@$!|+]$").match
+_SPACED = re.compile(rf"(?:{_SINGLE}{_SEPARATOR}+){{2,}}{_SINGLE}[@$!|+]*$").match
+_is_separator = re.compile(_SEPARATOR).match
+_ONE = re.compile(rf"{_SEPARATOR}*(?:[^\W_][\W_]*|[@$!|+]{_SEPARATOR}*)$").match
+_RUN = re.compile(b"\x01{3,}").finditer
 
 
 def _class_of(c: str) -> int:
@@ -152,6 +157,16 @@ def lattice_of(chunk: str, gaps: bool) -> list[list[tuple[str, float]]]:
     return steps
 
 
+def core_of(chunk: str) -> str:
+    """The chunk without the separators around it."""
+    i, j = 0, len(chunk)
+    while i < j and _is_separator(chunk[i]):
+        i += 1
+    while j > i and _is_separator(chunk[j - 1]):
+        j -= 1
+    return chunk[i:j]
+
+
 @dataclass
 class Restorer:
     """Texts to their restored words, for one character model."""
@@ -161,29 +176,27 @@ class Restorer:
     def chunk(self, chunk: str) -> list[str]:
         """The words of a chunk without blanks."""
         low = chunk.lower()
+        if not (low[:1].isalnum() and low[-1:].isalnum()):
+            low = core_of(low)
         if not _DISGUISED(low):
             return _WORDS(low)
         return _WORDS(self.model.decode(lattice_of(low, bool(_SPACED(low)))))
 
     def spaced(self, chunks: list[str]) -> list[str]:
         """The words of chunks of one character each, blanks between them."""
-        return _WORDS(self.model.decode(lattice_of(" ".join(chunks).lower(), True)))
+        return _WORDS(self.model.decode(lattice_of(core_of(" ".join(chunks).lower()), True)))
 
     @staticmethod
     def runs(chunks: list[str]):
-        """(start, stop) of runs of at least three one-character chunks."""
-        start = None
-        for i, c in enumerate([*chunks, "  "]):
-            if len(c) == 1:
-                start = i if start is None else start
-            elif start is not None:
-                if i - start >= 3:
-                    yield start, i
-                start = None
+        """(start, stop) of runs of at least three chunks of one character,
+        whatever the punctuation around it."""
+        flags = bytes([len(c) == 1 or (not c.isalnum() and _ONE(c) is not None) for c in chunks])
+        for run in _RUN(flags):
+            yield run.span()
 
     def words(self, text: str) -> list[str]:
         chunks, out, at = text.split(), [], 0
-        for start, stop in self.runs(chunks) if any(len(c) == 1 for c in chunks) else ():
+        for start, stop in self.runs(chunks):
             for c in chunks[at:start]:
                 out += self.chunk(c)
             out += self.spaced(chunks[start:stop])
@@ -214,9 +227,8 @@ class ToxicityModel:
         out = np.empty(len(texts))
         for n, text in enumerate(texts):
             chunks, found = text.split(), set()
-            if 1 in map(len, chunks):
-                for start, stop in restorer.runs(chunks):
-                    found |= hits(restorer.spaced(chunks[start:stop]))
+            for start, stop in restorer.runs(chunks):
+                found |= hits(restorer.spaced(chunks[start:stop]))
             for c in set(chunks):
                 if (h := known.get(c)) is None:
                     if len(known) >= CACHE:

@@ -33,6 +33,19 @@ def test_disguised_words_are_restored(restorer):
     assert restorer.words("w0rthl3ss tra5h") == ["worthless", "trash"]
 
 
+@pytest.mark.parametrize("disguise", ["l.o.s.e.r", "l-o-s-e-r", "l_o_s_e_r", "l/o/s/e/r", "l..o..s..e..r", "l.-o.-s.-e.-r",
+                                      "l,o,s,e,r", "l o s e r", "l. o. s. e. r", "l0ser", "10$er", "1os3r", "looooser"])
+@pytest.mark.parametrize("around", ["{}", "{}.", "{}, and", "{}!", "({})", '"{}"', "\u201c{}\u201d;", "['{}'].", "what, {}?"])
+def test_disguises_within_punctuation_are_restored(restorer, disguise, around):
+    assert "loser" in restorer.words(around.format(disguise))
+
+
+def test_signs_at_the_edge_of_a_word_are_restored():
+    restorer = toxicity.Restorer(_characters(["scum of the los angeles hill"] * 20))
+    assert restorer.words('"5cum" (l0$) \'l0$,') == ["scum", "los", "los"]
+    assert len(restorer.words("!" * 5_000 + "." * 5_000 + "a" + "-!" * 5_000)) <= 1  # no backtracking
+
+
 def test_plain_words_stay(restorer):
     text = "The hill, 24 items (4th) of 108.51.216.133: all good! It's fine"
     assert restorer.words(text)[:3] == ["the", "hill", "items"]
