@@ -6,8 +6,10 @@ hash is divisible by ``SECTION_EVERY`` (cut by content, so an edit moves the
 cuts next to it only), or with the text; its node is the md5 of its
 paragraphs' nodes. The root is the sha256 of the sections' nodes, so two texts
 have one root exactly if they are equal. Every paragraph also lists a 31-bit
-label per run of eight words, so that an edit inside a paragraph is located
-and short texts compare too.
+label per run of words, so that an edit inside a paragraph is located and
+short texts compare too. A run ends after the first word of its line, after a
+word whose hash is divisible by ``RUN_EVERY`` (cut by content, as sections
+are), and with the line.
 
 Fingerprint: ``root/section[paragraph:label.label,...];section[...]`` with the
 first 8 hex digits of section and paragraph nodes. ``diff_branches`` walks two
@@ -29,7 +31,17 @@ from pyspark.sql import functions as F
 from quarrylens.llm._common import stored
 
 SECTION_EVERY = 8
-WORD_RUN = r"(?:\S+\s*){1,8}|\s+"
+RUN_EVERY = 4
+#: A word with the white space after it (the first one: around it), or a blank line.
+WORD = r"\s*\S+\s*|\s+"
+
+
+def runs(line: Column) -> Column:
+    """array<string>: the line's runs of words; together they are the line."""
+    words = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    ends = lambda w, i: (i == 0) | (F.pmod(F.xxhash64(F.regexp_extract(w, r"^\S*", 0)), F.lit(RUN_EVERY)) == 0)
+    marked = F.transform(words, lambda w, i: F.when(ends(w, i), F.concat(w, F.lit("\n"))).otherwise(w))  # a line holds no line break
+    return F.filter(F.split(F.array_join(marked, ""), "\n", -1), lambda r: r != "")
 
 
 def paragraphs(text: Column) -> Column:
@@ -39,7 +51,7 @@ def paragraphs(text: Column) -> Column:
         lines,
         lambda x: F.struct(
             F.md5(x).alias("h"),
-            F.transform(F.regexp_extract_all(x, F.lit(WORD_RUN), F.lit(0)), lambda u: F.hash(u).bitwiseAND(0x7FFFFFFF)).alias("b"),
+            F.transform(runs(x), lambda u: F.hash(u).bitwiseAND(0x7FFFFFFF)).alias("b"),
             ((F.trim(x) == "") | (F.pmod(F.xxhash64(x), F.lit(SECTION_EVERY)) == 0)).alias("e"),
         ),
     )

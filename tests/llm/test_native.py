@@ -72,6 +72,23 @@ def test_fingerprint_edges(spark, docs_of, tmp_path):
     assert fingerprints.query(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_fingerprint_of_short_lines_and_shifted_words(spark, docs_of, tmp_path):
+    words = "seven grey geese were seen over the northern lake at dawn before rain came down".split()
+    rows = [(n, " ".join(words[n % 3 :][:n])) for n in range(4, 13)] + [(n, " ".join(words[:n])) for n in (13, 14, 15)]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = fingerprints.query(spark, str(tmp_path)).collect()
+    assert len(out) == 12 and all(0 < r["near_edited"] < 1 for r in out)
+    # a word inserted at the start of a long line shifts no later run
+    line = " ".join(f"word{i * i % 211}" for i in range(200))
+    t = fingerprints.fingerprint(docs_of([(1, line), (2, "Indeed " + line)])).select("doc_id", "tree")
+    a, b = (r["tree"] for r in t.orderBy("doc_id").collect())
+    assert len(set(a["labels"]) & set(b["labels"])) >= len(a["labels"]) - 2 > 20
+    # the runs are the line
+    kept = docs_of([(1, line), (2, "  led by blanks\tand a tab "), (3, ""), (4, " ")]).select("text", fingerprints.runs(F.col("text")).alias("r")).collect()
+    assert all("".join(r["r"]) == r["text"] for r in kept)
+    assert {r["r"][0] for r in kept if r["r"]} >= {"  led ", " "}
+
+
 def test_differing_branches_locate_the_edit(docs_of):
     lines = [f"paragraph {i} of the text" for i in range(60)]
     other = list(lines)
