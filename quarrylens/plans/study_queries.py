@@ -26,7 +26,7 @@ from quarrylens.spec import EMPTY_ANSWER_PLACEHOLDER, ESS_ITEMS, LIKERT_SCALE, S
 
 STUDY_SEED = 42
 PER_CATEGORY = 4
-#: Stimuli on the rating form; the others of the study are not rated.
+#: Stimuli of the oracle SQL below, which folds every answer onto them; the queries rate all stimuli.
 FORM_STIMULI = 3
 ROLES = ESS_ITEMS + ["comment"]
 
@@ -163,14 +163,13 @@ def _number(stimulus_id: str):
 
 def _landed_payloads(spark, sf_dir):
     """H9 input: per participant the payload of the latest submission. An
-    event is an answer: its ``k`` names the item (of the form's first
-    ``FORM_STIMULI`` stimuli), its value the label or, for a comment, whether
-    its type is the text; the last answer to an item up to the submission
-    counts."""
+    event is an answer: its ``k`` names the item (stimulus ``k`` div 10 + 1,
+    role ``k`` mod 10), its value the label or, for a comment, whether its type
+    is the text; the last answer to an item up to the submission counts."""
     latest = _latest_submissions(spark, sf_dir)
     ev = table(spark, sf_dir, "events").where("event_type <> 'signup'").select(
         F.format_string("P%04d", "user_id").alias("participant_id"), "event_id", "ts", "event_type", "value",
-        (F.get_json_object("props", "$.k").cast("int") % (FORM_STIMULI * len(ROLES))).alias("item"))
+        F.get_json_object("props", "$.k").cast("int").alias("item"))
     given = ev.join(latest, "participant_id").where(F.col("ts") <= F.col("lastSubmittedTime"))
     last = given.groupBy("participant_id", "item").agg(
         F.max_by(F.struct("value", "event_type"), F.struct("ts", "event_id")).alias("e"))
@@ -201,8 +200,7 @@ def _landed_payloads(spark, sf_dir):
 
 
 def _landed_answers(spark, sf_dir):
-    stimuli = _stimuli(spark, sf_dir).where(_number("stimulus_id") <= FORM_STIMULI)
-    return study.landed_answers(_landed_payloads(spark, sf_dir)), _items(stimuli)
+    return study.landed_answers(_landed_payloads(spark, sf_dir)), _items(_stimuli(spark, sf_dir))
 
 
 def flatten_responses(spark: SparkSession, sf_dir: str) -> DataFrame:

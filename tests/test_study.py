@@ -104,3 +104,34 @@ def test_landed_payloads_of_both_forms(spark):
     got = {(r["participant_id"], r["item_id"]): r["value"] for r in study.landed_answers(df).collect()}
     assert got == {("P1", "q1"): LIKERT_SCALE[2], ("P1", "q2"): " fine ", ("P1", "q3"): None,
                    ("P1", "g#0"): LIKERT_SCALE[0], ("P1", "g#8"): LIKERT_SCALE[4], ("P1", "g#1"): None}
+
+
+def test_every_answered_stimulus_is_rated(spark):
+    """flatten_responses against plain Python: every k is its own item."""
+    import json
+
+    from quarrylens.plans import study_queries as q
+
+    sf = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{sf}/events.parquet").collect()
+    stimuli = {r["stimulus_id"] for r in q.blind_stimuli(spark, sf).collect()}
+    until, last = {}, {}
+    for e in events:
+        if e["event_type"] == "signup":
+            until[e["user_id"]] = max(until.get(e["user_id"], e["ts"]), e["ts"])
+    for e in sorted(events, key=lambda e: (e["ts"], e["event_id"])):
+        if e["event_type"] != "signup" and e["user_id"] in until and e["ts"] <= until[e["user_id"]]:
+            last[e["user_id"], int(json.loads(e["props"])["k"])] = e
+    want = {}
+    for (user, k), e in last.items():
+        number, at, v = k // 10 + 1, k % 10, int(e["value"] // 1) % 11
+        if f"S{number:03d}" not in stimuli or (v == 0 and number % 2 and at < 9):
+            continue
+        row = want.setdefault((f"P{user:04d}", f"S{number:03d}"), [None] * 9 + [""])
+        row[at] = (e["event_type"] if v < 6 else "") if at == 9 else (v - 1) % 5 + 1 if v else None
+    got = {(r["participant_id"], r["stimulus_id"]): [*(r[i] for i in ESS_ITEMS), r["comment"]] for r in q.flatten_responses(spark, sf).collect()}
+    assert len({s for _, s in got}) == min(10, len(stimuli)) > 3
+    assert got == want
+    summary = {(r["scope"], r["name"]): r["n"] for r in q.rating_summary(spark, sf).collect()}
+    complete = sum(None not in row[:9] for row in want.values())
+    assert summary["rejected", "incomplete"] == len(want) - complete and summary.get(("overall", "all"), 0) == complete
