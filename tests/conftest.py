@@ -5,8 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -15,9 +13,3 @@ def spark():
     s = local_session(cores="*", shuffle_partitions=8, app="quarrylens-tests")
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    """Collect a small test result as a list of tuples (tests only)."""
-    sel = df.select(*cols) if cols else df
-    return [tuple(r) for r in sel.collect()]

@@ -1,7 +1,7 @@
 """Driver contract: entry runs, every oracle has a query, smoke-run a few."""
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from quarrylens_testdata import SF_SMALL
 
 
 def test_entry_runs(spark):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from quarrylens_testdata import SF_SMALL
 from quarrylens.operators import retrieval
 from quarrylens.plans.bindings import table
 

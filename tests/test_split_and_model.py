@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from quarrylens_testdata import SF_SMALL
 from quarrylens.operators import severity, split
 from quarrylens.plans.bindings import DRIVER_SPEC, incidents
 from quarrylens.spec import ACCIDENT_SPEC

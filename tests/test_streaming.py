@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from quarrylens_testdata import SF_SMALL
 from quarrylens.plans.bindings import table
 from quarrylens.streaming import index_refresh as ir
 
