@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quarrylens.llm import byte_bpe, fingerprints, gated_lm, jaccard, licenses, line_dedup, packing, token_counts, toxicity, vafile
+from quarrylens.llm import (
+    byte_bpe, circulant, fingerprints, gated_lm, jaccard, licenses, line_dedup, manifest, packing, repair, token_counts, toxicity, vafile)
 
 _MODULES = {
     "op1_document_fingerprints": fingerprints,
@@ -15,6 +16,9 @@ _MODULES = {
     "op8_gated_lm_scoring": gated_lm,
     "op9_byte_bpe": byte_bpe,
     "op10_ngram_jaccard_join": jaccard,
+    "op11_merkle_manifest": manifest,
+    "op12_circulant_dedup": circulant,
+    "op13_conversation_repair": repair,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
