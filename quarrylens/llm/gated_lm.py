@@ -15,7 +15,12 @@ backpropagation through ``WINDOW`` steps: documents run side by side in lanes,
 and a lane's state is carried from window to window, in scoring up to the
 document's end, in training up to ``SEGMENT`` tokens. A first model is fitted on ``WARM_DOCS`` documents
 drawn by hash; from it every task trains on all training documents of its
-partition, and Spark averages the tasks' parameters, weighted by their tokens.
+partition, and Spark averages the tasks' parameters, weighted by their tokens,
+so the model depends, if little, on how the rows are dealt out to tasks.
+
+Texts are cut and looked up once: every document is stored as the symbols that
+the model knows, its known tokens' base score and its tokens beyond the table;
+training and scoring read symbols only.
 
 Tokens beyond the ``TABLE`` most frequent are looked up by a join with the
 counts, so nothing that grows with the vocabulary is broadcast or collected.
@@ -23,6 +28,8 @@ counts, so nothing that grows with the vocabulary is broadcast or collected.
 Defined cases: null text is the empty text, one end token; a null doc_id is
 not held out; rows that repeat a doc_id each learn and are scored; without
 training documents every token counts as unseen; extra columns are ignored.
+Every unseen token gets the whole unseen share of its group, so ``score`` is
+no distribution over texts with unseen words (nor is the base score).
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ from quarrylens.llm._common import stored
 HIDDEN, CLASSES, PER_CLASS, GROUPS = 16, 24, 32, 48
 TABLE = 1 << 17
 WARM_DOCS = 600
-WINDOW, LANES = 16, 512
+WINDOW, LANES = 16, 256
 SCORE_WINDOW, SCORE_LANES = 48, 256
 RATE, WARM_STEPS = 0.1, 10
 #: Tokens that one lane learns in one go; longer documents learn in several lanes.
@@ -106,6 +113,10 @@ class Vocabulary:
     distinct: int  # V
     frequent: int  # the first so many of the table are symbols of the model
 
+    def without_table(self) -> "Vocabulary":
+        """What the model itself needs."""
+        return Vocabulary([], self.counts[: self.frequent], self.group_mass, self.total, self.distinct, self.frequent)
+
     def prepared(self) -> "Codes":
         if "_codes" not in self.__dict__:
             self.__dict__["_codes"] = Codes(self)
@@ -123,6 +134,8 @@ class Codes(dict):
         groups = [v.frequent + _group(t) for t in v.table[v.frequent :]]
         self.symbol = np.array([*range(v.frequent), *groups, *range(v.frequent, v.frequent + GROUPS)], np.int32)
         self.log10 = np.r_[np.log10(v.counts + 0.5), np.zeros(GROUPS)]
+        #: what the end adds where no document taught it: it is looked up nowhere else
+        self.end = 0.0 if b"" in self.base else float(np.log10(0.5))
 
     def __missing__(self, token: bytes) -> int:
         if len(self) > self.size + CACHE:
@@ -177,7 +190,7 @@ class GatedModel:
     def __init__(self, v: Vocabulary, flat: np.ndarray | None = None) -> None:
         h, k = HIDDEN, v.frequent
         self.symbols, self.start = k, k + GROUPS
-        shapes = {"x": (k + GROUPS + 1, 3 * h), "u": (h, 2 * h), "un": (h, h),
+        shapes = {"x": (k + GROUPS + 1, 3 * h), "u": (h, 3 * h),
                   "c": (h, CLASSES + GROUPS), "cb": (CLASSES + GROUPS,), "w": (CLASSES, PER_CLASS, h), "wb": (CLASSES, PER_CLASS)}
         ends = np.cumsum([int(np.prod(s)) for s in shapes.values()])
         self.flat = np.zeros(ends[-1], np.float32) if flat is None else flat.astype(np.float32)
@@ -188,11 +201,11 @@ class GatedModel:
         self.g = {n: part.reshape(s) for (n, s), part in zip(shapes.items(), np.split(self.grad, ends[:-1]))}
         # classes: frequent symbols in order of frequency, PER_CLASS each; then one per group
         symbol = np.arange(k + GROUPS)
-        self.cls = np.where(symbol < k, symbol // PER_CLASS, CLASSES + symbol - k).astype(np.int64)
+        self.cls = np.where(symbol < k, symbol // PER_CLASS, CLASSES + symbol - k).astype(np.int16)  # short: sorted by radix
         self.place = np.where(symbol < k, symbol % PER_CLASS, -1).astype(np.int64)
         if flat is None:
             rng = np.random.default_rng(8)
-            for n, scale in (("x", 0.1), ("u", h**-0.5), ("un", h**-0.5)):
+            for n, scale in (("x", 0.1), ("u", h**-0.5)):
                 self.p[n][...] = rng.normal(0, scale, self.p[n].shape)
             mass = np.zeros(CLASSES + GROUPS)
             np.add.at(mass, self.cls[:k], v.counts[:k] + 0.5)
@@ -203,22 +216,32 @@ class GatedModel:
 
     def states(self, inputs: np.ndarray, resets: np.ndarray, h: np.ndarray, tape: list | None = None) -> np.ndarray:
         """States after each of the T steps over n lanes, from h (n, H);
-        ``resets`` marks document starts."""
-        p, size = self.p, HIDDEN
-        out = np.empty((*inputs.shape, size), np.float32)
-        x = p["x"][inputs]
+        ``resets`` marks document starts. The reset gate acts on what the
+        state contributes, so one product per step serves all gates; arrays
+        are laid out feature by feature."""
+        size, lanes = HIDDEN, inputs.shape[1]
+        table, weights = np.ascontiguousarray(self.p["x"].T), np.ascontiguousarray(self.p["u"].T)
+        out = np.empty((len(inputs), size, lanes), np.float32)
+        h = np.ascontiguousarray(h.T)
         for t in range(len(inputs)):
             if (new := np.flatnonzero(resets[t])).size:
                 h = h.copy()
-                h[new] = 0
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (x[t, :, : 2 * size] + h @ p["u"]))
-            z, r = zr[:, :size], zr[:, size:]
-            n = np.tanh(x[t, :, 2 * size :] + (r * h) @ p["un"])
+                h[:, new] = 0
+            x, a = np.take(table, inputs[t], axis=1), weights @ h
+            zr = x[: 2 * size]
+            zr += a[: 2 * size]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            z, r, n, q = zr[:size], zr[size:], x[2 * size :], a[2 * size :]
+            n += r * q
+            np.tanh(n, out=n)
             if tape is not None:
-                tape.append((h, z, r, n))
+                tape.append((h, z, r, n, q))
             h = h + z * (n - h)
             out[t] = h
-        return out
+        return np.ascontiguousarray(out.transpose(0, 2, 1))
 
     def log_prob(self, h: np.ndarray, y: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P(symbol y | state h) per row, without what a group shares out;
@@ -266,32 +289,47 @@ class GatedModel:
         """One step of truncated backpropagation; the state after it. ``full``:
         tokens of a window with all lanes, so that windows with a few last
         lanes weigh less."""
-        p, g, size, tape = self.p, self.g, HIDDEN, []
+        g, size, tape = self.g, HIDDEN, []
         states = self.states(inputs, resets, h, tape)
         live = targets >= 0
+        every = bool(live.all())
         self.grad[:] = 0
-        _, dh_live = self.log_prob(states[live], targets[live], True)
-        dhs = np.zeros_like(states)
-        dhs[live] = dh_live
-        dx = np.empty((*inputs.shape, 3 * size), np.float32)
-        back = np.zeros_like(h)
-        for t in range(len(inputs) - 1, -1, -1):
-            h0, z, r, n = tape[t]
+        _, dh_live = self.log_prob(states.reshape(-1, size) if every else states[live], targets[live], True)
+        if every:
+            dhs = dh_live.reshape(states.shape)
+        else:
+            dhs = np.zeros(states.shape, np.float32)
+            dhs[live] = dh_live
+        dhs = np.ascontiguousarray(dhs.transpose(0, 2, 1))
+        steps, lanes = inputs.shape
+        # per step, by feature: update gate, reset gate, what the state adds to the new one, what the input adds
+        parts = np.empty((steps, 4 * size, lanes), np.float32)
+        back = np.zeros((size, lanes), np.float32)
+        for t in range(steps - 1, -1, -1):
+            h0, z, r, n, q = tape[t]
+            dz, dr, dnr, dn = parts[t].reshape(4, size, lanes)
             d = dhs[t] + back
-            dn = d * z * (1 - n * n)
-            dz = d * (n - h0) * z * (1 - z)
-            drh = dn @ p["un"].T
-            dr = drh * h0 * r * (1 - r)
-            dzr = np.concatenate([dz, dr], axis=1)
-            g["un"] += (r * h0).T @ dn
-            g["u"] += h0.T @ dzr
-            back = d * (1 - z) + drh * r + dzr @ p["u"].T
-            back[resets[t]] = 0
-            dx[t, :, : 2 * size], dx[t, :, 2 * size :] = dzr, dn
-        flat, rows = inputs.ravel(), dx.reshape(-1, 3 * size)
-        order = np.argsort(flat, kind="stable")
-        names, first = np.unique(flat[order], return_index=True)
-        g["x"][names] += np.add.reduceat(rows[order], first, axis=0)
+            np.multiply(d, z, out=dz)
+            np.multiply(dz, 1 - n * n, out=dn)
+            rest = 1 - z
+            dz *= n - h0
+            dz *= rest
+            np.multiply(dn, r, out=dnr)
+            np.multiply(dnr, q, out=dr)
+            dr *= 1 - r
+            back = d * rest
+            back += self.p["u"] @ parts[t, : 3 * size]
+            back[:, resets[t]] = 0
+        before = np.stack([step[0] for step in tape])
+        g["u"] += np.matmul(before, parts[:, : 3 * size].transpose(0, 2, 1)).sum(axis=0)
+        rows = np.empty((steps, lanes, 3 * size), np.float32)
+        rows[..., : 2 * size] = parts[:, : 2 * size].transpose(0, 2, 1)
+        rows[..., 2 * size :] = parts[:, 3 * size :].transpose(0, 2, 1)
+        flat, rows = inputs.ravel(), rows.reshape(-1, 3 * size)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        names = flat[order]
+        first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        g["x"][names[first]] += np.add.reduceat(rows[order], first, axis=0)
         self.grad /= max(1, int(live.sum()))
         self.square += self.grad * self.grad
         self.steps += 1
@@ -332,9 +370,9 @@ def arranged(symbols: list[np.ndarray], start: int, width: int):
     return inputs, targets, resets, owner
 
 
-def learn(model: GatedModel, symbols: list[np.ndarray]) -> None:
+def learn(model: GatedModel, symbols: list[np.ndarray], width: int = LANES) -> None:
     parts = [s[at : at + SEGMENT] for s in symbols for at in range(0, len(s), SEGMENT)]
-    inputs, targets, resets, _ = arranged(parts, model.start, LANES)
+    inputs, targets, resets, _ = arranged(parts, model.start, width)
     h = np.zeros((targets.shape[1], HIDDEN), np.float32)
     for t in range(0, len(targets), WINDOW):
         part = slice(t, t + WINDOW)
@@ -357,40 +395,69 @@ def log_likelihoods(model: GatedModel, symbols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _blocks(batches, column: int, codes: Codes):
-    """(rows, codes per document, words beyond the table per document) in
-    blocks of about ``BLOCK`` tokens."""
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """Per row of ``docs`` its tokens' symbols (16 bits each) and what needs no
+    model: (row, doc_id, n_tokens, known, base, tail, symbols, rare). ``base``
+    sums log10(c + 0.5) over the table's tokens, ``tail`` those of them that
+    the model knows by group only, less their groups' masses; ``rare`` are the
+    words beyond the table."""
+    kind = dict(docs.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(v)  # bounded by TABLE
+
+    def each(batches):
+        v = shared.value
+        codes = v.prepared()
+        shares = np.r_[np.zeros(v.frequent), np.log10(v.group_mass)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                out: list[tuple] = []
+                for text in rows.column(1):
+                    words = words_of(text.as_py())
+                    c = codes.of(words)
+                    s, logs = codes.symbol[c], codes.log10[c]
+                    tail = float(logs[s >= v.frequent].sum() - shares[s].sum()) + codes.end
+                    rare = [words[k].decode("utf-8") for k in np.flatnonzero(c[:-1] >= codes.size)]
+                    out.append((len(c), int((c < codes.size).sum()), float(logs.sum()) + codes.end, tail, s.astype(np.uint16).tobytes(), rare))
+                columns = list(zip(*out))
+                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, t) for x, t in zip(columns, types))],
+                                                 names=["doc_id", "n_tokens", "known", "base", "tail", "symbols", "rare"])
+
+    made = docs.select("doc_id", "text").mapInArrow(
+        each, f"doc_id {kind}, n_tokens long, known long, base double, tail double, symbols binary, rare array<string>")
+    return made.withColumn("row", F.monotonically_increasing_id())
+
+
+def _blocks(batches, column: int):
+    """(rows, symbols per document) in blocks of about ``BLOCK`` tokens."""
     for batch in batches:
-        start, coded, rare, size = 0, [], [], 0
-        for i, text in enumerate(batch.column(column)):
-            words = words_of(text.as_py())
-            c = codes.of(words)
-            coded.append(c)
-            rare.append([words[k].decode("utf-8") for k in np.flatnonzero(c[:-1] >= codes.size)])
-            size += len(c)
+        start, symbols, size = 0, [], 0
+        for i, coded in enumerate(batch.column(column)):
+            symbols.append(np.frombuffer(coded.as_py(), np.uint16).astype(np.int32))
+            size += len(symbols[-1])
             if size >= BLOCK or i + 1 == batch.num_rows:
-                yield batch.slice(start, len(coded)), coded, rare
-                start, coded, rare, size = i + 1, [], [], 0
+                yield batch.slice(start, len(symbols)), symbols
+                start, symbols, size = i + 1, [], 0
 
 
-def _trained(docs: DataFrame, v: Vocabulary, flat: np.ndarray | None) -> np.ndarray | None:
+def _trained(coded: DataFrame, v: Vocabulary, flat: np.ndarray | None, width: int) -> np.ndarray | None:
     """Parameters after a pass of every task over its documents, averaged by
     their tokens; what is collected is bounded by the number of parameters."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, flat))  # bounded by TABLE
+    shared = coded.sparkSession.sparkContext.broadcast((v.without_table(), flat))
 
     def each(batches):
         v, flat = shared.value
-        codes, model, seen = v.prepared(), GatedModel(v, flat), 0
-        for _, coded, _ in _blocks(batches, 0, codes):
-            symbols = [codes.symbol[c] for c in coded]
-            learn(model, symbols)
+        model, seen = GatedModel(v, flat), 0
+        for _, symbols in _blocks(batches, 0):
+            learn(model, symbols, width)
             seen += sum(map(len, symbols))
         if seen:
             at = np.arange(len(model.flat), dtype=np.int32)
             n = np.full(len(at), seen, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(model.flat.astype(np.float64) * seen), pa.array(n)], names=["i", "w", "n"])
 
-    sums = docs.select("text").mapInArrow(each, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
+    sums = coded.select("symbols").mapInArrow(each, "i int, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w"))
     rows = sums.toArrow()
     if not rows.num_rows:
         return flat
@@ -399,51 +466,47 @@ def _trained(docs: DataFrame, v: Vocabulary, flat: np.ndarray | None) -> np.ndar
     return out
 
 
-def fit(docs: DataFrame, v: Vocabulary) -> np.ndarray | None:
-    """Trained parameters: a first model, then a pass over all documents."""
-    warm = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCS).coalesce(1)
-    return _trained(docs, v, _trained(warm, v, None))
+def fit(coded: DataFrame, v: Vocabulary, width: int = LANES) -> np.ndarray | None:
+    """Trained parameters: a first model, then a pass over all documents, as
+    ``encode`` gives them, in ``width`` lanes."""
+    warm = coded.orderBy(F.xxhash64("doc_id"), "doc_id").select("symbols").limit(WARM_DOCS).coalesce(1)
+    return _trained(coded, v, _trained(warm, v, None, width), width)
 
 
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray | None) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) per row of ``docs``."""
-    kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((v, flat))
+    return score_encoded(stored(encode(docs, v), "lm-symbols"), counts, v, flat)
+
+
+def score_encoded(coded: DataFrame, counts: DataFrame, v: Vocabulary, flat: np.ndarray | None) -> DataFrame:
+    """``score`` of stored rows of ``encode``."""
+    kind = dict(coded.dtypes)["doc_id"]
+    shared = coded.sparkSession.sparkContext.broadcast((v.without_table(), flat))
 
     def each(batches):
         v, flat = shared.value
-        codes, model = v.prepared(), GatedModel(v, flat)
-        shares = np.r_[np.zeros(v.frequent), np.log10(v.group_mass)]
-        for batch, coded, rare in _blocks(batches, 1, codes):
-            symbols = [codes.symbol[c] for c in coded]
-            model_log = log_likelihoods(model, symbols) / np.log(10)
-            base = [float(codes.log10[c].sum()) for c in coded]
-            # of the model's infrequent tokens: log10(c + 0.5), as far as the table goes, less their groups' masses
-            tail = [float(codes.log10[c[s >= v.frequent]].sum() - shares[s].sum()) for c, s in zip(coded, symbols)]
-            known = [int((c < codes.size).sum()) for c in coded]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(c) for c in coded], pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base), pa.array(model_log + np.array(tail)), pa.array(rare, pa.list_(pa.string()))],
-                names=["doc_id", "n_tokens", "known", "base", "model", "rare"])
-
-    made = docs.select("doc_id", "text").mapInArrow(
-        each, f"doc_id {kind}, n_tokens long, known long, base double, model double, rare array<string>")
-    rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    uses = rows.select("row", F.explode("rare").alias("token"))
+        model = GatedModel(v, flat)
+        for batch, symbols in _blocks(batches, 5):
+            model_log = log_likelihoods(model, symbols) / np.log(10) + batch.column(6).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(model_log)], names=["row", "doc_id", "n_tokens", "known", "base", "model"])
+
+    rows = coded.select("row", "doc_id", "n_tokens", "known", "base", "symbols", "tail").mapInArrow(
+        each, f"row long, doc_id {kind}, n_tokens long, known long, base double, model double")
+    uses = coded.select("row", F.explode("rare").alias("token"))
     looked_up = uses.join(counts, "token", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("log"), F.count_if(F.col("c") > 0).alias("more"))
     log, size = F.coalesce("log", F.lit(0.0)), F.log10(F.lit(v.total + 0.5 * (v.distinct + 1)))
-    return rows.drop("rare").join(looked_up, "row", "left").select(
+    return rows.join(looked_up, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         (F.col("base") + log - F.col("n_tokens") * size).alias("base_score"), (F.col("model") + log).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    training = docs.where(~held_out())
-    counts = stored(token_counts(training), "token-counts")
+    counts = stored(token_counts(docs.where(~held_out())), "token-counts")
     v = vocabulary(counts)
-    scored = score(docs, counts, v, fit(training, v))
+    coded = stored(encode(docs, v), "lm-symbols")
+    scored = score_encoded(coded, counts, v, fit(coded.where(~held_out()), v))
     return scored.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"),
         "base_score", "score")

@@ -170,3 +170,65 @@ def test_lm_probabilities_sum_to_one_and_gradients():
         down = loss()
         model.flat[j] = before[j]
         assert abs((up - down) / 2e-2 - grad[j]) < 2e-3 + 0.06 * abs(grad[j])
+
+
+def _plain_forward(model, v, symbols):
+    """ln P of one document, symbol by symbol, in plain Python floats."""
+    p = {k: x.astype(float).tolist() for k, x in model.p.items()}
+    size, k = gated_lm.HIDDEN, v.frequent
+    sig = lambda a: 1 / (1 + math.exp(-a))
+    log_share = lambda a, at: a[at] - math.log(sum(map(math.exp, a)))
+    h, total, x = [0.0] * size, 0.0, model.start
+    for y in symbols:
+        e = p["x"][x]
+        a = [sum(h[i] * p["u"][i][j] for i in range(size)) for j in range(3 * size)]
+        z = [sig(e[j] + a[j]) for j in range(size)]
+        r = [sig(e[size + j] + a[size + j]) for j in range(size)]
+        n = [math.tanh(e[2 * size + j] + r[j] * a[2 * size + j]) for j in range(size)]
+        h = [(1 - z[j]) * h[j] + z[j] * n[j] for j in range(size)]
+        cls = y // gated_lm.PER_CLASS if y < k else gated_lm.CLASSES + y - k
+        total += log_share([sum(h[i] * p["c"][i][j] for i in range(size)) + p["cb"][j] for j in range(len(p["cb"]))], cls)
+        if y < k:
+            inner = [sum(h[i] * p["w"][cls][j][i] for i in range(size)) + p["wb"][cls][j] for j in range(gated_lm.PER_CLASS)]
+            total += log_share(inner, y % gated_lm.PER_CLASS)
+        x = y
+    return total
+
+
+def test_lm_forward_pass_in_plain_python():
+    v = gated_lm.Vocabulary([f"w{i}".encode() for i in range(40)], np.arange(90, 50, -1), np.full(gated_lm.GROUPS, 3.0), 5000, 90, 40)
+    model, rng = gated_lm.GatedModel(v), np.random.default_rng(3)
+    model.flat[:] = rng.normal(0, 0.4, len(model.flat))
+    docs = [rng.integers(0, 40 + gated_lm.GROUPS, n).astype(np.int32) for n in (1, 2, 30, 70)]
+    assert np.allclose(gated_lm.log_likelihoods(model, docs), [_plain_forward(model, v, d.tolist()) for d in docs], rtol=1e-4)
+
+
+def _scored(spark, docs):
+    counts = gated_lm.stored(gated_lm.token_counts(docs.where(~gated_lm.held_out())), "counts")
+    v = gated_lm.vocabulary(counts)
+    coded = gated_lm.stored(gated_lm.encode(docs, v), "symbols")
+    flat = gated_lm.fit(coded.where(~gated_lm.held_out()), v)
+    return by_id(gated_lm.score_encoded(coded, counts, v, flat), "n_tokens", "n_known", "base_score", "score")
+
+
+def test_lm_without_training_rows_and_empty(spark, docs_of):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:5]
+    rows = list(zip(held, ["some words", "", None, "x " * 3000, "some words"]))
+    got = _scored(spark, docs_of(rows))
+    for i, text in rows:
+        # every token is unseen: (0 + 0.5) / (0 + 0.5 * (0 + 1)) = 1
+        assert got[i][:2] == (len((text or "").split()) + 1, 0) and abs(got[i][2]) < 1e-9 and math.isfinite(got[i][3])
+    assert _scored(spark, docs_of([])) == {}
+
+
+def test_lm_long_documents_and_null_ids(spark, docs_of):
+    """A text longer than a training segment scores as its windows in a row do; a null id is not held out."""
+    base = " ".join(f"w{(7 * k) % 31}" for k in range(gated_lm.SEGMENT + 500))
+    rows = [(i, base if i % 3 else f"short text {i}") for i in range(30)] + [(None, "no id here")]
+    docs = docs_of(rows, CLASH)
+    assert docs.where(gated_lm.held_out()).where("doc_id IS NULL").count() == 0
+    got = _scored(spark, docs)
+    want, _ = _base([(i, t) for i, t in rows if i is not None])
+    long = [i for i, _ in rows if i is not None and i % 3]
+    assert all(got[i][0] == gated_lm.SEGMENT + 501 for i in long) and got[None][0] == 4
+    assert len({round(got[i][3], 3) for i in long}) == 1 and got[long[0]][3] > got[long[0]][2]
