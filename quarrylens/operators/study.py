@@ -97,6 +97,49 @@ def participant_sheets(participants: DataFrame, stimuli: DataFrame, seed: int) -
                     *[F.lit("").alias(i) for i in ESS_ITEMS], F.lit("").alias("comment"))
 
 
+def hashed_rank(rows: DataFrame, key: str, seed: int, rank: str = "rank") -> DataFrame:
+    """``rows`` (distinct ``key``) with their rank, from 0, in md5 order. Ranks
+    are taken within the 4096 md5 prefixes, whose counts give the offsets, so
+    no window holds more than one prefix."""
+    h = rows.withColumn("_h", md5_order(key, F.lit(str(seed)))).withColumn("_p", F.substring("_h", 1, 3))
+    counts = h.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_p")  # at most 4096 rows
+    offsets = counts.select("_p", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    within = Window.partitionBy("_p").orderBy("_h", key)
+    return (h.join(F.broadcast(offsets), "_p").withColumn(rank, F.col("_before") + F.row_number().over(within) - 1)
+            .drop("_h", "_p", "_before"))
+
+
+def block_steps(n_stimuli: int, size: int) -> list[int]:
+    """The rotations of an incomplete block design: steps with which ``size``
+    places around a circle of ``n_stimuli`` are all different."""
+    from math import gcd
+
+    return [s for s in range(1, n_stimuli) if n_stimuli // gcd(n_stimuli, s) >= size] or [0]
+
+
+def assigned_blocks(participants: DataFrame, stimuli: DataFrame, size: int, seed: int) -> DataFrame:
+    """H3 as an incomplete block design: each participant rates ``size``
+    stimuli, rotated over all of them. The participant of md5 rank r gets the
+    stimuli r, r + step, r + 2 step, ... around the circle, and the step
+    changes with every turn: stimuli are rated equally often (within one turn's
+    remainder), and over all steps each pair of places comes together equally
+    often. Rows: participant_id, ``slot`` (from 0) and the stimulus columns.
+
+    One row per participant and slot joins its stimulus by number, so the
+    product of participants and stimuli is never formed."""
+    numbered = stimuli.withColumn("_at", F.row_number().over(Window.orderBy("stimulus_id")) - 1)  # the study set, bounded by its design
+    n = numbered.count()
+    size = min(size, n)
+    steps = block_steps(n, size) if n else [0]
+    turns = participants.sparkSession.createDataFrame(list(enumerate(steps)), "_turn long, _step long")
+    ranked = hashed_rank(participants.select("participant_id").distinct(), "participant_id", seed, "_r")
+    ranked = ranked.withColumn("_turn", F.floor(F.col("_r") / max(n, 1)) % len(steps)).join(turns, "_turn")
+    slots = ranked.select("participant_id", "_r", "_step", F.explode(F.sequence(F.lit(0), F.lit(max(size, 1) - 1))).alias("slot"))
+    slots = slots.withColumn("_at", (F.col("_r") + F.col("slot") * F.col("_step")) % max(n, 1))
+    return slots.join(numbered, "_at").select("participant_id", "slot", *stimuli.columns)
+
+
 def question_blocks(sheets: DataFrame) -> DataFrame:
     """H7: one row per (participant, question) with its answers in label
     order and a flag for blocks that do not hold exactly three answers."""

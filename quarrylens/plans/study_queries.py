@@ -8,11 +8,14 @@ Binding (all derived from the driver tables, so the work grows with them):
   is ``CTX`` when the conversation carries a system turn, else ``OPEN``.
   Conversations without exactly three answers are the blinding error path.
 * participants - the distinct ``events.user_id``.
+* forms - every participant rates ``RATED`` stimuli, dealt out by the
+  incomplete block design, ten items each.
 * landed form submissions - each participant's ``signup`` events
   (submission id = event id, submitted at = ts). The answers of a
-  submission are the participant's other events up to it, landed as one
-  nested JSON payload per participant, half of the form in the label form and
-  half in the grid form.
+  submission are the participant's other events up to it: ``k`` is the place
+  on the participant's own form in percent, a later answer to an item replaces
+  an earlier one. They are landed as one nested JSON payload per participant,
+  half of the stimuli in the label form and half in the grid form.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from quarrylens.spec import EMPTY_ANSWER_PLACEHOLDER, ESS_ITEMS, LIKERT_SCALE, S
 
 STUDY_SEED = 42
 PER_CATEGORY = 4
-#: Stimuli of the oracle SQL below, which folds every answer onto them; the queries rate all stimuli.
-FORM_STIMULI = 3
+#: Stimuli on each participant's form.
+RATED = 2
 ROLES = ESS_ITEMS + ["comment"]
 
 
@@ -124,6 +127,17 @@ def participant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("ESS-1").alias("ess_1_blank"))
 
 
+def _assigned(spark, sf_dir, rated: int = RATED):
+    return study.assigned_blocks(_participants(spark, sf_dir), _stimuli(spark, sf_dir), rated, STUDY_SEED)
+
+
+def block_assignment(spark: SparkSession, sf_dir: str, rated: int = RATED) -> DataFrame:
+    """H3 for a study too long for one person: the stimuli on each
+    participant's form, an incomplete block design."""
+    return _assigned(spark, sf_dir, rated).select("participant_id", F.col("slot").cast("bigint").alias("slot"), "stimulus_id", "question_id",
+                                                  "system_blinded_label")
+
+
 def question_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H7: per participant and question, the A/B/C block and its first slot."""
     b = study.question_blocks(_sheets(spark, sf_dir))
@@ -161,24 +175,25 @@ def _number(stimulus_id: str):
     return F.substring(stimulus_id, 2, 18).cast("int")
 
 
-def _landed_payloads(spark, sf_dir):
+def _landed_payloads(spark, sf_dir, rated: int = RATED):
     """H9 input: per participant the payload of the latest submission. An
-    event is an answer: its ``k`` names the item (stimulus ``k`` div 10 + 1,
-    role ``k`` mod 10), its value the label or, for a comment, whether its type
-    is the text; the last answer to an item up to the submission counts."""
+    event is an answer: its ``k`` is the place on the participant's form, in
+    percent, its value the label or, for a comment, whether its type is the
+    text; the last answer to an item up to the submission counts."""
     latest = _latest_submissions(spark, sf_dir)
+    place = F.floor(F.get_json_object("props", "$.k").cast("int") * (rated * len(ROLES)) / 100).cast("int")
     ev = table(spark, sf_dir, "events").where("event_type <> 'signup'").select(
-        F.format_string("P%04d", "user_id").alias("participant_id"), "event_id", "ts", "event_type", "value",
-        F.get_json_object("props", "$.k").cast("int").alias("item"))
+        F.format_string("P%04d", "user_id").alias("participant_id"), "event_id", "ts", "event_type", "value", place.alias("item"))
     given = ev.join(latest, "participant_id").where(F.col("ts") <= F.col("lastSubmittedTime"))
     last = given.groupBy("participant_id", "item").agg(
         F.max_by(F.struct("value", "event_type"), F.struct("ts", "event_id")).alias("e"))
-    number, at = F.floor(F.col("item") / len(ROLES)) + 1, F.col("item") % len(ROLES)
-    stimulus = F.format_string("S%03d", number.cast("int"))
+    forms = _assigned(spark, sf_dir, rated).select("participant_id", "slot", F.col("stimulus_id").alias("s"))
+    slot, at = F.floor(F.col("item") / len(ROLES)), F.col("item") % len(ROLES)
+    last = last.withColumn("slot", slot.cast("int")).join(forms, ["participant_id", "slot"])
     v = F.floor("e.value").cast("int") % 11
     label = F.when(v == 0, F.lit("")).otherwise(F.get(F.array(*[F.lit(x) for x in LIKERT_SCALE]), (v - 1) % 5))
     comment = F.when(v < 6, F.col("e.event_type")).otherwise(F.lit(""))
-    x = last.select("participant_id", stimulus.alias("s"), (number % 2 == 1).alias("odd"), at.cast("int").alias("at"), v.alias("v"),
+    x = last.select("participant_id", "s", (_number("s") % 2 == 1).alias("odd"), at.cast("int").alias("at"), v.alias("v"),
                     label.alias("label"), comment.alias("comment"))
     is_comment = F.col("at") == len(ROLES) - 1
     role = F.get(F.array(*[F.lit(r) for r in ROLES]), F.col("at"))
@@ -232,6 +247,7 @@ QUERIES = {
     "study_manifest": study_manifest,
     "participant_order": participant_order,
     "question_blocks": question_blocks,
+    "block_assignment": block_assignment,
     "flatten_responses": flatten_responses,
     "rating_summary": rating_summary,
 }
@@ -308,22 +324,30 @@ subs AS (
   SELECT printf('P%04d', user_id) AS participant_id, event_id AS submission_id, ts,
          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
   FROM events WHERE event_type = 'signup'),
+size AS (SELECT count(*) AS n, least(count(*), {RATED}) AS b FROM stim),
+steps AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS turn, count(*) OVER () AS turns
+          FROM size, range(1, (SELECT n FROM size)) t(s) WHERE n // gcd(n, s) >= b),
+ranks AS (SELECT participant_id, row_number() OVER (ORDER BY {_md5('participant_id', f"'{STUDY_SEED}'")}, participant_id) - 1 AS r FROM participants),
+forms AS (SELECT r.participant_id, slot, st.stimulus_id, st.question_id, st.system_blinded_label,
+                 CAST(substr(st.stimulus_id, 2) AS INTEGER) % 2 = 1 AS odd
+          FROM ranks r, size JOIN steps ON steps.turn = (r.r // size.n) % steps.turns, range(0, {RATED}) t(slot)
+          JOIN stim st ON CAST(substr(st.stimulus_id, 2) AS INTEGER) - 1 = (r.r + slot * steps.s) % size.n),
 given AS (
   SELECT printf('P%04d', e.user_id) AS participant_id, e.value, e.event_type,
-         CAST(json_extract_string(e.props, '$.k') AS INTEGER) % {FORM_STIMULI * len(ROLES)} AS item,
-         row_number() OVER (PARTITION BY e.user_id, CAST(json_extract_string(e.props, '$.k') AS INTEGER) % {FORM_STIMULI * len(ROLES)}
+         CAST(json_extract_string(e.props, '$.k') AS INTEGER) * {RATED * len(ROLES)} // 100 AS item,
+         row_number() OVER (PARTITION BY e.user_id, CAST(json_extract_string(e.props, '$.k') AS INTEGER) * {RATED * len(ROLES)} // 100
                             ORDER BY e.ts DESC, e.event_id DESC) AS rn
   FROM events e JOIN (SELECT participant_id, max(ts) AS last_ts FROM subs GROUP BY participant_id) l
        ON l.participant_id = printf('P%04d', e.user_id)
   WHERE e.event_type <> 'signup' AND e.ts <= l.last_ts),
 valued0 AS (
-  SELECT participant_id, item, printf('S%03d', item // {len(ROLES)} + 1) AS stimulus_id, {_sql_list(ROLES)}[item % {len(ROLES)} + 1] AS role,
+  SELECT g.participant_id, f.stimulus_id, f.odd, {_sql_list(ROLES)}[item % {len(ROLES)} + 1] AS role,
          CASE WHEN item % {len(ROLES)} = {len(ROLES) - 1} THEN (CASE WHEN CAST(floor(value) AS INTEGER) % 11 < 6 THEN event_type ELSE '' END)
               WHEN CAST(floor(value) AS INTEGER) % 11 = 0 THEN ''
               ELSE {_sql_list(LIKERT_SCALE)}[(CAST(floor(value) AS INTEGER) % 11 - 1) % 5 + 1] END AS value
-  FROM given WHERE rn = 1 AND printf('S%03d', item // {len(ROLES)} + 1) IN (SELECT stimulus_id FROM stim)),
+  FROM given g JOIN forms f ON f.participant_id = g.participant_id AND f.slot = item // {len(ROLES)} WHERE rn = 1),
 valued AS (  -- a blank cell of a grid (stimuli of odd number) is no answer at all
-  SELECT * FROM valued0 WHERE NOT (value = '' AND (item // {len(ROLES)}) % 2 = 0 AND role <> 'comment')),
+  SELECT * FROM valued0 WHERE NOT (value = '' AND odd AND role <> 'comment')),
 flat AS (
   SELECT participant_id, stimulus_id,
          {", ".join(f'''max(CASE WHEN role = '{e}' THEN CAST(nullif(list_position({_sql_list(LIKERT_SCALE)}, {_STRIP.format(x="value")}), 0) AS INTEGER) END) AS "{e}"''' for e in ESS_ITEMS)},
@@ -355,6 +379,8 @@ SELECT participant_id, question_id, category, min(display_order) AS first_displa
        string_agg(stimulus_id, ',' ORDER BY system_blinded_label) AS stimulus_ids,
        count(*) = 3 AS complete
 FROM sheets GROUP BY participant_id, question_id, category, question"""
+    o["block_assignment"] = f"""WITH {_RUNS}, {_RESP}
+SELECT participant_id, CAST(slot AS BIGINT) AS slot, stimulus_id, question_id, system_blinded_label FROM forms"""
     o["flatten_responses"] = f"""WITH {_RUNS}, {_RESP}
 SELECT * FROM flat"""
     ess = [f'"{e}"' for e in ESS_ITEMS]
