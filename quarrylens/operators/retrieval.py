@@ -2,19 +2,21 @@
 
 Two exact engines and one approximate one:
 
-* ``lexical_topk`` - TF-IDF cosine over a term join. Documents are
-  tokenised by Spark (``regexp_extract_all``), term frequencies and document
-  frequencies are ordinary aggregates, and the query/document term join runs
-  only on terms that occur in some query (a semi-join first shrinks the
-  document side). Per-query top-k uses ``row_number() <= k``, which Spark
-  plans as a WindowGroupLimit that trims each partition before the shuffle.
+* ``lexical_topk`` - TF-IDF cosine over a term join, all in the JVM. Documents
+  are tokenised by Spark (``regexp_extract_all``), term frequencies and
+  document frequencies are ordinary aggregates. Postings carry their impact
+  (weight over document norm) and lie in blocks of documents; a term's greatest
+  impact per block bounds what a block can score for a query, so only blocks
+  whose bound reaches the k-th score already known are joined. The join is on
+  (block, term), which also spreads frequent terms.
 * ``vector_topk`` - exact cosine top-k over dense vectors without a cross
   join: vectors are hashed into blocks, queries are replicated once per
   block, and ``cogroup(...).applyInPandas`` scores one block against its
   queries with a NumPy matrix product, emitting only the block's top-k per
   query. A final ``row_number() <= k`` merges the per-block candidates.
 * ``vector_topk_lsh`` - MLlib random-projection LSH (approximate), reported
-  with its recall against the exact answer.
+  with its recall against the exact answer; ``operators.ann`` holds the
+  inverted file.
 """
 
 from __future__ import annotations
@@ -62,9 +64,11 @@ class LexicalIndex:
     idf: DataFrame
     doc_id: str
     norms: DataFrame | None = None
+    impacts: DataFrame | None = None
+    maxima: DataFrame | None = None
 
     def unpersist(self) -> None:
-        for df in (self.postings, self.idf, self.norms):
+        for df in (self.postings, self.idf, self.norms, self.impacts, self.maxima):
             if df is not None:
                 df.unpersist()
 
@@ -104,74 +108,59 @@ def weighted_index(dtf: DataFrame, docs: DataFrame, doc_id: str = "doc_id", pers
     return LexicalIndex(postings, idf, doc_id, norms)
 
 
-def _lexical_block_fn(k: int, q_id: str, doc_id: str, chunk: int = 256):
-    def fn(pdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [q_id, doc_id, "score"]
-        if pdf.empty or qdf.empty:
-            return pd.DataFrame({q_id: qdf[q_id].iloc[:0], doc_id: pdf[doc_id].iloc[:0],
-                                 "score": pd.Series([], dtype="float64")})[cols]
-        post = pdf[["term", doc_id, "w", "dnorm"]]
-        qids = qdf[q_id].unique()
-        out = []
-        for start in range(0, len(qids), chunk):  # bound the pairs held at once
-            part = qdf[qdf[q_id].isin(qids[start:start + chunk])]
-            m = part.merge(post, on="term")
-            if m.empty:
-                continue
-            m["dot"] = m["qw"] * m["w"]
-            g = m.groupby([q_id, doc_id], sort=False).agg(
-                dot=("dot", "sum"), qnorm=("qnorm", "first"), dnorm=("dnorm", "first")).reset_index()
-            g["score"] = g["dot"] / (g["qnorm"] * g["dnorm"])
-            g["_r"] = -np.round(g["score"].to_numpy(), 9)
-            g = g.sort_values([q_id, "_r", doc_id]).groupby(q_id, sort=False).head(k)
-            out.append(g[cols])
-        if not out:
-            return pd.DataFrame({q_id: qdf[q_id].iloc[:0], doc_id: pdf[doc_id].iloc[:0],
-                                 "score": pd.Series([], dtype="float64")})[cols]
-        return pd.concat(out, ignore_index=True)
-    return fn
+#: Documents per block of the impact postings.
+BLOCK_DOCS = 64
+
+
+def with_blocks(index: LexicalIndex, n_blocks: int | None = None, persist: bool = False) -> LexicalIndex:
+    """The index with ``impacts`` (block, term, doc_id, x = w / norm) and
+    ``maxima`` (term, block, m = the greatest x). Documents are dealt out to
+    blocks by hash, about ``BLOCK_DOCS`` each, so every block is a small sample
+    and none holds one frequent term's postings."""
+    if n_blocks is None:
+        n_blocks = max(1, -(-index.norms.count() // BLOCK_DOCS))
+    impacts = index.postings.join(index.norms, index.doc_id).select(
+        F.pmod(F.xxhash64(index.doc_id), F.lit(n_blocks)).cast("int").alias("block"), "term", index.doc_id, (F.col("w") / F.col("dnorm")).alias("x"))
+    if persist:
+        impacts = impacts.persist(StorageLevel.MEMORY_AND_DISK)
+    maxima = impacts.groupBy("term", "block").agg(F.max("x").alias("m"))
+    if persist:
+        maxima = maxima.persist(StorageLevel.MEMORY_AND_DISK)
+    return LexicalIndex(index.postings, index.idf, index.doc_id, index.norms, impacts, maxima)
 
 
 def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 5, q_id: str = "qid",
-                   q_text: str = "query", n_blocks: int | None = None, q_blocks: int | None = None,
-                   block_docs: int = 20_000, block_queries: int = 2_000) -> DataFrame:
-    """R4 (lexical): (q_id, rank, doc_id, score) by TF-IDF cosine.
-
-    Blocked like the vector search: postings (restricted to terms some
-    query uses, norms attached) are hashed into document blocks, query
-    weights into query blocks; each (doc block, query block) group sums
-    its dot products in one task and emits only its local top-k per query,
-    so the (query, doc) pairs of a frequent term are never shuffled.
-    Block counts are sized from the table counts, bounding a group at
-    ``block_docs`` documents and ``block_queries`` queries.
+                   q_text: str = "query", n_blocks: int | None = None, seed_blocks: int = 4) -> DataFrame:
+    """R4 (lexical): (q_id, rank, doc_id, score) by TF-IDF cosine, exact.
+
+    A block's bound for a query is the sum of its query weights times the
+    block's greatest impacts. The ``seed_blocks`` best-bounded blocks of each
+    query are scored first; their k-th score is a floor, and only blocks whose
+    bound reaches it are scored in the end.
     """
     doc_id = index.doc_id
+    if index.impacts is None or n_blocks is not None:
+        index = with_blocks(index, n_blocks)
     qtf = term_frequencies(queries, q_id, q_text)
     qw = (qtf.join(index.idf, "term")
           .select(q_id, "term", (F.col("tf") * F.col("idf")).alias("qw"))
           .filter(F.col("qw") > 0))
     qnorm = qw.groupBy(q_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    qw = qw.join(qnorm, q_id)
-    vocab = qw.select("term").distinct()
-    post = (index.postings.join(vocab, "term", "left_semi")
-            .join(index.norms, doc_id).select("term", doc_id, "w", "dnorm"))
-    if n_blocks is None:
-        n_blocks = max(1, -(-index.norms.count() // block_docs))
-    if q_blocks is None:
-        q_blocks = max(1, -(-queries.count() // block_queries))
+    qx = qw.join(qnorm, q_id).select(q_id, "term", (F.col("qw") / F.col("qnorm")).alias("qx"))
+    bounds = qx.join(index.maxima, "term").groupBy(q_id, "block").agg(F.sum(F.col("qx") * F.col("m")).alias("bound"))
 
-    def spread(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    def scored(blocks: DataFrame) -> DataFrame:
+        pairs = blocks.select(q_id, "block").join(qx, q_id)
+        return pairs.join(index.impacts, ["block", "term"]).groupBy(q_id, doc_id).agg(F.sum(F.col("qx") * F.col("x")).alias("score"))
 
-    pb = (post.withColumn("_blk", F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)))
-          .withColumn("_qblk", spread(q_blocks)))
-    qb = (qw.withColumn("_qblk", F.pmod(F.xxhash64(q_id), F.lit(q_blocks)))
-          .withColumn("_blk", spread(n_blocks)))
-    schema = T.StructType([queries.schema[q_id], index.postings.schema[doc_id],
-                           T.StructField("score", T.DoubleType())])
-    cand = (pb.groupBy("_blk", "_qblk").cogroup(qb.groupBy("_blk", "_qblk"))
-            .applyInPandas(_lexical_block_fn(k, q_id, doc_id), schema))
-    return top_k(cand, q_id, doc_id, k)
+    best = Window.partitionBy(q_id).orderBy(F.desc("bound"), "block")
+    seeds = bounds.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= seed_blocks)
+    ranked = Window.partitionBy(q_id).orderBy(F.desc("score"))
+    floor = (scored(seeds).withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") == k)
+             .select(q_id, F.col("score").alias("_floor")))
+    # the margin covers the rounding that ranks ties
+    left = bounds.join(floor, q_id, "left").filter(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor") - 1e-8))
+    return top_k(scored(left), q_id, doc_id, k)
 
 
 def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
@@ -185,17 +174,21 @@ def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
     return lexical_search(lexical_index(corpus, doc_id, doc_text), queries, k, q_id, q_text)
 
 
-def write_index(index: LexicalIndex, path: str, mode: str = "append") -> None:
-    """Persist the postings, norms and idf as Parquet."""
-    index.postings.write.mode(mode).parquet(f"{path}/postings")
-    index.norms.write.mode(mode).parquet(f"{path}/norms")
-    index.idf.write.mode(mode).parquet(f"{path}/idf")
+def write_index(index: LexicalIndex, path: str) -> None:
+    """Store a whole index as Parquet. Where one is stored already this
+    raises: idf, norms and blocks hold for all documents together, so a second
+    batch is no append (``streaming.index_refresh`` stores batches)."""
+    index = index if index.impacts is not None else with_blocks(index)
+    for name in ("postings", "norms", "idf", "maxima"):
+        getattr(index, name).write.mode("errorifexists").parquet(f"{path}/{name}")
+    # sorted, so that a block's postings lie together and row groups are skipped by block
+    index.impacts.repartition("block").sortWithinPartitions("block", "term").write.mode("errorifexists").parquet(f"{path}/impacts")
 
 
 def read_index(spark, path: str, doc_id: str = "doc_id") -> LexicalIndex:
     """Scan a stored index."""
-    return LexicalIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/idf"),
-                        doc_id, spark.read.parquet(f"{path}/norms"))
+    parts = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "norms", "impacts", "maxima")]
+    return LexicalIndex(parts[0], parts[1], doc_id, *parts[2:])
 
 
 def top_k(scored: DataFrame, q_id: str, item_id: str, k: int) -> DataFrame:
@@ -254,7 +247,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5,
     holds at most ``block_rows`` vectors and ``q_block_rows`` queries.
     """
     if n_blocks is None:
-        n_blocks = max(1, -(-vectors.count() // block_rows))
+        n = vectors.count()
+        slots = vectors.sparkSession.sparkContext.defaultParallelism
+        n_blocks = max(1, -(-n // block_rows), min(slots, n // 256))  # work for every slot, where there is enough
     if q_blocks is None:
         q_blocks = max(1, -(-queries.count() // q_block_rows))
 

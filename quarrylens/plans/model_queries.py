@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import retrieval, severity, split
+from quarrylens.operators import ann, retrieval, severity, split
 from quarrylens.plans.bindings import DRIVER_SPEC, incidents, table
 
 
@@ -151,6 +153,45 @@ def vector_topk_lsh(spark: SparkSession, sf_dir: str):
     return approx.join(rec, "qid", "left")
 
 
+#: Share of the cells whose codes a query reads, and of all vectors that it compares exactly.
+PROBE_SHARE, KEEP = 0.8, 0.15
+#: Queries of the recall measurement: vectors whose id this divides, against all.
+RECALL_EVERY = 50
+
+
+def embeddings_index(spark: SparkSession, sf_dir: str):
+    """R5 + S9: the inverted file of ``embeddings``, stored once per input
+    version, partitioned by cell."""
+    from quarrylens.plans.artifacts import artifact_path, committed, data_version, new_version, publish
+
+    path = artifact_path(spark, "indexes", "embeddings_cells", sf_dir=sf_dir, data=data_version(spark, sf_dir, ["embeddings"]))
+    found = committed(spark, path)
+    if found is None:
+        version = new_version(path)
+        ann.write(ann.build(table(spark, sf_dir, "embeddings")), version)
+        publish(spark, version)
+        found = committed(spark, path)
+    return ann.read(spark, found)
+
+
+def _own_queries(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % RECALL_EVERY == 0)
+    return emb.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def vector_topk_cells(spark: SparkSession, sf_dir: str):
+    """The five nearest vectors of each query, by its nearest cells' codes."""
+    index = embeddings_index(spark, sf_dir)
+    return ann.search(index, _own_queries(spark, sf_dir), 5, math.ceil(PROBE_SHARE * len(index.centres)), KEEP)
+
+
+def vector_cells_recall(spark: SparkSession, sf_dir: str):
+    """Recall of the inverted file and the share of pairs it compares."""
+    index, q = embeddings_index(spark, sf_dir), _own_queries(spark, sf_dir)
+    exact = retrieval.vector_topk(table(spark, sf_dir, "embeddings"), q, k=5)
+    return ann.search_quality(index, q, exact, 5, math.ceil(PROBE_SHARE * len(index.centres)), KEEP)
+
+
 def _lexical(spark, sf_dir, k=5):
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"),
                                                      F.col("text").alias("query"))
@@ -237,6 +278,8 @@ QUERIES = {
     "serve_rows": serve_rows,
     "vector_topk": vector_topk,
     "vector_topk_lsh": vector_topk_lsh,
+    "vector_topk_cells": vector_topk_cells,
+    "vector_cells_recall": vector_cells_recall,
     "lexical_topk": lexical_topk,
     "context_assembly": context_assembly,
     "keyword_relevance": keyword_relevance,

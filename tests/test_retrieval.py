@@ -77,12 +77,69 @@ def test_incremental_index_adds_only_new(spark):
     assert (meta["previously_indexed"], meta["newly_added"], meta["total_indexed"]) == (1, 1, 2)
 
 
-def test_blocked_lexical_search_independent_of_blocks(spark):
-    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+def _brute_lexical(docs, queries, k):
+    """TF-IDF cosine top-k in plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    tf = {i: Counter(re.findall(r"\w+", t.lower(), re.ASCII)) for i, t in docs}
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log(len(tf) / n) for t, n in df.items()}
+    weights = {i: {t: n * idf[t] for t, n in c.items()} for i, c in tf.items()}
+    norm = lambda w: math.sqrt(sum(x * x for x in w.values()))
+    out = {}
+    for q, text in queries:
+        w = {t: n * idf.get(t, 0) for t, n in Counter(re.findall(r"\w+", text.lower(), re.ASCII)).items()}
+        scores = [(sum(x * d.get(t, 0) for t, x in w.items()) / (norm(w) * norm(d)), i) for i, d in weights.items() if norm(d) and norm(w)]
+        out[q] = [i for s, i in sorted(((-round(s, 9), i) for s, i in scores if s > 0))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("n_blocks,seeds", [(1, 1), (5, 2), (200, 1)])
+def test_lexical_search_is_exact_for_any_blocks(spark, n_blocks, seeds):
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text").where("text IS NOT NULL")
     q = table(spark, SF_SMALL, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     idx = retrieval.lexical_index(docs)
-    one = retrieval.lexical_search(idx, q, k=5, n_blocks=1, q_blocks=1).collect()
-    many = retrieval.lexical_search(idx, q, k=5, n_blocks=3, q_blocks=2).collect()
-    assert sorted(tuple(r) for r in one) == sorted(tuple(r) for r in many)
-    assert len(one) == 5 * q.count()
+    hits = retrieval.lexical_search(idx, q, k=5, n_blocks=n_blocks, seed_blocks=seeds).collect()
     idx.unpersist()
+    got = {}
+    for r in sorted(hits, key=lambda r: (r["qid"], r["rank"])):
+        got.setdefault(r["qid"], []).append(r["doc_id"])
+    assert got == _brute_lexical([tuple(r) for r in docs.collect()], [tuple(r) for r in q.collect()], 5)
+
+
+def test_lexical_search_stays_in_the_jvm(spark):
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    q = docs.limit(3).select(F.col("doc_id").alias("qid"), F.col("text").alias("query"))
+    plan = retrieval.lexical_search(retrieval.lexical_index(docs, persist=False), q)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_stored_index_is_not_appended_to(spark, tmp_path):
+    docs = spark.createDataFrame(CORPUS, "doc_id string, text string")
+    idx = retrieval.lexical_index(docs, persist=False)
+    retrieval.write_index(idx, str(tmp_path / "i"))
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        retrieval.write_index(idx, str(tmp_path / "i"))
+    q = spark.createDataFrame([("q1", "falling rock")], "qid string, query string")
+    assert retrieval.lexical_search(retrieval.read_index(spark, str(tmp_path / "i")), q, 1).collect()[0]["doc_id"] == "doc1"
+
+
+def test_cells_find_nearly_all_neighbours(spark, tmp_path):
+    from quarrylens.operators import ann
+
+    vecs = table(spark, "/root/testdata/sf0.01", "embeddings")
+    q = vecs.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    ann.write(ann.build(vecs), str(tmp_path / "cells"))
+    index = ann.read(spark, str(tmp_path / "cells"))
+    assert index.vectors.count() == vecs.count() == index.vectors.select("vec_id").distinct().count()
+    pruned = index.vectors.where("cell IN (1, 2)")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in pruned and "cell#" in pruned.split("PartitionFilters: [")[1].split("]")[0]
+    exact = retrieval.vector_topk(vecs, q, k=5)
+    row = ann.search_quality(index, q, exact, 5, round(0.8 * len(index.centres)), 0.15).collect()[0]
+    assert row["n_queries"] == q.count() and row["recall"] >= 0.9 and row["candidate_share"] < 0.2
+    # all cells probed, a cell in several parts: the exact answer
+    whole = ann.search(index, q, 5, len(index.centres), 1.0, part_rows=7)
+    assert sorted(tuple(r) for r in whole.collect()) == sorted(tuple(r) for r in exact.collect())
+    assert ann.search(index, q.limit(0), 5).count() == 0

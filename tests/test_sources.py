@@ -110,7 +110,7 @@ def test_index_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "roof fall rock"), ("d2", "cable shock"), ("d3", "truck rib")],
                                  "doc_id string, text string")
     idx = retrieval.lexical_index(docs)
-    retrieval.write_index(idx, str(tmp_path / "idx"), mode="overwrite")
+    retrieval.write_index(idx, str(tmp_path / "idx"))
     back = retrieval.read_index(spark, str(tmp_path / "idx"))
     q = spark.createDataFrame([("q", "rock fall")], "qid string, query string")
     a = retrieval.lexical_search(idx, q, k=2).collect()
