@@ -84,17 +84,36 @@ def fit(train: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC, include_context: boo
         num_trees: int = 100, max_depth: int = 10, seed: int = RANDOM_SEED) -> PipelineModel:
     """M4: fit on the guarded features; codes are cast to string."""
     feats = feature_columns(train, spec, include_context)
-    prepared = train.select(*[F.col(c).cast("string").alias(c) for c in feats],
-                            canonical_code(spec.target).alias("label_code"))
-    # The forest makes one pass per tree level: keep the (narrow) training
-    # table materialised instead of re-running its lineage each pass.
-    prepared = with_weights(prepared, "label_code").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select(*[F.col(c).cast("string").alias(c) for c in feats],
+                        canonical_code(spec.target).alias("label_code"))
+    # The forest makes one pass per tree level: keep the (narrow, distinct)
+    # training rows materialised instead of re-running their lineage each pass.
+    prepared = weighted_combinations(rows, "label_code").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return build_pipeline(feats, "label_code", num_trees, max_depth, seed).fit(prepared)
     finally:
         prepared.unpersist()
 
 
+#: Rows that stand for one combination of codes, at most: the units of bagging.
+BAG_UNITS = 8
+
+
+def weighted_combinations(rows: DataFrame, label: str, units: int = BAG_UNITS) -> DataFrame:
+    """The distinct rows with a ``weight``: their number times their class
+    weight (M3). A combination seen n times becomes min(n, ``units``) rows, so
+    that bagging still draws parts of it. Trees split on sums of weights only,
+    so training reads the contingency table, whose size the codes bound, and
+    never the records."""
+    table = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = table.groupBy(label).agg(F.sum("_n").alias("_class"))  # one row per class
+    whole = Window.partitionBy(F.lit(1))
+    weights = sizes.select(label, (F.sum("_class").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("_class"))).alias("_w"))
+    parts = F.least("_n", F.lit(units))
+    return (table.join(F.broadcast(weights), label).withColumn("weight", F.col("_w") * F.col("_n") / parts)
+            .withColumn("_part", F.explode(F.sequence(F.lit(1), parts.cast("int")))).select(*rows.columns, "weight"))
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """M5: adds ``predicted_code`` (the original code string)."""
     label_model = [s for s in model.stages if s.hasParam("outputCol") and s.isDefined("outputCol")

@@ -84,6 +84,22 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+INCIDENT_TABLES = ["orders", "customer", "nation", "region"]
+
+
+def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S4: the incident table, joined once per input version and stored
+    partitioned by year, as the original kept its processed table. Year filters
+    of its readers prune partitions; none of them repeats the join."""
+    from quarrylens.plans.artifacts import artifact_path, committed, data_version, new_version
+    from quarrylens.sources.io import read_processed, write_processed
+
+    path = artifact_path(spark, "tables", "incidents", sf_dir=sf_dir, data=data_version(spark, sf_dir, INCIDENT_TABLES))
+    if committed(spark, path) is None:
+        write_processed(incidents(spark, sf_dir), new_version(path), DRIVER_SPEC.year, mode="errorifexists")
+    return read_processed(spark, committed(spark, path))
+
+
 INCIDENTS_SQL = """
 incidents AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS DOCUMENT_NO,

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.text import invalid_code
 from quarrylens.operators import cleaning, joins, profile, split
-from quarrylens.plans.bindings import (DRIVER_SPEC, INCIDENTS_SQL, RAW_INCIDENTS_SQL, RAW_SPEC,
-                                       SITES_SQL, incidents, raw_incidents, sites, table)
+from quarrylens.plans.bindings import (
+    DRIVER_SPEC, INCIDENTS_SQL, RAW_INCIDENTS_SQL, RAW_SPEC, SITES_SQL, incident_table, raw_incidents, sites, table,
+)
 from quarrylens.plans.sqlgen import canon, cleaned_cte, inv, rule_case, split_cte, tagged_cte
 
 CODE_COLUMNS = ["DOCUMENT_NO", "MINE_ID", "DEGREE_INJURY_CD", "CAL_YR", "SUBUNIT_CD",
@@ -104,13 +105,13 @@ def split_disjoint(spark: SparkSession, sf_dir: str):
 
 
 def split_out_of_time(spark: SparkSession, sf_dir: str):
-    o = split.out_of_time(incidents(spark, sf_dir), DRIVER_SPEC)
+    o = split.out_of_time(incident_table(spark, sf_dir), DRIVER_SPEC)
     return o.groupBy("split", "CAL_YR").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rare_strata_collapse(spark: SparkSession, sf_dir: str):
     spec = DRIVER_SPEC.with_(target="PRICE_FINE_CD")
-    inc = incidents(spark, sf_dir)
+    inc = incident_table(spark, sf_dir)
     counts = inc.withColumn("label", split.stratum_label(spec)).groupBy("label") \
         .agg(F.count(F.lit(1)).alias("n"))
     m = split.collapse_rare(counts)
@@ -122,12 +123,12 @@ def rare_strata_collapse(spark: SparkSession, sf_dir: str):
 
 
 def sample_seeded(spark: SparkSession, sf_dir: str):
-    return split.seeded_sample(incidents(spark, sf_dir), "DOCUMENT_NO", 20, 42) \
+    return split.seeded_sample(incident_table(spark, sf_dir), "DOCUMENT_NO", 20, 42) \
         .select("DOCUMENT_NO", "DEGREE_INJURY_CD", "CAL_YR")
 
 
 def sample_per_category(spark: SparkSession, sf_dir: str):
-    s = split.sample_per_category(incidents(spark, sf_dir), "CLASSIFICATION", "DOCUMENT_NO", 3, 7)
+    s = split.sample_per_category(incident_table(spark, sf_dir), "CLASSIFICATION", "DOCUMENT_NO", 3, 7)
     return s.select("CLASSIFICATION", "DOCUMENT_NO", F.col("_rank").alias("rank_in_category"))
 
 
@@ -137,7 +138,7 @@ def class_distribution(spark: SparkSession, sf_dir: str):
 
 
 def year_distribution(spark: SparkSession, sf_dir: str):
-    return profile.year_distribution(incidents(spark, sf_dir), DRIVER_SPEC)
+    return profile.year_distribution(incident_table(spark, sf_dir), DRIVER_SPEC)
 
 
 def ingest_summary(spark: SparkSession, sf_dir: str):

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators import ann, retrieval, severity, split
-from quarrylens.plans.bindings import DRIVER_SPEC, incidents, table
+from quarrylens.plans.bindings import DRIVER_SPEC, incident_table, table
 
 
 def _pairs(spark, sf_dir):
@@ -26,7 +26,7 @@ def class_metrics(spark: SparkSession, sf_dir: str):
 
 
 def balanced_weights(spark: SparkSession, sf_dir: str):
-    target = severity.select_target(incidents(spark, sf_dir), DRIVER_SPEC)
+    target = severity.select_target(incident_table(spark, sf_dir), DRIVER_SPEC)
     w = severity.class_weights(target, DRIVER_SPEC.target)
     return w.select(DRIVER_SPEC.target, "n_c", F.round("weight", 9).alias("weight"))
 
@@ -42,7 +42,7 @@ def holdout_split(spark, sf_dir):
     from quarrylens.plans.artifacts import data_version, table_or_build
 
     return table_or_build(spark, "holdout_split",
-                          lambda: split.stratified_split(incidents(spark, sf_dir), DRIVER_SPEC),
+                          lambda: split.stratified_split(incident_table(spark, sf_dir), DRIVER_SPEC),
                           sf_dir=sf_dir, data=data_version(spark, sf_dir, MODEL_TABLES))
 
 
@@ -82,7 +82,7 @@ def forest_report(spark: SparkSession, sf_dir: str):
     overall metrics (label ``*``: the four of M7/M8, n_train, n_test) and
     support, recall, precision and f1 per class.
     """
-    inc = incidents(spark, sf_dir)
+    inc = incident_table(spark, sf_dir)
     cols = ["DOCUMENT_NO", "DEGREE_INJURY_CD", "split", *DRIVER_SPEC.features,
             *DRIVER_SPEC.mine_context]
     s = holdout_split(spark, sf_dir).select(*cols)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from quarrylens.operators import bank, evaluation, questions, retrieval, severity, trends
 from quarrylens.plans.artifacts import table_or_build
-from quarrylens.plans.bindings import DRIVER_SPEC, incidents, table
+from quarrylens.plans.bindings import DRIVER_SPEC, incident_table, table
 from quarrylens.spec import SYSTEMS
 
 SPEC = DRIVER_SPEC
@@ -117,7 +117,7 @@ def question_bank(spark: SparkSession, sf_dir: str, index=None):
 
 
 def build_question_bank(spark: SparkSession, sf_dir: str, index=None):
-    inc = incidents(spark, sf_dir)
+    inc = incident_table(spark, sf_dir)
     cls = bank.classification_items(inc, FIELD_MAP, "DOCUMENT_NO", SPEC.target, 20, 42)
     count_specs, period_specs = _trend_spec_frames(spark)
     all_specs = count_specs.unionByName(period_specs)
@@ -169,7 +169,7 @@ def _trend_answers(spark, sf_dir, parsed):
     t = parsed.filter(F.col("route") == "trend")
     specs = t.select(F.col("question_id").alias("spec_id"),
                      *[F.col(f"f_{k}").alias(f"f_{c}") for k, c in FILTER_DIMS.items()])
-    series = trends.spec_year_series(incidents(spark, sf_dir), specs, list(FILTER_DIMS.values()),
+    series = trends.spec_year_series(incident_table(spark, sf_dir), specs, list(FILTER_DIMS.values()),
                                      SPEC, CONTAINS_DIMS)
     y = SPEC.year
     ser = series.groupBy("spec_id").agg(
@@ -244,7 +244,7 @@ def tool_request_table(spark: SparkSession, sf_dir: str):
 def tool_requests(spark: SparkSession, sf_dir: str):
     """Q13 + T5 + T6: execute the trend tool requests in bulk."""
     keys = {k: c for k, c in FILTER_DIMS.items()}
-    return trends.execute_trend_requests(incidents(spark, sf_dir), tool_request_table(spark, sf_dir),
+    return trends.execute_trend_requests(incident_table(spark, sf_dir), tool_request_table(spark, sf_dir),
                                          keys, SPEC, CONTAINS_DIMS)
 
 

@@ -31,6 +31,30 @@ def read_raw(spark: SparkSession, path, columns: list[str] | None = None) -> Dat
     return normalise_strings(reader.csv(path))
 
 
+#: Control characters that a text file in latin-1 has no use for.
+BAD_BYTES = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
+
+
+def read_raw_checked(spark: SparkSession, path, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """S1 with nothing lost unseen: (rows, rejects). A line with too few or too
+    many fields, or with bytes that are no text, is no row but a reject (file,
+    line, reason): ``short``, ``long`` or ``bad_byte``. Both come from one scan
+    definition; rejects keep their line as it stands in the file."""
+    fields = [T.StructField(c, T.StringType()) for c in columns]
+    scan = (spark.read.option("header", True).option("enforceSchema", True).option("sep", RAW_DELIMITER).option("encoding", RAW_ENCODING)
+            .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+            .schema(T.StructType([*fields, T.StructField("_line", T.StringType())])).csv(path).withColumn("_file", F.col("_metadata.file_path")))
+    bad = F.exists(F.array(*[F.col(f"`{c}`") for c in columns]), lambda v: F.coalesce(v.rlike(BAD_BYTES), F.lit(False)))
+    # a short line leaves its last field null, a long one fills it
+    reason = (F.when(F.col("_line").isNotNull() & F.col(f"`{columns[-1]}`").isNull(), F.lit("short"))
+              .when(F.col("_line").isNotNull(), F.lit("long")).when(bad, F.lit("bad_byte")))
+    marked = scan.withColumn("_reason", reason)
+    rows = marked.where(F.col("_reason").isNull()).select(*[F.col(f"`{c}`") for c in columns])
+    whole = F.coalesce("_line", F.concat_ws(RAW_DELIMITER, *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in columns]))
+    rejects = marked.where(F.col("_reason").isNotNull()).select(F.col("_file").alias("file"), whole.alias("line"), F.col("_reason").alias("reason"))
+    return normalise_strings(rows), rejects
+
+
 def write_processed(df: DataFrame, path: str, partition_by: str | None = "CAL_YR",
                     mode: str = "overwrite") -> None:
     """S3: Parquet, partitioned by year so year filters prune files."""

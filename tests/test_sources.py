@@ -127,3 +127,16 @@ def test_read_responses_union(spark, tmp_path):
     df = io.read_responses(spark, [str(tmp_path / "r0.csv"), str(tmp_path / "r1.csv")])
     got = sorted((r["participant_id"], r["source_file"].rsplit("/", 1)[-1]) for r in df.collect())
     assert got == [("P1", "r0.csv"), ("P2", "r1.csv")]
+
+
+def test_malformed_lines_are_rejects_not_nulls(spark, tmp_path):
+    from quarrylens.sources import io
+
+    lines = ["A|B|C", '1|"x|y"|ok', "2|only two", "3|too|many|fields", "4|b\x85d|byte", "5||", "6|caf\xe9|fine"]
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "one.txt").write_bytes("\n".join(lines).encode("latin-1"))
+    (tmp_path / "raw" / "two.txt").write_bytes("A|B|C\n7|b|c\n8\n".encode("latin-1"))
+    rows, rejects = io.read_raw_checked(spark, str(tmp_path / "raw"), ["A", "B", "C"])
+    assert sorted(tuple(r) for r in rows.collect()) == [("1", "x|y", "ok"), ("5", None, None), ("6", "café", "fine"), ("7", "b", "c")]
+    got = {(r["file"].rsplit("/", 1)[1], r["line"], r["reason"]) for r in rejects.collect()}
+    assert got == {("one.txt", "2|only two", "short"), ("one.txt", "3|too|many|fields", "long"), ("one.txt", "4|b\x85d|byte", "bad_byte"), ("two.txt", "8", "short")}

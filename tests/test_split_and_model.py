@@ -75,3 +75,16 @@ def test_request_completion(spark):
     out = severity.complete_requests(req, ACCIDENT_SPEC, keep=["rid"]).collect()[0].asDict()
     assert out["COAL_METAL_IND"] == "C" and out["SUBUNIT_CD"] == "" and out["MINING_EQUIP_CD"] == "UNK"
     assert list(out)[0] == "rid" and len(out) == 1 + len(ACCIDENT_SPEC.features)
+
+
+def test_weighted_combinations_stand_for_the_records(spark):
+    from pyspark.sql import functions as F
+
+    from quarrylens.operators import severity
+
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("f"), F.when(F.col("id") < 900, "01").otherwise("06").alias("y"))
+    table = severity.weighted_combinations(rows, "y", units=4)
+    assert table.count() == 6 * 4  # of 1000 records
+    old = severity.with_weights(rows, "y").groupBy("f", "y").agg(F.sum("weight").alias("w"))
+    new = table.groupBy("f", "y").agg(F.sum("weight").alias("w"))
+    assert {(r[0], r[1]): round(r[2], 9) for r in old.collect()} == {(r[0], r[1]): round(r[2], 9) for r in new.collect()}
