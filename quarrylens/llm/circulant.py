@@ -49,7 +49,7 @@ from quarrylens.llm.jaccard import common_shingles
 WORDS, PERCENT = 3, 85
 BANDS, ROWS, LEAST = 30, 5, 95
 #: Shingles per group; a set counts as WEIGHT / SETS at least.
-WEIGHT, SETS = 1 << 20, 256
+WEIGHT, SETS = 1 << 20, 1024
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
@@ -126,10 +126,12 @@ def signed_sets(docs: DataFrame) -> DataFrame:
 
 
 def shared_keys(sets: DataFrame) -> DataFrame:
-    """(band, key, rep, head) for keys of several sets; head: the least."""
+    """(rep, keys, heads) of the sets that share a band key: those keys, as
+    (band, key), and the least other sets behind them, ``BANDS`` at most."""
     rows = sets.select("rep", F.posexplode("bands").alias("band", "key"))
     heads = rows.groupBy("band", "key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(heads, ["band", "key"])
+    return rows.join(heads, ["band", "key"]).groupBy("rep").agg(
+        F.collect_list(F.struct("band", "key")).alias("keys"), F.collect_set(F.when(F.col("rep") != F.col("head"), F.col("head"))).alias("heads"))
 
 
 def _parts(weight: str) -> Column:
@@ -183,9 +185,8 @@ def _compare(percent: int):
     return compare
 
 
-def _verified(docs: DataFrame, reps: DataFrame, plan: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Links (u, v) found in the groups of ``plan`` (rep, comp, side, *key):
-    pairs of sides 1 and 2, or all pairs where the side is 0."""
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, n, shingles, signature) of the documents ``wanted`` (rep, digest)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def with_sets(batches):
@@ -200,9 +201,14 @@ def _verified(docs: DataFrame, reps: DataFrame, plan: DataFrame, key: list[str],
                      pa.array([s.tobytes() for s in made], pa.binary()), pa.array([signature(s).tobytes() for s in made], pa.binary())],
                     names=["rep", "n", "shingles", "signature"])
 
-    wanted = plan.select("rep").distinct().join(reps, "rep")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    full = texts.select("rep", "text", "digest").mapInArrow(with_sets, f"rep {kind}, n long, shingles binary, signature binary")
+    return texts.select("rep", "text", "digest").mapInArrow(with_sets, f"rep {kind}, n long, shingles binary, signature binary")
+
+
+def _verified(full: DataFrame, plan: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Links (u, v) found in the groups of ``plan`` (rep, comp, side, *key):
+    pairs of sides 1 and 2, or all pairs where the side is 0."""
+    kind = dict(full.dtypes)["rep"]
     return full.join(plan, "rep").groupBy(*key).applyInPandas(_compare(percent), f"u {kind}, v {kind}")
 
 
@@ -211,27 +217,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = stored(signed_sets(docs), "circulant-sets")
     reps = stored(every.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "circulant-copies")
     sets = every.join(reps, [every["digest"] == reps["digest"], every["doc_id"] == reps["rep"]]).select("rep", "n", "bands")
-    keys = stored(shared_keys(sets), "circulant-keys")
+    shared = stored(shared_keys(sets), "circulant-keys")
 
-    found = stored(components(keys.where("rep <> head").select(F.col("rep").alias("u"), F.col("head").alias("v"))), "circulant-clusters")
+    found = stored(components(shared.select(F.col("rep").alias("u"), F.explode("heads").alias("v"))), "circulant-clusters")
     heads = found.select(F.col("least").alias("rep")).distinct()
     clusters = found.select(F.col("node").alias("rep"), F.col("least").alias("cluster")).union(heads.select("rep", F.col("rep").alias("cluster")))
     weight = F.greatest(F.col("n"), F.lit(WEIGHT // SETS)).alias("weight")
-    members = stored(clusters.join(every.select(F.col("doc_id").alias("rep"), weight), "rep"), "circulant-members")
+    members = clusters.join(every.select(F.col("doc_id").alias("rep"), weight), "rep").join(shared, "rep")
+    members = stored(members.select("rep", "cluster", "weight", "keys", F.array_min("heads").alias("head")), "circulant-members")
     sized = stored(members.groupBy("cluster").agg(_parts("weight").alias("parts")), "circulant-sizes")
     members = members.join(sized, "cluster")
 
     # small clusters whole; in large ones each set with the least one it shares a key with
     small = members.where("parts = 1").select("rep", F.col("rep").alias("comp"), F.lit(0).alias("side"), F.col("cluster").alias("group"), F.lit(0).alias("part"))
-    large = members.where("parts > 1").select("rep", "cluster", "weight")
-    star = keys.where("rep <> head").groupBy("rep").agg(F.min("head").alias("head")).join(large, "rep")
+    large = members.where("parts > 1").drop("parts")
+    star = large.where("head IS NOT NULL")
     star_parts = star.groupBy("head").agg(_parts("weight").alias("parts"))
     spokes = star.join(star_parts, "head").select("rep", F.col("rep").alias("comp"), F.lit(2).alias("side"), F.col("head").alias("group"), _dealt("parts").alias("part"))
     hubs = star_parts.select(F.col("head").alias("rep"), F.col("head").alias("comp"), F.lit(1).alias("side"), F.col("head").alias("group"),
                              F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    links = stored(_verified(docs, reps, small.union(spokes).union(hubs), ["group", "part"], percent), "circulant-links")
+    # the texts are read once; the sets of the candidates are kept, some are needed again
+    full = stored(_full_sets(docs, members.select("rep").join(reps, "rep")), "circulant-candidates")
+    links = stored(_verified(full, small.union(spokes).union(hubs), ["group", "part"], percent), "circulant-links")
     if sized.where("parts > 1").limit(1).count():
-        links = links.union(_residual_links(docs, reps, keys, large, links, percent))
+        links = links.union(_residual_links(full, large, links, percent))
 
     least = components(links).select(F.col("node").alias("rep"), "least")
     named = reps.join(least, "rep", "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
@@ -242,25 +251,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                       (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _residual_links(docs: DataFrame, reps: DataFrame, keys: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _residual_links(full: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between the components that ``links`` leaves of large clusters:
     pairs of blocks that share a key with several components in it."""
     known = components(links.join(large.select(F.col("rep").alias("u")), "u", "left_semi")).select(F.col("node").alias("rep"), "least")
     comps = stored(large.join(known, "rep", "left").withColumn("comp", F.coalesce("least", "rep")).drop("least"), "circulant-comps")
-    rows = keys.select("band", "key", "rep").join(comps.select("rep", "comp"), "rep")
-    mixed = rows.groupBy("band", "key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("band", "key")
-    rows = stored(rows.join(mixed, ["band", "key"]), "circulant-mixed")
+    rows = comps.select("comp", F.explode("keys").alias("k"))
+    mixed = stored(rows.groupBy("k").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a <> _b").select("k"), "circulant-mixed")
 
     # blocks: a large component in parts of its own, the others of a cluster dealt out by component
-    left = comps.join(rows.select("rep").distinct(), "rep", "left_semi")
-    own = left.groupBy("comp").agg(_parts("weight").alias("own"))
-    rest = left.groupBy("cluster").agg(_parts("weight").alias("all"))
-    placed = left.join(own, "comp").join(rest, "cluster").select(
-        "rep", "comp", F.when(F.col("own") > 1, F.col("comp")).alias("pure"),
+    own = comps.groupBy("comp").agg(_parts("weight").alias("own"))
+    rest = comps.groupBy("cluster").agg(_parts("weight").alias("all"))
+    placed = comps.join(own, "comp").join(rest, "cluster").select(
+        "rep", "comp", "keys", F.when(F.col("own") > 1, F.col("comp")).alias("pure"),
         F.when(F.col("own") > 1, F.xxhash64(F.lit(1), "comp", _dealt("own"))).otherwise(
             F.xxhash64(F.lit(2), "cluster", F.pmod(F.xxhash64("comp"), F.col("all")))).alias("block"))
     placed = stored(placed, "circulant-blocks")
-    held = rows.select("band", "key", "rep").join(placed, "rep").select("band", "key", "block", "pure").distinct()
+    held = placed.select(F.explode("keys").alias("k"), "block", "pure").distinct().join(mixed, "k").select("k.band", "k.key", "block", "pure")
     other = held.select("band", "key", F.col("block").alias("high"), F.col("pure").alias("_pure"))
     pairs = held.withColumnRenamed("block", "low").join(other, ["band", "key"]).where(
         "low <= high AND NOT coalesce(pure = _pure, false)").select("low", "high").distinct()
@@ -268,7 +275,7 @@ def _residual_links(docs: DataFrame, reps: DataFrame, keys: DataFrame, large: Da
         F.struct(F.col("low").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(
             F.struct(F.col("low").alias("block"), F.lit(1).alias("side")), F.struct(F.col("high").alias("block"), F.lit(2).alias("side"))))).alias("s"))
     plan = sides.select("low", "high", "s.block", "s.side").join(placed, "block").select("rep", "comp", "side", "low", "high")
-    return stored(_verified(docs, reps, plan, ["low", "high"], percent), "circulant-more-links")
+    return stored(_verified(full, plan, ["low", "high"], percent), "circulant-more-links")
 
 
 ORACLE = """
