@@ -150,12 +150,12 @@ pe AS (SELECT '1995-1997' AS period, count(*) FILTER (WHERE CAL_YR BETWEEN 1995
 note1 AS (SELECT count(*) AS n FROM incidents WHERE lower(COAL_METAL_IND) = 'f' AND CAL_YR = 2001),
 note2 AS (SELECT count(*) AS n FROM incidents WHERE lpad(DEGREE_INJURY_CD, 2, '0') = '01' AND CAL_YR = 2001),
 r AS (
-  SELECT 1 AS q, row_number() OVER (ORDER BY CAL_YR) AS at, '{"CAL_YR":' || CAL_YR || ',"injury_count":' || injury_count || '}' AS j FROM y1
-  UNION ALL SELECT 2, row_number() OVER (ORDER BY CAL_YR), '{"CAL_YR":' || CAL_YR || ',"injury_count":' || injury_count || ',"prev_count":' || prev_count ||
+  SELECT 1 AS q, row_number() OVER (ORDER BY CAL_YR) AS k, '{"CAL_YR":' || CAL_YR || ',"injury_count":' || injury_count || '}' AS j FROM y1
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY CAL_YR) AS k, '{"CAL_YR":' || CAL_YR || ',"injury_count":' || injury_count || ',"prev_count":' || prev_count ||
     ',"absolute_change":' || (injury_count - prev_count) || ',"percent_change":' || round((injury_count - prev_count) / prev_count * 100, 2) || '}' FROM yy WHERE prev_count IS NOT NULL
   UNION ALL SELECT 3, row_number() OVER (ORDER BY injury_count DESC, STATE), '{"STATE":"' || STATE || '","injury_count":' || injury_count || '}' FROM st
   UNION ALL SELECT 4, row_number() OVER (ORDER BY period), '{"period":"' || period || '","injury_count":' || injury_count || '}' FROM pe),
-c AS (SELECT q, ((at - 1) // 2 + 1)::INTEGER AS chunk, '[' || string_agg(j, ',' ORDER BY at) || ']' AS rows FROM r GROUP BY q, (at - 1) // 2 + 1),
+c AS (SELECT q, ((k - 1) // 2 + 1)::INTEGER AS chunk, '[' || string_agg(j, ',' ORDER BY k) || ']' AS rows FROM r GROUP BY q, (k - 1) // 2 + 1),
 h(q, query_type, filters, notes) AS (
   SELECT 1, 'count_by_year', '{"coal_metal": "f"}', (SELECT CASE WHEN n > 0 THEN 'Excluded ' || n || ' records from CAL_YR=2001 (partial year in current extract).' ELSE '' END FROM note1)
   UNION ALL SELECT 2, 'year_over_year_change', '{"degree_code": "1"}',
