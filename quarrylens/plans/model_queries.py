@@ -7,7 +7,7 @@ import math
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarrylens.operators import ann, retrieval, severity, split
+from quarrylens.operators import ann, retrieval, severity, split, tools
 from quarrylens.plans.bindings import DRIVER_SPEC, incident_table, table
 
 
@@ -262,6 +262,38 @@ def keyword_relevance(spark: SparkSession, sf_dir: str):
     return out.join(F.broadcast(share), how="inner", on=F.lit(True))
 
 
+def search_request_table(spark: SparkSession, sf_dir: str):
+    """Q13 input: one search request per benchmark passage, with and without a
+    depth; of every ten one is cut JSON, one lacks its query, one asks for no
+    count and one names no tool there is."""
+    b = table(spark, sf_dir, "benchmark")
+    kind = F.col("item_id") % 10
+    good = F.to_json(F.struct(F.col("text").alias("query"), F.when(kind % 2 == 0, (kind + 1).cast("int")).alias("top_k")))
+    args = (F.when(kind == 6, F.left(good, F.length(good) - 1)).when(kind == 7, F.lit('{"top_k": 2}'))
+            .when(kind == 8, F.to_json(F.struct(F.col("text").alias("query"), F.lit("many").alias("top_k")))).otherwise(good))
+    return b.select(F.col("item_id").alias("request_id"), F.when(kind == 9, F.lit("search_web")).otherwise(F.lit(tools.SEARCH)).alias("tool"),
+                    args.alias("args"))
+
+
+def tool_search_requests(spark: SparkSession, sf_dir: str):
+    """Q13: search requests answered in bulk, with their error rows."""
+    asked = tools.dispatch(search_request_table(spark, sf_dir))
+    hits = tools.search_requests(asked["search"], documents_index(spark, sf_dir)).withColumn("error", F.lit(None).cast("string"))
+    return hits.unionByName(asked["errors"].drop("tool"), allowMissingColumns=True)
+
+
+def tool_classify_requests(spark: SparkSession, sf_dir: str):
+    """Q13 + M11: classifier requests of the test records, named in lower case;
+    of every seven one lacks its first code, one its last two."""
+    model, test = _fit_holdout(spark, sf_dir)
+    n = F.col("DOCUMENT_NO").cast("long") % 7
+    features = list(DRIVER_SPEC.features)
+    codes = F.struct(*[F.when(~((n == 0) & F.lit(i == 0)) & ~((n == 1) & F.lit(i >= len(features) - 2)), F.lower(F.col(c))).alias(c.lower())
+                       for i, c in enumerate(features)])
+    requests = test.select(F.col("DOCUMENT_NO").alias("request_id"), F.lit(tools.CLASSIFY).alias("tool"), F.to_json(codes).alias("args"))
+    return tools.classify_requests(tools.dispatch(requests)["classify"], model, DRIVER_SPEC)
+
+
 def anti_join_new(spark: SparkSession, sf_dir: str):
     docs = table(spark, sf_dir, "documents")
     indexed = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
@@ -285,6 +317,8 @@ QUERIES = {
     "keyword_relevance": keyword_relevance,
     "hits_metadata": hits_metadata,
     "anti_join_new": anti_join_new,
+    "tool_search_requests": tool_search_requests,
+    "tool_classify_requests": tool_classify_requests,
 }
 
 _PAIRS = """WITH pairs AS (SELECT CAST(quality AS VARCHAR) AS truth, CAST(toxic AS VARCHAR) AS pred
@@ -358,6 +392,11 @@ SELECT qid, length(context) AS context_len, md5(context) AS context_md5 FROM ctx
     "hits_metadata": _LEX + """
 SELECT r.qid, r.rank, CAST(r.doc_id AS VARCHAR) AS document_no, coalesce(d.lang, '') AS lang, coalesce(d.source, '') AS source,
        coalesce(CAST(d.n_chars AS VARCHAR), '') AS n_chars FROM r JOIN documents d USING (doc_id) WHERE r.rank <= 5""",
+    "tool_search_requests": _LEX + """
+SELECT qid AS request_id, rank, CAST(doc_id AS VARCHAR) AS document_no, round(score, 6) AS score, NULL::VARCHAR AS error FROM r
+WHERE qid % 10 NOT IN (6, 7, 8, 9) AND rank <= CASE WHEN qid % 2 = 0 THEN qid % 10 + 1 ELSE 5 END
+UNION ALL SELECT item_id, NULL, NULL, NULL, CASE item_id % 10 WHEN 6 THEN 'Arguments are not a JSON object' WHEN 7 THEN 'Missing argument: query'
+  WHEN 8 THEN 'Not a count: top_k=many' ELSE 'Unknown tool: search_web' END FROM benchmark WHERE item_id % 10 IN (6, 7, 8, 9)""",
     "keyword_relevance": _LEX + r""",
 kw AS (SELECT item_id AS qid, list_distinct(list_filter(regexp_extract_all(lower(text), '\w+'),
          lambda t: length(t) >= 7)) AS keywords FROM benchmark),
