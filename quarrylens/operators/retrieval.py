@@ -85,13 +85,16 @@ def lexical_index(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "te
     return weighted_index(term_frequencies(corpus, doc_id, doc_text), corpus.select(doc_id), doc_id, persist)
 
 
-def weighted_index(dtf: DataFrame, docs: DataFrame, doc_id: str = "doc_id", persist: bool = True) -> LexicalIndex:
-    """The index of term frequencies (doc_id, term, tf) over ``docs``: only tf
-    is ever stored per batch, idf and norms follow from all of it."""
+def weighted_index(dtf: DataFrame, docs: DataFrame, doc_id: str = "doc_id", persist: bool = True,
+                   dfreq: DataFrame | None = None) -> LexicalIndex:
+    """The index of term frequencies (doc_id, term, tf) over ``docs``; idf and
+    norms follow from all of it. ``dfreq`` (term, df) spares the count of the
+    postings where document frequencies are already known."""
     if persist:
         dtf = dtf.persist(StorageLevel.MEMORY_AND_DISK)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    dfreq = dtf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if dfreq is None:
+        dfreq = dtf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # n_docs is a single aggregated row: broadcasting it is bounded.
     idf = (dfreq.join(F.broadcast(n_docs), how="inner", on=F.lit(True))
            .select("term", F.log(F.col("n_docs") / F.col("df")).alias("idf")))

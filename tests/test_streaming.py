@@ -46,3 +46,37 @@ def test_two_refreshes_search_like_one_full_build(spark, tmp_path):
     hits = [sorted(map(tuple, retrieval.lexical_search(i, asked, k=5).collect()))
             for i in (ir.refreshed_index(spark, index), retrieval.lexical_index(docs))]
     assert hits[0] == hits[1] and hits[0]
+
+
+def test_compaction_and_deltas_equal_one_full_build(spark, tmp_path):
+    from quarrylens.operators import retrieval
+
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text", "lang", "source")
+    landing, index, ckpt = str(tmp_path / "landing"), str(tmp_path / "index"), str(tmp_path / "ckpt")
+    asked = table(spark, SF_SMALL, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+    def land(name, rows, checkpoint=ckpt):
+        rows.coalesce(1).write.parquet(f"{landing}/{name}")
+        ir.start_refresh(spark, f"{landing}/*", index, checkpoint=checkpoint).awaitTermination(300)
+
+    def answers(built):
+        return sorted(map(tuple, retrieval.lexical_search(built, asked, k=5).collect()))
+
+    land("b1", docs.where("doc_id < 60"))
+    land("b2", docs.where("doc_id >= 50 AND doc_id < 120"))
+    # a batch that wrote its postings and was never committed counts nowhere
+    spark.createDataFrame([(1, "orphan", 3, 77)], "doc_id long, term string, tf long, indexed_batch int").write.mode("append") \
+        .partitionBy("indexed_batch").parquet(f"{index}/terms")
+    spark.createDataFrame([("orphan", 1)], "term string, df long").write.parquet(f"{index}/dfs/indexed_batch=77")
+    before = answers(ir.refreshed_index(spark, index))
+    folder = ir.compact(spark, index)
+    assert answers(ir.refreshed_index(spark, index)) == before == answers(retrieval.lexical_index(docs.where("doc_id < 120"), persist=False))
+    (tmp_path / "index" / "compacted" / "upto=99-halfway").mkdir()  # an attempt that was lost
+    # later batches are numbered beyond the compaction, also under a new checkpoint, whose ids start again at 0
+    land("b3", docs.where("doc_id >= 110"), str(tmp_path / "ckpt2"))
+    built = ir.refreshed_index(spark, index)
+    assert answers(built) == answers(retrieval.lexical_index(docs, persist=False))
+    assert built.idf.where("term = 'orphan'").count() == 0
+    read = built.idf.inputFiles()
+    assert read and not any("/terms/" in f for f in read)  # idf reads no postings
+    assert folder.startswith(index) and spark.read.parquet(f"{folder}/dfs").count() > 0
