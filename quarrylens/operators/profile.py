@@ -78,3 +78,21 @@ def ingestion_summary(raw: DataFrame, cleaned: DataFrame, split_df: DataFrame,
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def ingestion_report(summary: DataFrame, log: DataFrame, cleaned: DataFrame, split_df: DataFrame,
+                     spec: SchemaSpec = ACCIDENT_SPEC) -> DataFrame:
+    """A5 whole: the ``ingestion_summary`` with the cleaning log (rows removed
+    and codes imputed per step), the strata of the split, and the overall class
+    and year distributions, which one pass over the cleaned rows gives."""
+    row = lambda section, name, value: F.struct(
+        F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("bigint").alias("value"))
+    steps = log.select(F.explode(F.array(row("removed", F.col("step"), F.col("rows_removed")), row("imputed", F.col("step"), F.col("rows_imputed")))).alias("r"))
+    of = cleaned.select(F.explode(F.array(
+        F.struct(F.lit("class").alias("section"), canonical_code(spec.target).alias("name")),
+        F.struct(F.lit("year").alias("section"), F.col(spec.year).cast("string").alias("name")))).alias("k"))
+    counts = of.where("k.name IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    strata = split_df.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("least"))
+    strata = strata.select(F.explode(F.array(row("strata", F.lit("number"), F.col("n")), row("strata", F.lit("fewest_rows"), F.col("least")))).alias("r"))
+    return (summary.unionByName(steps.select("r.*")).unionByName(strata.select("r.*"))
+            .unionByName(counts.select("k.section", "k.name", F.col("n").cast("bigint").alias("value"))))

@@ -36,18 +36,18 @@ def clean_rows(spark: SparkSession, sf_dir: str):
 
 
 def dedup_drop_all(spark: SparkSession, sf_dir: str):
-    return cleaning.drop_duplicates_all(raw_incidents(spark, sf_dir), "DOCUMENT_NO") \
+    return cleaning.drop_duplicates_all(raw_incidents(spark, sf_dir, narrative=False), "DOCUMENT_NO") \
         .select("DOCUMENT_NO", "PART_NO", "MINE_ID")
 
 
 def dedup_keep_first(spark: SparkSession, sf_dir: str):
-    return cleaning.keep_first(raw_incidents(spark, sf_dir), "DOCUMENT_NO",
+    return cleaning.keep_first(raw_incidents(spark, sf_dir, narrative=False), "DOCUMENT_NO",
                                ["PART_NO", "MINE_ID", "DAYS_LOST"],
                                keep_cols=["DOCUMENT_NO", "PART_NO", "MINE_ID", "DAYS_LOST"])
 
 
 def impute_sentinel(spark: SparkSession, sf_dir: str):
-    imp = cleaning.impute_sentinel(raw_incidents(spark, sf_dir), "MINING_EQUIP_CD")
+    imp = cleaning.impute_sentinel(raw_incidents(spark, sf_dir, narrative=False), "MINING_EQUIP_CD")
     return (imp.groupBy("MINING_EQUIP_CD", "MINING_EQUIP_CD_imputed")
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -148,6 +148,13 @@ def ingest_summary(spark: SparkSession, sf_dir: str):
     return profile.ingestion_summary(raw, joined, s, joined, RAW_SPEC)
 
 
+def ingest_report(spark: SparkSession, sf_dir: str):
+    """A5: the whole ingestion report of one run, as one long table."""
+    joined = _joined(spark, sf_dir)
+    s = split.stratified_split(joined, RAW_SPEC)
+    return profile.ingestion_report(ingest_summary(spark, sf_dir), clean_waterfall(spark, sf_dir), joined, s, RAW_SPEC)
+
+
 QUERIES = {
     "string_normalise": string_normalise,
     "clean_waterfall": clean_waterfall,
@@ -167,6 +174,7 @@ QUERIES = {
     "class_distribution": class_distribution,
     "year_distribution": year_distribution,
     "ingest_summary": ingest_summary,
+    "ingest_report": ingest_report,
 }
 
 
@@ -287,3 +295,12 @@ UNION ALL SELECT 'distribution_' || split, {canon('DEGREE_INJURY_CD')}, count(*)
 UNION ALL SELECT 'join', 'matched', count(*) FILTER (WHERE MINE_MATCH) FROM joined
 UNION ALL SELECT 'join', 'unmatched', count(*) FILTER (WHERE NOT MINE_MATCH) FROM joined""",
 }
+ORACLE["ingest_report"] = f"""
+SELECT * FROM ({ORACLE["ingest_summary"]})
+UNION ALL SELECT 'removed', step, rows_removed FROM ({_WATERFALL})
+UNION ALL SELECT 'imputed', step, rows_imputed FROM ({_WATERFALL})
+UNION ALL SELECT * FROM ({_JOINED + "," + split_cte("joined", RAW_SPEC)}
+  SELECT 'strata', 'number', count(DISTINCT stratum) FROM split
+  UNION ALL SELECT 'strata', 'fewest_rows', min(n) FROM (SELECT count(*) AS n FROM split GROUP BY stratum)
+  UNION ALL SELECT 'class', {canon('DEGREE_INJURY_CD')}, count(*) FROM joined GROUP BY ALL
+  UNION ALL SELECT 'year', CAST(CAL_YR AS VARCHAR), count(*) FROM joined GROUP BY ALL)"""

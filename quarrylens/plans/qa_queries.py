@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quarrylens.operators import bank, evaluation, questions, retrieval, severity, trends
 from quarrylens.plans.artifacts import table_or_build
 from quarrylens.plans.bindings import DRIVER_SPEC, incident_table, table
-from quarrylens.spec import SYSTEMS
+from quarrylens.spec import NO_COUNT_ANSWER, SYSTEMS
 
 SPEC = DRIVER_SPEC
 
@@ -188,9 +188,9 @@ def _trend_answers(spark, sf_dir, parsed):
         F.format_string("%d-%d", "period_b0", "period_b1"), in_b))
         .when(F.size(hit) > 0, questions.format_count_answer(hit[0]["injury_count"],
                                                              F.col("target_year")))
-        .otherwise(F.concat(F.lit("No count found for year "),
+        .otherwise(F.concat(F.lit(NO_COUNT_ANSWER[0]),
                             F.coalesce(F.col("target_year").cast("string"), F.lit("None")),
-                            F.lit(". Tool rows: "), F.to_json(last5))))
+                            F.lit(NO_COUNT_ANSWER[1]), F.to_json(last5))))
     return j.select("question_id", answer.alias("answer"))
 
 

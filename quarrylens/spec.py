@@ -155,3 +155,22 @@ class SchemaSpec:
 
 
 ACCIDENT_SPEC = SchemaSpec()
+
+# Fixed texts of answers, notes and reasons, as stored results hold them.
+PARTIAL_YEAR_NOTE = "Excluded %d records from %s=%d (partial year in current extract)."
+PARTIAL_RANGE_NOTE = "Ranges including {year} may reflect partial-year reporting."
+NO_COUNT_ANSWER = ("No count found for year ", ". Tool rows: ")
+AGENT_CASE_HEADER = "Retrieved similar incidents:\n"
+AGENT_CASE_LINE = "Document %s (score=%s): %s"
+RETRIEVAL_LINE = "Based on retrieved incidents, document %s (score=%s): %s"
+REASONS = {
+    "degree_right": "degree code matched",
+    "degree_wrong": "missing expected degree code",
+    "count": "expected %s, got %s",
+    "period_right": "period totals matched",
+    "period_wrong": "period totals not found within tolerance",
+    "document_named": "must include document ",
+    "document_right": "document cited",
+    "document_wrong": "top retrieved document not cited",
+    "unknown": "unknown reference type",
+}
