@@ -205,17 +205,43 @@ def model_path(spark, name: str, **params) -> str:
     return artifact_path(spark, "models", name, **params)
 
 
-def fit_or_load(spark, name: str, train_fn, **params) -> PipelineModel:
+def model_info(model: PipelineModel) -> dict:
+    """What a fitted pipeline was trained to do: its features and labels, in
+    order, and the forest's size."""
+    index = next(st for st in model.stages if st.hasParam("outputCols") and st.isDefined("outputCols") and st.getOutputCols()[0].endswith("__idx"))
+    label = next(st for st in model.stages if st.hasParam("outputCol") and st.isDefined("outputCol") and st.getOutputCol() == "label")
+    forest = model.stages[-1]
+    return {"features": list(index.getInputCols()), "labels": list(label.labels), "n_trees": forest.getNumTrees,
+            "max_depth": forest.getMaxDepth(), "n_nodes": forest.totalNumNodes}
+
+
+INFO_SCHEMA = ("features array<string>, labels array<string>, n_trees int, max_depth int, n_nodes long, include_context boolean, target string")
+
+
+def fit_or_load(spark, name: str, train_fn, include_context: bool = False, spec: SchemaSpec = ACCIDENT_SPEC, **params) -> PipelineModel:
     """Load the committed pipeline if there is one, else fit, save and
-    publish it (the original trained once and loaded the artifact for
-    serving). A storage error rises; it never retrains."""
+    publish it with a row of metadata (the original trained once and loaded the
+    artifact for serving). A storage error rises; it never retrains."""
     from quarrylens.plans.artifacts import committed, new_version, publish
 
-    path = model_path(spark, name, **params)
+    path = model_path(spark, name, context=include_context, **params)
     found = committed(spark, path)
     if found is None:
         version = new_version(path)
-        train_fn().write().save(version)
+        model = train_fn()
+        model.write().save(f"{version}/model")
+        row = {**model_info(model), "include_context": include_context, "target": spec.target}
+        spark.createDataFrame([row], INFO_SCHEMA).coalesce(1).write.parquet(f"{version}/info")
         publish(spark, version)
         found = committed(spark, path)
-    return PipelineModel.load(found)
+    return PipelineModel.load(f"{found}/model")
+
+
+def stored_info(spark, name: str, include_context: bool = False, **params) -> DataFrame:
+    """The metadata row of a stored model."""
+    from quarrylens.plans.artifacts import committed
+
+    found = committed(spark, model_path(spark, name, context=include_context, **params))
+    if found is None:
+        raise ValueError(f"no stored model {name}")
+    return spark.read.schema(INFO_SCHEMA).parquet(f"{found}/info")

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quarrylens.operators import ann, retrieval, severity, split, tools
-from quarrylens.plans.bindings import DRIVER_SPEC, incident_table, table
+from quarrylens.plans.bindings import DRIVER_SPEC, INCIDENTS_SQL, incident_table, table
 
 
 def _pairs(spark, sf_dir):
@@ -46,19 +46,29 @@ def holdout_split(spark, sf_dir):
                           sf_dir=sf_dir, data=data_version(spark, sf_dir, MODEL_TABLES))
 
 
+def _model_key(spark, sf_dir, num_trees):
+    from quarrylens.plans.artifacts import data_version
+
+    return {"sf_dir": sf_dir, "trees": num_trees, "features": DRIVER_SPEC.features, "data": data_version(spark, sf_dir, MODEL_TABLES)}
+
+
 def holdout_model(spark, sf_dir, num_trees: int = HOLDOUT_TREES):
     """The one holdout model (100 trees, as in the original), trained on
     the stratified train split once and loaded by every query that serves
     it (predictions, request scoring, the classifier system of the runs)."""
-    from quarrylens.plans.artifacts import data_version
-
     def train():
         s = holdout_split(spark, sf_dir)
         return severity.fit(s.filter(F.col("split") == "train"), DRIVER_SPEC, num_trees=num_trees)
 
-    return severity.fit_or_load(spark, "severity_holdout", train, sf_dir=sf_dir, trees=num_trees,
-                                features=DRIVER_SPEC.features,
-                                data=data_version(spark, sf_dir, MODEL_TABLES))
+    return severity.fit_or_load(spark, "severity_holdout", train, spec=DRIVER_SPEC, **_model_key(spark, sf_dir, num_trees))
+
+
+def model_info(spark: SparkSession, sf_dir: str):
+    """What the stored model was trained to do, without loading it."""
+    holdout_model(spark, sf_dir)
+    info = severity.stored_info(spark, "severity_holdout", **_model_key(spark, sf_dir, HOLDOUT_TREES))
+    return info.select(F.concat_ws(",", "features").alias("features"), F.concat_ws(",", "labels").alias("labels"), "n_trees", "max_depth",
+                       "include_context", "target")
 
 
 def _fit_holdout(spark, sf_dir, num_trees=HOLDOUT_TREES):
@@ -305,6 +315,7 @@ QUERIES = {
     "confusion_matrix": confusion_matrix,
     "class_metrics": class_metrics,
     "balanced_weights": balanced_weights,
+    "model_info": model_info,
     "forest_predict": forest_predict,
     "forest_report": forest_report,
     "serve_rows": serve_rows,
@@ -376,6 +387,10 @@ UNION ALL SELECT 'accuracy', '*', round(sum(tp) / sum(support), 6) FROM f
 UNION ALL SELECT 'macro_f1', '*', round(avg(f1), 6) FROM f
 UNION ALL SELECT 'weighted_f1', '*', round(sum(f1 * support) / sum(support), 6) FROM f
 UNION ALL SELECT 'majority_accuracy', '*', round(max(support) / sum(support), 6) FROM f""",
+    "model_info": "WITH " + INCIDENTS_SQL + f"""
+SELECT '{",".join(DRIVER_SPEC.features)}' AS features,
+       (SELECT string_agg(code, ',' ORDER BY code) FROM (SELECT DISTINCT lpad(DEGREE_INJURY_CD, 2, '0') AS code FROM incidents)) AS labels,
+       {HOLDOUT_TREES} AS n_trees, 10 AS max_depth, false AS include_context, '{DRIVER_SPEC.target}' AS target""",
     "balanced_weights": """WITH c AS (SELECT CASE WHEN length(substring(o_orderpriority, 1, 1)) < 2
   THEN lpad(substring(o_orderpriority, 1, 1), 2, '0') ELSE substring(o_orderpriority, 1, 1) END AS code
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey

@@ -88,3 +88,27 @@ def test_weighted_combinations_stand_for_the_records(spark):
     old = severity.with_weights(rows, "y").groupBy("f", "y").agg(F.sum("weight").alias("w"))
     new = table.groupBy("f", "y").agg(F.sum("weight").alias("w"))
     assert {(r[0], r[1]): round(r[2], 9) for r in old.collect()} == {(r[0], r[1]): round(r[2], 9) for r in new.collect()}
+
+
+def test_stored_model_keeps_its_metadata(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarrylens.operators import severity
+    from quarrylens.spec import ACCIDENT_SPEC
+
+    spec = ACCIDENT_SPEC.with_(features=("A", "B"), mine_context=("C",))
+    rows = spark.range(60).select((F.col("id") % 3).cast("string").alias("A"), (F.col("id") % 2).cast("string").alias("B"),
+                                  (F.col("id") % 5).cast("string").alias("C"), F.concat(F.lit("0"), F.col("id") % 3 + 1).alias(spec.target))
+    key = {"unique": str(tmp_path)}
+    for context in (False, True):
+        fit = lambda: severity.fit(rows, spec, include_context=context, num_trees=3, max_depth=4)  # noqa: E731,B023
+        severity.fit_or_load(spark, "tiny", fit, include_context=context, spec=spec, **key)
+        again = severity.fit_or_load(spark, "tiny", lambda: 1 / 0, include_context=context, spec=spec, **key)  # loaded, not fitted
+        info = severity.stored_info(spark, "tiny", include_context=context, **key).collect()[0]
+        assert info["features"] == (["A", "B", "C"] if context else ["A", "B"]) and info["labels"] == ["01", "02", "03"]
+        assert (info["n_trees"], info["max_depth"], info["include_context"], info["target"]) == (3, 4, context, spec.target)
+        assert info["n_nodes"] == severity.model_info(again)["n_nodes"] > 3
+        pred = severity.predict(again, rows, keep=[spec.target])
+        assert pred.where(F.col("predicted_code") == F.col(spec.target)).count() == 60
+    with pytest.raises(ValueError, match="no stored model"):
+        severity.stored_info(spark, "never", **key)
