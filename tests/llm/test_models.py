@@ -85,8 +85,11 @@ def test_toxicity_edges(spark, docs_of):
     texts = [(i, "a calm text" if n % 2 else "such an idiot here") for n, i in enumerate(train)]
     labels = spark.createDataFrame([(i, 1 - n % 2) for n, i in enumerate(train)] + [(train[0], 1), (train[1], None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs_of(texts), labels)
-    got = [(r["doc_id"], r["predicted"]) for r in toxicity.score(docs, model).collect()]
-    assert sorted(got, key=repr) == [(1, 0), (2, 0), (3, 1), (3, 1), (None, 1)] or dict(got)[3] == 1 and dict(got)[None] == 1
+    got = [(r["doc_id"], r["predicted"], r["score"]) for r in toxicity.score(docs, model).collect()]
+    assert sorted(i for i, _, _ in got if i is not None) == [1, 2, 3, 3] and len(got) == 5
+    scores = {i: s for i, _, s in got}
+    assert scores[1] == scores[2] < scores[3]  # empty texts have the prior's score
+    assert all(p == (s >= 0.3) for _, p, s in got) and all(p == 1 for i, p, _ in got if i in (3, None))
     assert toxicity.score(docs_of([]), model).count() == 0
     assert {r["doc_id"]: r["restored"] for r in toxicity.restore(docs_of([(1, "1d10t"), (2, None)]), model).collect()}[2] == ""
 
