@@ -11,10 +11,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrylens.operators import bank, evaluation, questions, retrieval, severity, trends
-from quarrylens.plans.artifacts import table_or_build
+from quarrylens.operators import bank, evaluation, questions, retrieval, runs, severity, trends
+from quarrylens.plans.artifacts import artifact_path, new_version, table_or_build
 from quarrylens.plans.bindings import DRIVER_SPEC, incident_table, table
-from quarrylens.spec import NO_COUNT_ANSWER, SYSTEMS
+from quarrylens.spec import NO_COUNT_ANSWER, SYSTEMS, TOOL_CLASSIFY, TOOL_SEARCH
 
 SPEC = DRIVER_SPEC
 
@@ -268,38 +268,38 @@ def _classifier_answers(spark, sf_dir, bank_df):
 
 
 def build_run_table(spark: SparkSession, sf_dir: str):
-    """Q10 + Q11: three offline systems x every question, one union."""
-    from quarrylens.plans.model_queries import documents_index
+    """Q10 + Q11: three offline systems x every question, one union. Each
+    part (classifier, search, trends) answers in one stored, timed job."""
+    from quarrylens.plans.model_queries import documents_index, holdout_model
 
     index = documents_index(spark, sf_dir)
-    b = question_bank(spark, sf_dir, index).persist()
-    parsed = questions.parse_questions(b.select("question_id", "question", "category"),
-                                       trend_rules=DRIVER_TREND_RULES)
-    cls = _classifier_answers(spark, sf_dir, b)
-    hits = _hits(spark, sf_dir, parsed, index)
-    trend = _trend_answers(spark, sf_dir, parsed)
-    base = parsed.select("question_id", "category", "question", "route")
-    hitmap = base.join(hits, base.question_id == hits.qid, "left").drop("qid")
-    agent = (hitmap.join(cls.withColumnRenamed("answer", "cls_answer"), "question_id", "left")
-             .join(trend.withColumnRenamed("answer", "trend_answer"), "question_id", "left"))
-    agent_answer = (F.when(F.col("route") == "classification", F.col("cls_answer"))
-                    .when(F.col("route") == "case", questions.format_agent_case_answer(
-                        F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType))))
-                    .when(F.col("route") == "trend", F.col("trend_answer"))
-                    .otherwise(F.lit(questions.UNROUTABLE_ANSWER)))
-
-    def rows(df, system, answer, tools):
-        return df.select("question_id", "category", "question", F.lit(system).alias("system"),
-                         answer.alias("answer"), tools.alias("tools_used"),
-                         bank.no_usage().alias("usage"),
-                         F.lit(None).cast("double").alias("latency_s"),
-                         F.lit(None).cast("string").alias("error"))
-
-    a = rows(agent, SYSTEMS[0], agent_answer, questions.tools_for(F.col("route")))
-    c = rows(base.join(cls, "question_id", "left"), SYSTEMS[1], F.col("answer"),
-             F.array(F.lit("classify_injury_risk")))
-    r = rows(hitmap, SYSTEMS[2], questions.format_retrieval_answer(F.col("hits")),
-             F.array(F.lit("search_narratives")))
+    holdout_model(spark, sf_dir)  # stored before the clock runs, as is the index
+    b = question_bank(spark, sf_dir, index).select("question_id", "question", "category")
+    parsed = questions.parse_questions(b, trend_rules=DRIVER_TREND_RULES)
+
+    def searched():
+        hits = _hits(spark, sf_dir, parsed, index)
+        all_ = parsed.select("question_id").join(hits, F.col("question_id") == F.col("qid"), "left")
+        none = F.array().cast(hits.schema["hits"].dataType)
+        return all_.select("question_id", questions.format_agent_case_answer(F.coalesce("hits", none)).alias("case_answer"),
+                           questions.format_retrieval_answer(F.col("hits")).alias("search_answer"))
+
+    made = new_version(artifact_path(spark, "runs", "parts", sf_dir=sf_dir))
+    parts = {
+        "classification": runs.run_part(b, lambda: _classifier_answers(spark, sf_dir, b).withColumnRenamed(
+            "answer", "class_answer"), ("class_answer",), f"{made}/classification"),
+        "search": runs.run_part(b, searched, ("case_answer", "search_answer"), f"{made}/search"),
+        "trend": runs.run_part(parsed.where("route = 'trend'"), lambda: _trend_answers(spark, sf_dir, parsed).withColumnRenamed(
+            "answer", "trend_answer"), ("trend_answer",), f"{made}/trend"),
+    }
+    answered = runs.with_parts(parsed.select("question_id", "category", "question", "route"), parts)
+    route = F.col("route")
+    agent = (F.when(route == "classification", F.col("class_answer")).when(route == "case", F.col("case_answer"))
+             .when(route == "trend", F.col("trend_answer")).otherwise(F.lit(questions.UNROUTABLE_ANSWER)))
+    part = F.when(route == "case", F.lit("search")).when(route.isin("classification", "trend"), route)
+    a = runs.run_rows(answered, SYSTEMS[0], agent, questions.tools_for(route), part, parts)
+    c = runs.run_rows(answered, SYSTEMS[1], F.col("class_answer"), F.array(F.lit(TOOL_CLASSIFY)), "classification", parts)
+    r = runs.run_rows(answered, SYSTEMS[2], F.col("search_answer"), F.array(F.lit(TOOL_SEARCH)), "search", parts)
     return a.unionByName(c).unionByName(r)
 
 
@@ -318,9 +318,9 @@ def run_table(spark: SparkSession, sf_dir: str):
 def _scored(spark, sf_dir):
     """Stored runs joined to their references (J6) and scored; a run whose
     question has no reference is kept and scored false."""
-    runs = run_table(spark, sf_dir)
+    made = run_table(spark, sf_dir)
     b = question_bank(spark, sf_dir).drop("category", "question")
-    scored = evaluation.score_rows(runs.join(b, "question_id", "left"))
+    scored = evaluation.score_rows(made.join(b, "question_id", "left"))
     return scored
 
 
