@@ -55,12 +55,14 @@ def cell_marks(vectors: DataFrame) -> DataFrame:
 
 
 def approximate(vectors: DataFrame, marks: DataFrame) -> DataFrame:
-    """The approximation file: (vec_id, dim, code), a cell number per dimension."""
+    """The approximation file: (vec_id, dim, code), one byte per dimension that
+    numbers its cell."""
     rows = vectors.withColumn("dim", F.size("v")).join(F.broadcast(marks), "dim")  # one row per vector length
     cell = F.transform("v", lambda x, i: F.floor(
         (x - F.get("lows", i)).cast("double") * CELLS / (F.get("highs", i) - F.get("lows", i) + 1).cast("double")
     ))
-    return rows.select("vec_id", "dim", F.transform(cell, lambda c: F.least(c, F.lit(CELLS - 1)).cast("int")).alias("code"))
+    byte = F.transform(cell, lambda c: F.lpad(F.hex(F.least(c, F.lit(CELLS - 1)).cast("int")), 2, "0"))
+    return rows.select("vec_id", "dim", F.unhex(F.array_join(byte, "")).alias("code"))
 
 
 def _bounds(lows: np.ndarray, highs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def _scan(k: int):
             return empty
         lows, highs = (np.array(queries[c].iloc[0], dtype=np.int64) for c in ("lows", "highs"))
         least, most = _bounds(lows, highs)
-        codes = np.stack(rows["code"].to_numpy()).astype(np.int64)
+        codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
         dims = np.arange(codes.shape[1])
         lo, hi = least[dims, codes].T, most[dims, codes].T
         q = np.stack(queries["v"].to_numpy()).astype(np.float64)
@@ -131,26 +133,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     found = queries.groupBy(*key).cogroup(codes.groupBy(*key)).applyInPandas(
         _scan(k), "query_id long, vec_id long, lower double, upper double")
 
-    query = Window.partitionBy("query_id")
-    by_lower = query.orderBy(F.desc("lower"), "vec_id")
-    left = (
-        found.withColumn("_l", F.row_number().over(by_lower))
-        .withColumn("_kth", F.max(F.when(F.col("_l") == k, F.col("lower"))).over(query))
-        .where(F.col("_kth").isNull() | (F.col("upper") >= F.col("_kth")))
-        .withColumn("read", F.row_number().over(query.orderBy(F.desc("upper"), "vec_id")))
-        .select("query_id", "vec_id", "upper", "read")
-    )
-    left = stored(left, "va-candidates")
+    # the k best lower bounds of each task meet before a query's do
+    found = stored(found, "va-bounds")
+    by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"), "vec_id")
+    floor = found.withColumn("_l", F.row_number().over(by_lower)).where(F.col("_l") <= k).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("lower")).alias("_floor"))
+    left = stored(found.join(floor, "query_id").where(F.col("_floor").isNull() | (F.col("upper") >= F.col("_floor"))).select(
+        "query_id", "vec_id", "upper"), "va-candidates")
 
     def exact(candidates: DataFrame) -> DataFrame:
         a = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("_q"))
         return candidates.join(vectors, "vec_id").join(a, "query_id").select(
             "query_id", "vec_id", _score(F.col("_q"), F.col("v")).alias("score"))
 
-    first = stored(exact(left.where(F.col("read") <= FIRST_READ * k)), "va-first-read")
+    by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    nearest = left.withColumn("_u", F.row_number().over(by_upper)).where(F.col("_u") <= FIRST_READ * k)
+    first = stored(exact(nearest), "va-first-read")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
-    more = left.where(F.col("read") > FIRST_READ * k).join(kth, "query_id").where(F.col("upper") >= F.col("_kth")).drop("_kth")
+    more = left.join(kth, "query_id").where(F.col("upper") >= F.col("_kth")).join(first, ["query_id", "vec_id"], "left_anti")
     scored = first.unionByName(exact(more))
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
