@@ -6,8 +6,9 @@ near duplicates one document stays; what is left is cut into pieces and packed
 into sequences. All but the last return the columns of ``documents``.
 
 Defined cases: null texts are empty texts, which no stage rejects; rows that
-repeat a doc_id are one document for the near-duplicate stage, of which one
-row stays, and rows without doc_id pass it; an empty table gives no rows.
+repeat a doc_id and its text are one document for the near-duplicate stage, of
+which one row stays; rows that repeat a doc_id with another text are documents
+of their own there; rows without doc_id pass it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated three-line windows go; documents left without any text by
-    that go with them, those that came empty stay. ``n_chars`` follows."""
-    out = line_dedup.dedup_lines(_packed(docs)).where("n_removed = 0 OR trim(text) <> ''")
+    """Repeated three-line windows go; documents left with nothing but white
+    space by that go with them, those that came so stay. ``n_chars`` follows."""
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    out = line_dedup.dedup_lines(_packed(docs)).where((F.col("n_removed") == 0) | worded)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         own = F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("_rest.n_chars"))
@@ -46,14 +48,31 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpacked(out, docs.columns)
 
 
+def _document_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_key``: a number for each (doc_id, text), in order of
+    doc_id; the doc_id itself where none has several texts. Ids too great to be
+    multiplied by the most texts of one id raise."""
+    marked = rows.withColumn("_mark", F.md5(F.coalesce("text", F.lit(""))))
+    each = marked.select("doc_id", "_mark").distinct()
+    several = stored(each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "pipeline-ids")
+    most = several.agg(F.max("n")).first()[0]
+    if most is None:
+        return rows.withColumn("_key", F.col("doc_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("_mark")) - 1
+    placed = each.join(several.select("doc_id"), "doc_id", "left_semi").withColumn("_place", place)
+    key = F.col("doc_id").cast("long") * F.lit(most) + F.coalesce("_place", F.lit(0))
+    return marked.join(placed, ["doc_id", "_mark"], "left").withColumn("_key", key).drop("_mark", "_place")
+
+
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every class of near duplicates the least doc_id stays."""
-    classes = jaccard.similarity_classes(docs)
-    heads = classes.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = _packed(docs)
-    kept = rows.join(heads, "doc_id", "left_semi").withColumn("_row", first).where("_row = 1").drop("_row")
-    return _unpacked(kept.unionByName(rows.where("doc_id IS NULL")), docs.columns)
+    packed = _packed(docs)
+    rows = _document_keys(packed.where("doc_id IS NOT NULL"))
+    classes = jaccard.similarity_classes(rows.select(F.col("_key").alias("doc_id"), "text"))
+    heads = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_key"))
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
+    kept = rows.join(heads, "_key", "left_semi").withColumn("_row", first).where("_row = 1").drop("_row", "_key")
+    return _unpacked(kept.unionByName(packed.where("doc_id IS NULL")), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
