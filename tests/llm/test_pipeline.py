@@ -46,3 +46,31 @@ def test_stages_on_edges(spark, docs_of, tmp_path):
         spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         got = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()}
         assert got == ({1, 2, 3, None} if given else set())
+
+
+def test_one_id_with_several_texts(spark, docs_of):
+    prose = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"term{i}" for i in range(40))
+    rows = [(7, prose), (7, prose), (7, other), (7, None), (7, ""), (-2, other + " and a tail"), (9, prose + " end"), (11, "unlike all"), (None, prose)]
+    docs = docs_of(rows, ["_key", "_mark", "_place", "n"])
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near(spark, docs, "").where("doc_id IS NOT NULL").fillna("").collect())
+    # the other text of 7 is near that of -2; its first one is the least of its own class, empty texts are one document
+    assert got == [(-2, other + " and a tail"), (7, ""), (7, prose), (11, "unlike all")]
+    out = corpus_pipeline.keep_one_of_near(spark, docs, "")
+    assert out.columns == docs.columns and out.where("doc_id IS NULL").count() == 1
+
+
+def test_left_over_white_space_goes(spark, docs_of):
+    shared = "a first line\na second line\na third line"
+    docs = docs_of([(1, shared), (2, shared), (3, shared + "\n\t"), (4, shared + "\n\x0b \nmore"), (5, " \t"), (6, None)])
+    got = {r["doc_id"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert got == {1, 4, 5, 6}
+
+
+def test_stages_on_a_very_long_text(spark, docs_of, tmp_path):
+    long = "\n".join(" ".join(f"w{i * 7 + j}" for j in range(10)) for i in range(20_000))
+    docs_of([(1, long), (2, long + "\nits last line"), (3, "short and different")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {1, 2, 3}  # of 2 only the line of its own is left
+    assert sum(r["length"] for r in out if r["doc_id"] == 1) > 200_000
