@@ -1,6 +1,7 @@
 """Fingerprints, license scan and line dedup: fixtures, edges and brute force."""
 
 import hashlib
+import random
 
 
 from tests_llm_helpers import CLASH, SF_SMALL, by_id, duck
@@ -117,3 +118,36 @@ def test_licenses_long_templates_and_edges(docs_of):
     assert got[1, "MIT-permission"] == 1.0 and 0.8 <= got[2, "MIT-permission"] < 1
     assert set(got) == {(1, "MIT-permission"), (2, "MIT-permission"), (6, "MIT")}
     assert licenses.scan(docs_of([])).count() == 0
+
+
+def test_licenses_whole_notices_and_bands(docs_of):
+    filler = "some words of prose that are no license at all and go on "
+    whole = {k: v for k, v in licenses.TEMPLATES.items() if k.endswith(("-text", "-notice"))}
+    assert len(whole) >= 6 and all(len(v.split()) > 90 for v in whole.values())
+    spoilt = {}
+    for k, v in whole.items():  # every thirtieth word is another one: a sixth of the shingles go
+        spoilt[k] = " ".join("otherwise" if i % 30 == 29 else w for i, w in enumerate(v.split()))
+    texts = [*whole.values(), *spoilt.values()]
+    docs = docs_of([(i, filler * (i % 7) + t + " " + filler * 3) for i, t in enumerate(texts)] + [(99, filler * 50)])
+    got = {(r["doc_id"], r["license_id"]): r["containment"] for r in licenses.scan(docs).collect()}
+    for i, k in enumerate(whole):
+        assert got[i, k] == 1.0 and 0.8 <= got[i + len(whole), k] < 0.95
+    assert 99 not in {d for d, _ in got}
+    # the bands alone find them, wherever they begin in a window
+    of = licenses.template_shingles(docs.sparkSession, {"Zlib-text": whole["Zlib-text"]})
+    at = [(i, "word " * i + " ".join(whole["Zlib-text"].split()[20:34])) for i in range(12)] + [(50, filler * 9), (51, ""), (52, None)]
+    assert {r["doc_id"] for r in licenses.retrieve(docs_of(at), of).collect()} == set(range(12))
+
+
+def test_band_keys_collide_as_often_as_stated(spark):
+    # a window of 12 and a run of 9 of its shingles, then with one and with two of them missing
+    draw = random.Random(7)
+    hashes = lambda n: [draw.getrandbits(64) - (1 << 63) for _ in range(n)]
+    rows = [(n, k, hashes(9)) for n in range(400) for k in (0, 1, 2)]
+    runs = licenses.band_keys(spark.createDataFrame(rows, "n int, k int, window array<bigint>"))
+    wide = [(n, k, r[: 9 - k] + hashes(3 + k)) for n, k, r in rows]
+    windows = licenses.band_keys(spark.createDataFrame(wide, "n int, k int, window array<bigint>"))
+    shared = {r["k"]: r["share"] for r in runs.join(windows, ["n", "k", "key"]).groupBy("k").agg(
+        (F.count("key") / (400 * licenses.BANDS)).alias("share")).collect()}
+    for k, similarity in ((0, 9 / 12), (1, 8 / 13), (2, 7 / 14)):
+        assert abs(shared[k] - similarity**licenses.ROWS) < 0.05
