@@ -3,12 +3,10 @@
 Two exact engines and one approximate one:
 
 * ``lexical_topk`` - TF-IDF cosine over a term join, all in the JVM. Documents
-  are tokenised by Spark (``regexp_extract_all``), term frequencies and
-  document frequencies are ordinary aggregates. Postings carry their impact
-  (weight over document norm) and lie in blocks of documents; a term's greatest
-  impact per block bounds what a block can score for a query, so only blocks
-  whose bound reaches the k-th score already known are joined. The join is on
-  (block, term), which also spreads frequent terms.
+  are tokenised by Spark (``regexp_extract_all``) where their text was dealt to
+  by id, so that term frequencies need no shuffle of postings. A search keeps
+  the postings of its queries' terms, deals them out by document and scores
+  them there: no (query, document) pair is shuffled but each task's best k.
 * ``vector_topk`` - exact cosine top-k over dense vectors without a cross
   join: vectors are hashed into blocks, queries are replicated once per
   block, and ``cogroup(...).applyInPandas`` scores one block against its
@@ -56,33 +54,39 @@ class LexicalIndex:
     All three are persisted (or written with ``write_index``) so every
     search reads the tokenised corpus once instead of re-tokenising it per
     branch of the plan. Norms are kept apart from the postings: a search
-    joins them to its (query, doc) candidates after the dot products are
-    summed, not to every posting.
+    joins them to the postings of its terms only.
     """
 
     postings: DataFrame
     idf: DataFrame
     doc_id: str
     norms: DataFrame | None = None
-    impacts: DataFrame | None = None
-    maxima: DataFrame | None = None
 
     def unpersist(self) -> None:
-        for df in (self.postings, self.idf, self.norms, self.impacts, self.maxima):
+        for df in (self.postings, self.idf, self.norms):
             if df is not None:
                 df.unpersist()
 
 
+#: Documents that one task tokenises or scores, about.
+TASK_DOCS = 2048
+#: Terms of all queries together, counted per query, up to which they are broadcast.
+BROADCAST_TERMS = 500_000
+
+
 def lexical_index(corpus: DataFrame, doc_id: str = "doc_id", doc_text: str = "text",
                   persist: bool = True) -> LexicalIndex:
     """Tokenise once: tf per (doc, term), idf = ln(N / df), doc norms.
 
     A term found in every document has idf 0 and adds nothing to any dot
     product or norm, so its postings are dropped (exact); these are also the
-    hottest join keys.
+    hottest join keys. Texts are dealt out by id first: they are shorter than
+    their postings, which then stay where they are counted.
     """
+    parts = max(1, -(-corpus.count() // TASK_DOCS))
     corpus = corpus.filter(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull())
-    return weighted_index(term_frequencies(corpus, doc_id, doc_text), corpus.select(doc_id), doc_id, persist)
+    dealt = corpus.select(doc_id, doc_text).repartition(parts, doc_id)
+    return weighted_index(term_frequencies(dealt, doc_id, doc_text), corpus.select(doc_id), doc_id, persist)
 
 
 def weighted_index(dtf: DataFrame, docs: DataFrame, doc_id: str = "doc_id", persist: bool = True,
@@ -111,59 +115,30 @@ def weighted_index(dtf: DataFrame, docs: DataFrame, doc_id: str = "doc_id", pers
     return LexicalIndex(postings, idf, doc_id, norms)
 
 
-#: Documents per block of the impact postings.
-BLOCK_DOCS = 64
-
-
-def with_blocks(index: LexicalIndex, n_blocks: int | None = None, persist: bool = False) -> LexicalIndex:
-    """The index with ``impacts`` (block, term, doc_id, x = w / norm) and
-    ``maxima`` (term, block, m = the greatest x). Documents are dealt out to
-    blocks by hash, about ``BLOCK_DOCS`` each, so every block is a small sample
-    and none holds one frequent term's postings."""
-    if n_blocks is None:
-        n_blocks = max(1, -(-index.norms.count() // BLOCK_DOCS))
-    impacts = index.postings.join(index.norms, index.doc_id).select(
-        F.pmod(F.xxhash64(index.doc_id), F.lit(n_blocks)).cast("int").alias("block"), "term", index.doc_id, (F.col("w") / F.col("dnorm")).alias("x"))
-    if persist:
-        impacts = impacts.persist(StorageLevel.MEMORY_AND_DISK)
-    maxima = impacts.groupBy("term", "block").agg(F.max("x").alias("m"))
-    if persist:
-        maxima = maxima.persist(StorageLevel.MEMORY_AND_DISK)
-    return LexicalIndex(index.postings, index.idf, index.doc_id, index.norms, impacts, maxima)
-
-
 def lexical_search(index: LexicalIndex, queries: DataFrame, k: int = 5, q_id: str = "qid",
                    q_text: str = "query", n_blocks: int | None = None, seed_blocks: int = 4) -> DataFrame:
     """R4 (lexical): (q_id, rank, doc_id, score) by TF-IDF cosine, exact.
 
-    A block's bound for a query is the sum of its query weights times the
-    block's greatest impacts. The ``seed_blocks`` best-bounded blocks of each
-    query are scored first; their k-th score is a floor, and only blocks whose
-    bound reaches it are scored in the end.
+    Postings of the queries' terms are dealt out by document to ``n_blocks``
+    tasks (about ``TASK_DOCS`` documents each) and meet the queries there.
+    Every document is scored in full, so nothing is seeded: ``seed_blocks``
+    is accepted for the callers of the bounded search and changes nothing.
     """
     doc_id = index.doc_id
-    if index.impacts is None or n_blocks is not None:
-        index = with_blocks(index, n_blocks)
+    if n_blocks is None:
+        n_blocks = max(1, -(-index.norms.count() // TASK_DOCS))
     qtf = term_frequencies(queries, q_id, q_text)
-    qw = (qtf.join(index.idf, "term")
+    # measured, as the planner's guess of a joined table is far too large
+    held = F.broadcast if qtf.count() <= BROADCAST_TERMS else (lambda df: df)
+    qw = (held(qtf).join(index.idf, "term")
           .select(q_id, "term", (F.col("tf") * F.col("idf")).alias("qw"))
           .filter(F.col("qw") > 0))
     qnorm = qw.groupBy(q_id).agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
     qx = qw.join(qnorm, q_id).select(q_id, "term", (F.col("qw") / F.col("qnorm")).alias("qx"))
-    bounds = qx.join(index.maxima, "term").groupBy(q_id, "block").agg(F.sum(F.col("qx") * F.col("m")).alias("bound"))
-
-    def scored(blocks: DataFrame) -> DataFrame:
-        pairs = blocks.select(q_id, "block").join(qx, q_id)
-        return pairs.join(index.impacts, ["block", "term"]).groupBy(q_id, doc_id).agg(F.sum(F.col("qx") * F.col("x")).alias("score"))
-
-    best = Window.partitionBy(q_id).orderBy(F.desc("bound"), "block")
-    seeds = bounds.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= seed_blocks)
-    ranked = Window.partitionBy(q_id).orderBy(F.desc("score"))
-    floor = (scored(seeds).withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") == k)
-             .select(q_id, F.col("score").alias("_floor")))
-    # the margin covers the rounding that ranks ties
-    left = bounds.join(floor, q_id, "left").filter(F.col("_floor").isNull() | (F.col("bound") >= F.col("_floor") - 1e-8))
-    return top_k(scored(left), q_id, doc_id, k)
+    asked = index.postings.join(held(qtf.select("term").distinct()), "term", "left_semi").repartition(n_blocks, doc_id)
+    impacts = asked.join(index.norms, doc_id).select(doc_id, "term", (F.col("w") / F.col("dnorm")).alias("x"))
+    scored = impacts.join(held(qx), "term").groupBy(q_id, doc_id).agg(F.sum(F.col("qx") * F.col("x")).alias("score"))
+    return top_k(scored, q_id, doc_id, k)
 
 
 def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
@@ -179,19 +154,16 @@ def lexical_topk(corpus: DataFrame, queries: DataFrame, k: int = 5,
 
 def write_index(index: LexicalIndex, path: str) -> None:
     """Store a whole index as Parquet. Where one is stored already this
-    raises: idf, norms and blocks hold for all documents together, so a second
+    raises: idf and norms hold for all documents together, so a second
     batch is no append (``streaming.index_refresh`` stores batches)."""
-    index = index if index.impacts is not None else with_blocks(index)
-    for name in ("postings", "norms", "idf", "maxima"):
+    for name in ("postings", "norms", "idf"):
         getattr(index, name).write.mode("errorifexists").parquet(f"{path}/{name}")
-    # sorted, so that a block's postings lie together and row groups are skipped by block
-    index.impacts.repartition("block").sortWithinPartitions("block", "term").write.mode("errorifexists").parquet(f"{path}/impacts")
 
 
 def read_index(spark, path: str, doc_id: str = "doc_id") -> LexicalIndex:
     """Scan a stored index."""
-    parts = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "norms", "impacts", "maxima")]
-    return LexicalIndex(parts[0], parts[1], doc_id, *parts[2:])
+    parts = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "norms")]
+    return LexicalIndex(parts[0], parts[1], doc_id, parts[2])
 
 
 def top_k(scored: DataFrame, q_id: str, item_id: str, k: int) -> DataFrame:

@@ -143,3 +143,18 @@ def test_cells_find_nearly_all_neighbours(spark, tmp_path):
     whole = ann.search(index, q, 5, len(index.centres), 1.0, part_rows=7)
     assert sorted(tuple(r) for r in whole.collect()) == sorted(tuple(r) for r in exact.collect())
     assert ann.search(index, q.limit(0), 5).count() == 0
+
+
+def test_search_shuffles_no_pairs_of_query_and_document(spark, tmp_path):
+    import os
+    import re
+
+    docs = spark.createDataFrame([(i, f"rock w{i % 7} w{i % 11} w{i}") for i in range(300)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"w{i} w{i % 11}") for i in range(20)], "qid long, query string")
+    retrieval.write_index(retrieval.lexical_index(docs, persist=False), str(tmp_path / "i"))
+    # no table of a term's maxima per block, none of a second copy of the postings
+    assert sorted(os.listdir(tmp_path / "i")) == ["idf", "norms", "postings"]
+    hits = retrieval.lexical_search(retrieval.read_index(spark, str(tmp_path / "i")), q, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(qid#\d+L?, doc_id#", plan) and not re.search(r"hashpartitioning\(doc_id#\d+L?, term#", plan)
+    assert hits.where("rank = 1 AND qid = doc_id").count() == 20
