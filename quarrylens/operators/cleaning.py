@@ -144,12 +144,19 @@ def finalise(df: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC) -> DataFrame:
 
 
 def clean(df: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC) -> DataFrame:
-    """Rows that pass every rule, equipment imputed, types final."""
-    tagged = tag_rules(df, spec)
-    kept = tagged.filter(F.col("_rule").isNull())
-    kept = kept.withColumn(spec.equipment, F.when(F.col("_equip_invalid"), F.lit("UNK"))
+    """Rows that pass every rule, equipment imputed, types final.
+
+    Each rule is a filter of its own, so that those on the columns of one input
+    are applied before that input is joined or shuffled; a narrative travels
+    only with rows that pass the others. Copies are counted over all rows."""
+    kept = df
+    for _, pred in rule_list(spec):
+        if pred is not None:
+            kept = kept.filter(~pred)
+    kept = drop_keys(kept, duplicate_keys(df, spec.key), spec.key)
+    kept = kept.withColumn(spec.equipment, F.when(invalid_code(spec.equipment), F.lit("UNK"))
                            .otherwise(F.col(spec.equipment)))
-    return finalise(kept.drop("_rule", "_copies", "_equip_invalid"), spec)
+    return finalise(kept, spec)
 
 
 def impute_sentinel(df: DataFrame, column: str, sentinel: str = "UNK") -> DataFrame:
@@ -165,7 +172,12 @@ def drop_duplicates_all(df: DataFrame, key: str) -> DataFrame:
     ``left_anti`` against the duplicated-key table: both sides are keyed by
     ``key``; AQE splits a skewed left partition.
     """
-    return df.join(duplicate_keys(df, key).select(key), key, "left_anti")
+    return drop_keys(df, duplicate_keys(df, key), key)
+
+
+def drop_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys``; columns keep their order."""
+    return df.join(keys.select(key), key, "left_anti").select(*df.columns)
 
 
 def keep_first(df: DataFrame, key: str, order_cols: list[str],

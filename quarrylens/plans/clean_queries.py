@@ -56,12 +56,17 @@ def invalid_profile(spark: SparkSession, sf_dir: str):
     return cleaning.invalid_profile(raw_incidents(spark, sf_dir), CODE_COLUMNS)
 
 
+#: Suppliers up to which the site dimension is broadcast.
+BROADCAST_SITES = 500_000
 MERGED_TABLES = ["lineitem", "documents", "supplier", "nation"]
 
 
 def build_merged(spark, sf_dir):
     cleaned = cleaning.clean(raw_incidents(spark, sf_dir), RAW_SPEC)
     site = cleaning.keep_first(sites(spark, sf_dir), "MINE_ID", ["CURRENT_MINE_TYPE"])
+    # measured: a dimension of so few short rows is broadcast, and narratives stay where they are
+    if table(spark, sf_dir, "supplier").count() <= BROADCAST_SITES:
+        site = F.broadcast(site)
     return joins.left_join_flagged(cleaned, site, "MINE_ID")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions.text import canonical_code, clean_string, invalid_code
 from quarrylens.operators import cleaning, joins
+from quarrylens.plans.bindings import RAW_SPEC
 from quarrylens.spec import ACCIDENT_SPEC, FEATURE_COLUMNS
 
 COLS = ["DOCUMENT_NO", "MINE_ID", "DEGREE_INJURY_CD", "CAL_YR", "SUBUNIT_CD", "CLASSIFICATION_CD",
@@ -120,3 +121,20 @@ def test_key_join_and_overlap(spark):
     b = spark.createDataFrame([("k2",), ("k3",)], "k string")
     assert joins.overlap_count(a, b, "k").collect()[0][0] == 1
     assert [r[0] for r in joins.new_rows_only(b, a, "k").collect()] == ["k3"]
+
+
+def test_clean_joins_narratives_to_rows_that_pass_the_other_rules_only(spark):
+    cols = ["DOCUMENT_NO", "MINE_ID", "DEGREE_INJURY_CD", "CAL_YR", "SUBUNIT_CD", "CLASSIFICATION_CD", "OCCUPATION_CD",
+            "ACTIVITY_CD", "MINING_EQUIP_CD", "ACCIDENT_DT"]
+    spec = RAW_SPEC
+    good = ["m", "A", "1999", "F", "1", "2", "3", "4", "01/02/1999"]
+    rows = [("a", *good), ("b", "", *good[1:]), ("c", *good), ("c", *good), ("d", *good[:2], "1990", *good[3:]), (None, *good), ("e", *good)]
+    left = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    texts = spark.createDataFrame([("a", "fell"), ("b", "x"), ("c", "y"), ("d", "z"), ("e", "?")], "doc string, NARRATIVE string")
+    df = left.join(texts, left["DOCUMENT_NO"] == texts["doc"], "left").drop("doc")
+    out = cleaning.clean(df, spec)
+    assert [r["DOCUMENT_NO"] for r in out.collect()] == ["a"] and out.columns == df.columns
+    # the year rule is applied before the narratives are joined: it lies deeper than a join with them
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    year = next(i for i, line in enumerate(plan) if "Filter" in line and "1996" in line)
+    assert any("Join Inner" in line for line in plan[:year])
