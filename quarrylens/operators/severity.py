@@ -114,6 +114,14 @@ def weighted_combinations(rows: DataFrame, label: str, units: int = BAG_UNITS) -
             .withColumn("_part", F.explode(F.sequence(F.lit(1), parts.cast("int")))).select(*rows.columns, "weight"))
 
 
+def predicted_pairs(model: PipelineModel, test: DataFrame, features: list[str], target: str) -> DataFrame:
+    """(truth, pred, n): a prediction depends on the features alone, so each
+    combination of them is scored once and stands for its ``n`` rows."""
+    table = test.groupBy(target, *features).agg(F.count(F.lit(1)).alias("n"))
+    return predict(model, table, keep=[target, "n"]).select(
+        F.lpad(target, 2, "0").alias("truth"), F.col("predicted_code").alias("pred"), "n")
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """M5: adds ``predicted_code`` (the original code string)."""
     label_model = [s for s in model.stages if s.hasParam("outputCol") and s.isDefined("outputCol")
@@ -146,11 +154,12 @@ def complete_requests(requests: DataFrame, spec: SchemaSpec = ACCIDENT_SPEC,
     return requests.select(*(keep or []), *cols)
 
 
-def confusion_long(pairs: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
+def confusion_long(pairs: DataFrame, truth: str = "truth", pred: str = "pred", weight: str | None = None) -> DataFrame:
     """M6: (truth, pred, n) over the full label x label grid of the union
-    label set (missing cells are 0). The grid is built from one array of
+    label set (missing cells are 0). A pair counts once, or ``weight`` times
+    where it stands for so many. The grid is built from one array of
     distinct labels (bounded by the code domain) exploded twice."""
-    counts = pairs.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
+    counts = pairs.groupBy(truth, pred).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     labels = (pairs.select(F.col(truth).alias("l")).union(pairs.select(F.col(pred).alias("l")))
               .agg(F.array_sort(F.collect_set("l")).alias("ls")))
     grid = (labels.select(F.explode("ls").alias(truth), "ls")
@@ -159,13 +168,13 @@ def confusion_long(pairs: DataFrame, truth: str = "truth", pred: str = "pred") -
             .select(truth, pred, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def class_metrics(pairs: DataFrame, truth: str = "truth", pred: str = "pred") -> DataFrame:
+def class_metrics(pairs: DataFrame, truth: str = "truth", pred: str = "pred", weight: str | None = None) -> DataFrame:
     """M7 + M8 + M12: long table (metric, label, value).
 
     Per label: support, recall, precision, f1 (zero_division = 0).
     Overall (label = '*'): accuracy, macro_f1, weighted_f1, majority_accuracy.
     """
-    cm = confusion_long(pairs, truth, pred)
+    cm = confusion_long(pairs, truth, pred, weight)
     per = cm.groupBy(F.col(truth).alias("label")).agg(
         F.sum("n").alias("support"),
         F.sum(F.when(F.col(truth) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"))

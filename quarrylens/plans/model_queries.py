@@ -117,12 +117,11 @@ def forest_report(spark: SparkSession, sf_dir: str):
     parts = []
     for (name, frame, ctx), model in zip(cells, models):
         test = frame.filter(F.col("split") == "test")
-        pred = severity.predict(model, test, keep=["DEGREE_INJURY_CD"])
-        pairs = pred.select(F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"),
-                            F.col("predicted_code").alias("pred"))
+        features = severity.feature_columns(test, DRIVER_SPEC, ctx)
+        pairs = severity.predicted_pairs(model, test, features, "DEGREE_INJURY_CD")
         sizes = frame.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
             F.concat(F.lit("n_"), "split").alias("metric"), F.lit("*").alias("label"), "value")
-        parts.append(severity.class_metrics(pairs).unionByName(sizes).select(
+        parts.append(severity.class_metrics(pairs, weight="n").unionByName(sizes).select(
             F.lit(name).alias("split_name"), F.lit(ctx).alias("context"), "metric", "label", "value"))
     out = parts[0]
     for p in parts[1:]:

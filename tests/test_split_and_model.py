@@ -112,3 +112,15 @@ def test_stored_model_keeps_its_metadata(spark, tmp_path):
         assert pred.where(F.col("predicted_code") == F.col(spec.target)).count() == 60
     with pytest.raises(ValueError, match="no stored model"):
         severity.stored_info(spark, "never", **key)
+
+
+def test_report_scores_each_combination_once(inc):
+    """The same metrics as from scored records, from far fewer of them."""
+    s = split.stratified_split(inc, SPEC)
+    model = severity.fit(s.where("split = 'train'"), SPEC, num_trees=3, max_depth=4)
+    test = s.where("split = 'test'").unionByName(s.where("split = 'test'"))  # every record twice
+    pairs = severity.predicted_pairs(model, test, severity.feature_columns(test, SPEC), "DEGREE_INJURY_CD").cache()
+    each = severity.predict(model, test, keep=["DEGREE_INJURY_CD"]).select(
+        F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"), F.col("predicted_code").alias("pred"))
+    assert 2 * pairs.count() <= each.count() == pairs.agg(F.sum("n")).first()[0]
+    assert sorted(severity.class_metrics(pairs, weight="n").collect()) == sorted(severity.class_metrics(each).collect())
