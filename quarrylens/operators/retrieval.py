@@ -70,7 +70,8 @@ class LexicalIndex:
 
 #: Documents that one task tokenises or scores, about.
 TASK_DOCS = 2048
-#: Terms of all queries together, counted per query, up to which they are broadcast.
+#: Terms up to which they are broadcast: those of all queries together, counted per
+#: query, or those of an index, with their idf.
 BROADCAST_TERMS = 500_000
 
 
@@ -104,7 +105,11 @@ def weighted_index(dtf: DataFrame, docs: DataFrame, doc_id: str = "doc_id", pers
            .select("term", F.log(F.col("n_docs") / F.col("df")).alias("idf")))
     if persist:
         idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
-    postings = (dtf.join(idf.filter(F.col("idf") > 0), "term")
+    # The planner guesses the term frequencies from the size of the documents' files and the
+    # idf as a product of two tables: left to it, all term frequencies go through the driver.
+    few = persist and idf.count() <= BROADCAST_TERMS
+    useful = idf.filter(F.col("idf") > 0)
+    postings = (dtf.join(F.broadcast(useful) if few else useful.hint("merge"), "term")
                 .select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("w")))
     if persist:
         postings = postings.persist(StorageLevel.MEMORY_AND_DISK)

@@ -158,3 +158,17 @@ def test_search_shuffles_no_pairs_of_query_and_document(spark, tmp_path):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\(qid#\d+L?, doc_id#", plan) and not re.search(r"hashpartitioning\(doc_id#\d+L?, term#", plan)
     assert hits.where("rank = 1 AND qid = doc_id").count() == 20
+
+
+@pytest.mark.parametrize("most", [500_000, 10])
+def test_term_frequencies_are_never_broadcast(spark, monkeypatch, most):
+    """Documents whose files are small, as the planner sees them, still have
+    postings too many for the driver: the few idf rows are broadcast, or none."""
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", most)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common"), F.concat(F.lit("t"), F.col("id") % 7), F.concat(F.lit("w"), "id")).alias("text"))
+    idx = retrieval.lexical_index(docs)
+    plan = idx.postings._jdf.queryExecution().optimizedPlan().toString() + idx.postings.select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
+    assert ("BuildRight" in plan.split("idf")[0] or "SortMergeJoin" not in plan) if most > 10 else "SortMergeJoin" in plan
+    assert idx.postings.count() == 200 * 2  # "common" weighs nothing
+    idx.unpersist()
