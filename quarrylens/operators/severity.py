@@ -122,15 +122,29 @@ def predicted_pairs(model: PipelineModel, test: DataFrame, features: list[str],
         F.lpad(target, 2, "0").alias("truth"), F.col("predicted_code").alias("pred"), "n")
 
 
+def predict_rows(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """M5 for many rows: ``keep`` and ``predicted_code`` of every row. Each
+    combination of codes is scored once and joined back (null codes are equal
+    within a struct); a left join, so that the rows are never broadcast."""
+    codes = F.struct(*[F.col(c).cast("string").alias(c) for c in model_features(model)])
+    asked = df.select(*keep, codes.alias("_codes"))
+    scored = predict(model, asked.select("_codes").distinct().select("_codes", "_codes.*"), keep=["_codes"])
+    return asked.join(scored, "_codes", "left").select(*keep, "predicted_code")
+
+
+def model_features(model: PipelineModel) -> list[str]:
+    """The columns that a fitted pipeline reads, in order."""
+    return [c for s in model.stages if s.hasParam("outputCols") and s.isDefined("outputCols")
+            and s.getOutputCols()[0].endswith("__idx") for c in s.getInputCols()]
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """M5: adds ``predicted_code`` (the original code string)."""
     label_model = [s for s in model.stages if s.hasParam("outputCol") and s.isDefined("outputCol")
                    and s.getOutputCol() == "label"]
     labels = label_model[0].labels
-    feats = [c for s in model.stages if s.hasParam("outputCols") and s.isDefined("outputCols")
-             and s.getOutputCols()[0].endswith("__idx") for c in s.getInputCols()]
     ready = df
-    for c in feats:
+    for c in model_features(model):
         ready = ready.withColumn(c, F.col(c).cast("string"))
     if "label_code" not in ready.columns:
         ready = ready.withColumn("label_code", F.lit(labels[0]))  # placeholder, unused

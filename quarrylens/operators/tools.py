@@ -59,5 +59,5 @@ def classify_requests(classify: DataFrame, model, spec: SchemaSpec = ACCIDENT_SP
     """(request_id, predicted_degree_code); codes that a request lacks are
     completed as ``severity.complete_requests`` does."""
     rows = classify.select("request_id", *[F.col("codes").getItem(c).alias(c) for c in spec.features])
-    scored = severity.predict(model, severity.complete_requests(rows, spec, keep=["request_id"]), keep=["request_id"])
+    scored = severity.predict_rows(model, severity.complete_requests(rows, spec, keep=["request_id"]), keep=["request_id"])
     return scored.withColumnRenamed("predicted_code", "predicted_degree_code")

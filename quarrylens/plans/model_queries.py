@@ -79,7 +79,7 @@ def _fit_holdout(spark, sf_dir, num_trees=HOLDOUT_TREES):
 
 def forest_predict(spark: SparkSession, sf_dir: str):
     model, test = _fit_holdout(spark, sf_dir)
-    pred = severity.predict(model, test, keep=["DOCUMENT_NO", "DEGREE_INJURY_CD"])
+    pred = severity.predict_rows(model, test, keep=["DOCUMENT_NO", "DEGREE_INJURY_CD"])
     return pred.select("DOCUMENT_NO", F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"),
                        F.col("predicted_code").alias("pred"))
 
@@ -136,7 +136,7 @@ def serve_rows(spark: SparkSession, sf_dir: str):
     # Requests arrive with lower-case codes and gaps; complete them first.
     req = req.withColumn("COAL_METAL_IND", F.lower("COAL_METAL_IND"))
     done = severity.complete_requests(req, DRIVER_SPEC, keep=["DOCUMENT_NO"])
-    return severity.predict(model, done, keep=["DOCUMENT_NO"])
+    return severity.predict_rows(model, done, keep=["DOCUMENT_NO"])
 
 
 # ---------------------------------------------------------------- retrieval

@@ -124,3 +124,28 @@ def test_report_scores_each_combination_once(inc):
         F.lpad("DEGREE_INJURY_CD", 2, "0").alias("truth"), F.col("predicted_code").alias("pred"))
     assert 2 * pairs.count() <= each.count() == pairs.agg(F.sum("n")).first()[0]
     assert sorted(severity.class_metrics(pairs, weight="n").collect()) == sorted(severity.class_metrics(each).collect())
+
+
+def test_requests_are_scored_once_per_combination_of_codes(spark, monkeypatch):
+    """Requests of the same codes share one scoring; null codes and repeated
+    requests keep their rows."""
+    from quarrylens.operators import severity, tools
+
+    spec = SPEC.with_(features=("A", "B"), mine_context=())
+    rows = spark.range(60).select((F.col("id") % 3).cast("string").alias("A"), (F.col("id") % 2).cast("string").alias("B"),
+                                  F.concat(F.lit("0"), F.col("id") % 3 + 1).alias(spec.target))
+    model = severity.fit(rows, spec, num_trees=3, max_depth=4)
+    with_nulls = rows.withColumn("A", F.when(F.col(spec.target) != "01", F.col("A")))
+    plain, scored = severity.predict, []
+
+    def counted(m, df, keep=None):
+        scored.append(df.count())
+        return plain(m, df, keep)
+
+    expected = sorted(plain(model, with_nulls, [spec.target]).collect())
+    monkeypatch.setattr(severity, "predict", counted)
+    assert sorted(severity.predict_rows(model, with_nulls, [spec.target]).collect()) == expected and len(expected) == 60
+    classify = spark.range(90).select((F.col("id") % 45).alias("request_id"), F.create_map(F.lit("A"), (F.col("id") % 3).cast("string")).alias("codes"))
+    got = tools.classify_requests(classify, model, spec).collect()
+    assert scored == [6, 3] and len(got) == 90
+    assert all(r["predicted_degree_code"] == f"0{r['request_id'] % 3 + 1}" for r in got)
