@@ -22,9 +22,11 @@ doc_id too; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import string
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ TOKENIZER = "word_bpe_49k.json"
 ROWS_PER_SALT = 50_000
 #: Entries kept of words already encoded, per Python worker; it starts anew when full.
 CACHE = 500_000
+#: Characters that end a chunk after its word.
+PUNCTUATION = string.punctuation
 
 
 class WordTokenizer:
@@ -56,10 +60,18 @@ class WordTokenizer:
 
     def __init__(self, path: str) -> None:
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers.normalizers import Sequence
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        # the same model for plain lower-case words with blanks between, which need no more cutting
+        self.bare = Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True
+        self.bare.normalizer = Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         ends = np.zeros(self.lib.get_vocab_size() + 1, dtype=bool)
         for token, i in self.lib.get_vocab().items():
             ends[i] = token.endswith("</w>")
@@ -67,7 +79,7 @@ class WordTokenizer:
         self.plain = regex.compile(r"[!-~¡-¬®-ɏ]+").fullmatch
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.chunks: dict[str, bytes] = {"": b""}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -75,34 +87,49 @@ class WordTokenizer:
     def _learn_words(self, words: list[str]) -> None:
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) != len(part):  # a word that is more or less than one word to the library
                 self.known.update((w, self._direct(w)) for w in part)
                 continue
-            data, at = ids.tobytes(), 0
-            for w, cut in zip(part, (4 * cuts).tolist()):
-                self.known[w] = data[at:cut]
-                at = cut
+            data = ids.tobytes()
+            self.known.update(zip(part, [data[at:cut] for at, cut in zip([0, *cuts], cuts)]))
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.chunks) + len(chunks) > CACHE:
             self.chunks = {"": b""}
         if len(self.known) > CACHE:
-            self.known = {}
-        plain = {c: self.words(c.lower()) for c in chunks if self.plain(c)}
-        self._learn_words(list({w for ws in plain.values() for w in ws if w not in self.known}))
+            self.known = {"": b""}
+        # most chunks are one word of letters and a run of punctuation or none: two words at
+        # most, held in lists side by side; the others are cut by the pattern or encoded whole
+        heads, stems, tails = [], [], []
+        others: dict[str, list[str]] = {}
+        whole = []
+        for c in chunks:
+            low = c.lower()
+            stem = low.rstrip(PUNCTUATION)
+            if not (c.isascii() or self.plain(c)):
+                whole.append(c)
+            elif stem.isalpha():
+                heads.append(c)
+                stems.append(stem)
+                tails.append(low[len(stem) :])
+            elif self.plain(c):
+                others[c] = self.words(low)
+            else:
+                whole.append(c)
         known = self.known
-        self.chunks.update((c, b"".join([known[w] for w in ws])) for c, ws in plain.items())
-        self.chunks.update((c, self._direct(c)) for c in chunks if c not in plain)
+        words = set().union(stems, tails, *others.values())
+        self._learn_words(list(words.difference(known)))
+        get = known.__getitem__
+        self.chunks.update(zip(heads, map(add, map(get, stems), map(get, tails))))
+        self.chunks.update((c, b"".join(map(get, ws))) for c, ws in others.items())
+        self.chunks.update((c, self._direct(c)) for c in whole)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids per text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for chunks in split:
-            new.update(chunks)
-        if new := {c for c in new if c not in self.chunks}:
+        if new := set().union(*split).difference(self.chunks):
             kept = len(self.chunks) + len(new) <= CACHE
             self._learn(new if kept else {c for chunks in split for c in chunks})
         get = self.chunks.__getitem__

@@ -113,6 +113,19 @@ def test_word_ids_equal_the_library(word_bpe, parts):
     assert np.frombuffer(next(iter(own.encode([text]))), "<u4").tolist() == word_bpe.encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_punctuation_need_no_pattern(word_bpe):
+    """Words of letters with or without a run of punctuation are cut without the
+    pattern, and with the library's ids; whatever differs still takes the pattern."""
+    own = packing.WordTokenizer(public_tokenizers.path(packing.TOKENIZER))
+
+    def same(text):
+        return np.frombuffer(next(iter(own.encode([text]))), "<u4").tolist() == word_bpe.encode(text, add_special_tokens=False).ids
+
+    assert same("don't it's' 's' x'll'' İ, İİ ǅ. ª! a­. (a) 3. a3, ßß?! é. \U00010400. Å, <|endoftext|> </w> a</w>")
+    own.words = lambda low: pytest.fail(f"cut by the pattern: {low}")
+    assert same("Hello, WORLD... café!? naïve a' Straße;")
+
+
 def test_byte_bpe_query_round_trip(spark, byte_lib):
     got = by_id(byte_bpe.query(spark, SF_SMALL), "n_tokens", "ids_sha256", "decoded_sha256")
     for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect():
