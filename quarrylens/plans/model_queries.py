@@ -100,25 +100,30 @@ def forest_report(spark: SparkSession, sf_dir: str):
     cells = [(name, frame, ctx) for name, frame in (("holdout", s), ("out_of_time", oot))
              for ctx in (False, True)]
 
-    def fit_cell(cell):
-        name, frame, ctx = cell
+    def model_of(name, frame, ctx):
         if name == "holdout" and not ctx:
             return holdout_model(spark, sf_dir)
         train = frame.filter(F.col("split") == "train")
         return severity.fit(train, DRIVER_SPEC, include_context=ctx, num_trees=HOLDOUT_TREES)
 
-    # The four fits are independent: submit them as concurrent Spark jobs
-    # (one driver thread each) so the small per-level jobs of one forest do
-    # not leave the rest of the cluster idle.
+    def confusion(cell):
+        """The cell's (truth, pred, n), a row per pair of labels: scored here
+        once, whatever reads it."""
+        name, frame, ctx = cell
+        model, test = model_of(name, frame, ctx), frame.filter(F.col("split") == "test")
+        pairs = severity.predicted_pairs(model, test, severity.feature_columns(test, DRIVER_SPEC, ctx), "DEGREE_INJURY_CD")
+        counts = pairs.groupBy("truth", "pred").agg(F.sum("n").alias("n"))
+        return spark.createDataFrame(counts.collect(), counts.schema)
+
+    # The four cells are independent: submit them as concurrent Spark jobs
+    # (one driver thread each) so the small jobs of one do not leave the rest
+    # of the cluster idle.
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=len(cells)) as pool:
-        models = list(pool.map(fit_cell, cells))
+        confusions = list(pool.map(confusion, cells))
     parts = []
-    for (name, frame, ctx), model in zip(cells, models):
-        test = frame.filter(F.col("split") == "test")
-        features = severity.feature_columns(test, DRIVER_SPEC, ctx)
-        pairs = severity.predicted_pairs(model, test, features, "DEGREE_INJURY_CD")
+    for (name, frame, ctx), pairs in zip(cells, confusions):
         sizes = frame.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
             F.concat(F.lit("n_"), "split").alias("metric"), F.lit("*").alias("label"), "value")
         parts.append(severity.class_metrics(pairs, weight="n").unionByName(sizes).select(
