@@ -115,13 +115,9 @@ def forest_report(spark: SparkSession, sf_dir: str):
         counts = pairs.groupBy("truth", "pred").agg(F.sum("n").alias("n"))
         return spark.createDataFrame(counts.collect(), counts.schema)
 
-    # The four cells are independent: submit them as concurrent Spark jobs
-    # (one driver thread each) so the small jobs of one do not leave the rest
-    # of the cluster idle.
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=len(cells)) as pool:
-        confusions = list(pool.map(confusion, cells))
+    # One cell after the other: each fit has tasks for the whole cluster, and
+    # the driver holds and sends one model at a time.
+    confusions = [confusion(cell) for cell in cells]
     parts = []
     for (name, frame, ctx), pairs in zip(cells, confusions):
         sizes = frame.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
